@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glyphlake.llm import minhash
+from glyphlake.llm import html, licenses, media, minhash
 from glyphlake.llm.common import table
 
 
@@ -13,5 +13,20 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=2, percent=80)
 
 
-QUERIES = {"op3_minhash_near_dedup": op3_minhash_near_dedup}
+def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's media container and of the payload read back from it."""
+    return media.digests(table(spark, sf_dir, "documents"))
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and templates in every document."""
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html.extract_main_text(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op3_minhash_near_dedup, op7_media_columns, op9_license_scan, op10_html_extraction)}
 ORACLES: dict[str, str] = {}
