@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from glyphlake.llm import html, licenses, media, minhash
+from glyphlake.llm import html, licenses, media, minhash, mixing, topk, urls
 from glyphlake.llm.common import table
 
 
@@ -13,11 +14,29 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=2, percent=80)
 
 
+def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slot, release time and deadline of every document's block in the mix of all sources."""
+    order = mixing.mixed_order(table(spark, sf_dir, "documents").select("doc_id", "source"))
+    named = {"_source": "source", "_block": "block", "_release": "release", "_deadline": "deadline", "_slot": "slot", "_row": "row_in_block"}
+    return order.select("doc_id", *(F.col(k).alias(v) for k, v in named.items()))
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on the urls of all pages."""
+    return urls.judge_urls(table(spark, sf_dir, "pages"))
+
+
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document's media container and of the payload read back from it."""
     return media.digests(table(spark, sf_dir, "documents"))
 
 
+def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest rows of every fiftieth embedding."""
+    vectors = topk.whole_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return topk.exact_top_k(vectors, vectors.where("vec_id % 50 = 0"), 5)
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License phrases and templates in every document."""
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
@@ -28,5 +47,12 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract_main_text(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op3_minhash_near_dedup, op7_media_columns, op9_license_scan, op10_html_extraction)}
-ORACLES: dict[str, str] = {}
+OP8_SQL = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+  s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * c.e[i])) AS BIGINT) AS score
+    FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+  r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+  SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5"""
+
+QUERIES = {f.__name__: f for f in (op3_minhash_near_dedup, op5_source_mixing, op6_url_filter, op7_media_columns, op8_exact_top_k, op9_license_scan, op10_html_extraction)}
+ORACLES: dict[str, str] = {"op5_source_mixing": mixing.oracle_sql(), "op6_url_filter": urls.oracle_sql(), "op8_exact_top_k": OP8_SQL}
