@@ -55,6 +55,10 @@ def connected_components(edges: DataFrame, name: str = "cc", most_rounds: int =
     )
     links = written(links, name)
     for _ in range(most_rounds):
+        # Settled when every node has one parent and no parent has a parent.
+        total, nodes = links.agg(F.count(F.lit(1)), F.countDistinct("a")).first()
+        if total == nodes and not links.join(links.select(F.col("a").alias("b")), "b", "left_semi").limit(1).count():
+            break
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -63,12 +67,6 @@ def connected_components(edges: DataFrame, name: str = "cc", most_rounds: int =
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(down, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(down.withColumnRenamed("m", "b"))
         links = written(small.where("a > b").distinct(), name)
-        # Settled when every node has one parent and no parent has a parent.
-        parents = links.select("a").distinct().count()
-        total = links.count()
-        inner = links.join(links.select(F.col("a").alias("b")).distinct(), "b", "left_semi").limit(1).count()
-        if parents == total and not inner:
-            break
     else:
         raise RuntimeError(f"components not settled after {most_rounds} rounds")
     roots = links.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("component"))
