@@ -57,15 +57,15 @@ class Model:
         self.ids = np.array(ids, np.int32)
         # Equal scores share a rank, so that among them the leftmost edge comes first.
         self.rank = (np.unique(-np.array(scores), return_inverse=True)[1]).astype(np.int32)
-        self.by_rank_unique = len(set(scores)) == len(scores)
+        self.rank = np.r_[self.rank, np.int32(NEVER)]  # at -1: no piece
         self.lengths = np.array([len(p) for p in names])
         self.longest = int(self.lengths.max())
         self.codes = np.zeros((len(names), self.longest), np.uint32)
         for row, p in zip(self.codes, names, strict=True):
             row[: len(p)] = np.frombuffer(p.encode("utf-32-le"), np.uint32)
 
-    def edges(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For code points with zeros between words: (piece number or -1, rank or NEVER) by position and length."""
+    def edges(self, text: np.ndarray) -> np.ndarray:
+        """For code points with zeros between words the piece number, or -1, by position and length."""
         width = self.longest
         alphabet = np.unique(text[text > 0])
         kind, room = (np.dtype(np.uint8), 8) if len(alphabet) < 255 else (np.dtype(">u4"), 2)
@@ -89,15 +89,13 @@ class Model:
         counts = ends - starts
         total = int(counts.sum())
         within = np.arange(total) - np.repeat(np.cumsum(counts) - counts, counts)
-        position = suffixes[np.repeat(starts, counts) + within]
-        piece = np.repeat(rows, counts)
+        position = suffixes[np.repeat(starts, counts) + within].astype(np.int32)
+        piece = np.repeat(rows.astype(np.int32), counts)
         by_position = np.argsort(position, kind="stable")
         position, piece = position[by_position], piece[by_position]
-        best = np.full((len(text), width), NEVER, np.int32)
         which = np.full((len(text), width), -1, np.int32)
-        best[position, self.lengths[piece] - 1] = self.rank[piece]
-        which[position, self.lengths[piece] - 1] = piece
-        return which, best
+        which.ravel()[position * np.int64(width) + self.lengths[piece] - 1] = piece
+        return which
 
     @staticmethod
     def _searched(ordered: np.ndarray, wanted: np.ndarray, after: bool) -> np.ndarray:
@@ -136,14 +134,14 @@ class Model:
         starts = np.cumsum(lengths + 1) - lengths - 1
         bare = text.copy()
         bare[starts[1:] - 1] = 0
-        which, best = self.edges(bare)
+        which = self.edges(bare)
         word = np.repeat(np.arange(len(words)), lengths)
         first = np.repeat(starts, lengths) + np.arange(len(word)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
         size = np.ones(len(first), np.int64)
         long = lengths > LONG
         done_word, done_first, done_size = [], [], []
         for w in np.flatnonzero(long):
-            a, b = self._from_heap(best, int(starts[w]), int(lengths[w]))
+            a, b = self._from_heap(which, int(starts[w]), int(lengths[w]))
             done_word.append(np.full(len(a), w))
             done_first.append(a)
             done_size.append(b)
@@ -152,7 +150,7 @@ class Model:
         while len(word):
             joint = np.zeros(len(word), np.int64)
             joint[:-1] = np.where(word[1:] == word[:-1], size[:-1] + size[1:], 0)
-            rank = np.where((joint > 0) & (joint <= self.longest), best[first, np.clip(joint, 1, self.longest) - 1], NEVER)
+            rank = np.where((joint > 0) & (joint <= self.longest), self.rank[which.ravel()[first * self.longest + np.clip(joint, 1, self.longest) - 1]], NEVER)
             cut = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
             least = np.minimum.reduceat(rank, cut)
             counts = np.diff(np.r_[cut, len(word)])
@@ -185,14 +183,14 @@ class Model:
     def _as_bytes(self, character: str) -> list[int]:
         return [self.bytes_at.get(b, self.unknown) for b in character.encode("utf-8", "surrogatepass")]
 
-    def _from_heap(self, best: np.ndarray, start: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    def _from_heap(self, which: np.ndarray, start: int, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Symbols (first, size) of one long word."""
         size = [1] * n
         after, before = [*range(1, n), -1], [-1, *range(n - 1)]
         heap: list[tuple[int, int, int]] = []
 
         def offer(i: int) -> None:
-            if i >= 0 and after[i] >= 0 and (joint := size[i] + size[after[i]]) <= self.longest and (rank := int(best[start + i, joint - 1])) < NEVER:
+            if i >= 0 and after[i] >= 0 and (joint := size[i] + size[after[i]]) <= self.longest and (rank := int(self.rank[which[start + i, joint - 1]])) < NEVER:
                 heapq.heappush(heap, (rank, i, joint))
 
         for i in range(n - 1):

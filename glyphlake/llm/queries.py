@@ -2,18 +2,35 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphlake.llm import html, licenses, media, minhash, mixing, topk, urls
+from glyphlake.llm import html, licenses, media, minhash, mixing, pieces, topk, toxicity, urls
 from glyphlake.llm.common import table
 
 
+#: Where the vocabulary files of public tokenizers are; every executor has them there.
+TOKENIZER_MODEL = os.environ.get("TOKENIZER_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all documents by a model learned from the labels that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score_documents(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
+
+
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of all documents on two-word shingles at 80 percent."""
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=2, percent=80)
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Piece ids of every document, and whether they decode to its text."""
+    return pieces.encode(table(spark, sf_dir, "documents"), TOKENIZER_MODEL)
+
+
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Slot, release time and deadline of every document's block in the mix of all sources."""
     order = mixing.mixed_order(table(spark, sf_dir, "documents").select("doc_id", "source"))
@@ -54,5 +71,5 @@ OP8_SQL = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(
   r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
   SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5"""
 
-QUERIES = {f.__name__: f for f in (op3_minhash_near_dedup, op5_source_mixing, op6_url_filter, op7_media_columns, op8_exact_top_k, op9_license_scan, op10_html_extraction)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op3_minhash_near_dedup, op4_sentencepiece, op5_source_mixing, op6_url_filter, op7_media_columns, op8_exact_top_k, op9_license_scan, op10_html_extraction)}
 ORACLES: dict[str, str] = {"op5_source_mixing": mixing.oracle_sql(), "op6_url_filter": urls.oracle_sql(), "op8_exact_top_k": OP8_SQL}
