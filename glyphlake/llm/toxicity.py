@@ -233,7 +233,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     summed = spread.groupBy("stem", "term").agg(F.sum("pos").alias("pos"), F.sum("n").alias("n"), F.sum((F.col("pos") > 0).cast("int")).alias("several"))
     enough = summed.where(F.col("pos") >= least).withColumn("neg", F.col("n") - F.col("pos"))
     odds = F.log((F.col("pos") + 0.5) / F.lit(positives + 1.0)) - F.log((F.col("neg") + 0.5) / F.lit(negatives + 1.0))
-    bar = min(LEAST_LOG_ODDS, max(1.0, math.log(negatives + 1) - 1.0))
+    bar = min(LEAST_LOG_ODDS, max(1.0, math.log(negatives + 1) - 2.0))
     rows = enough.withColumn("odds", odds).where(F.col("odds") >= bar).where(~F.col("stem") | (F.col("several") >= STEM_WORDS)).orderBy(F.desc("odds"), "term").limit(MOST_TERMS).collect()
     found_words = {r["term"]: min(r["odds"], 8.0) for r in rows if not r["stem"] and len(r["term"]) >= 3}
     found_stems = {r["term"]: min(r["odds"], 8.0) for r in rows if r["stem"]}
