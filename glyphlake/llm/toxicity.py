@@ -27,6 +27,8 @@ MOST_ROWS, MOST_TERMS = 20_000, 2_000
 #: A term is in at least this share of the toxic rows (and three to five of them) and this much likelier there.
 LEAST_SHARE, LEAST_LOG_ODDS = 0.015, 5.0
 STEM_LENGTHS, STEM_WORDS = (4, 5, 6), 3
+#: Only terms of at least this share of the largest weight are looked for with edits.
+SURE = 0.8
 #: Weight of a misspelled hit against a true one; words on either side of a hit that are its context.
 MISSPELLED, WINDOW = 0.7, 6
 # Cues of quotation and of address.
@@ -48,8 +50,9 @@ class Lexicon:
         self.children: list[dict[str, int]] = [{}]
         self.ends: list[tuple[float, int, bool] | None] = [None]  # weight, edits allowed, whether a stem
         self.allowed = [0]  # most edits of any term below
+        sure = SURE * max([*words.values(), 0.0])
         for term, weight, stem in [*((t, w, False) for t, w in words.items()), *((t, w, True) for t, w in stems.items())]:
-            node, edits = 0, 0 if stem else _edits(len(term))
+            node, edits = 0, _edits(len(term)) if not stem and weight >= sure else 0
             self.allowed[0] = max(self.allowed[0], edits)
             for c in term:
                 if c not in self.children[node]:
@@ -234,7 +237,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     enough = summed.where(F.col("pos") >= least).withColumn("neg", F.col("n") - F.col("pos"))
     odds = F.log((F.col("pos") + 0.5) / F.lit(positives + 1.0)) - F.log((F.col("neg") + 0.5) / F.lit(negatives + 1.0))
     bar = min(LEAST_LOG_ODDS, max(1.0, math.log(negatives + 1) - 2.0))
-    rows = enough.withColumn("odds", odds).where(F.col("odds") >= bar).where(~F.col("stem") | (F.col("several") >= STEM_WORDS)).orderBy(F.desc("odds"), "term").limit(MOST_TERMS).collect()
+    rows = enough.withColumn("odds", odds).where(F.col("odds") >= bar).where(~F.col("stem") | ((F.col("several") >= STEM_WORDS) & (F.col("pos") >= 2 * least))).orderBy(F.desc("odds"), "term").limit(MOST_TERMS).collect()
     found_words = {r["term"]: min(r["odds"], 8.0) for r in rows if not r["stem"] and len(r["term"]) >= 3}
     found_stems = {r["term"]: min(r["odds"], 8.0) for r in rows if r["stem"]}
     # A stem that begins with another stem says nothing new.
