@@ -25,7 +25,7 @@ from glyphlake.llm.common import written
 #: Bound of the labelled rows that are learned from, and of the lexicon's terms.
 MOST_ROWS, MOST_TERMS = 20_000, 2_000
 #: A term is in at least this share of the toxic rows (and three to five of them) and this much likelier there.
-LEAST_SHARE, LEAST_LOG_ODDS = 0.015, 5.0
+LEAST_SHARE, LEAST_LOG_ODDS = 0.006, 4.0
 STEM_LENGTHS, STEM_WORDS = (4, 5, 6), 3
 #: Only terms of at least this share of the largest weight are looked for with edits.
 SURE = 0.8
@@ -221,7 +221,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     texts = written(texts.select("label", "text"), "texts")
     totals = {r["label"]: r["n"] for r in texts.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     positives, negatives = totals.get(1, 0), totals.get(0, 0)
-    least = max(3.0, min(5.0, positives / 8), LEAST_SHARE * positives)
+    least = max(3.0, min(4.0, positives / 10), LEAST_SHARE * positives)
 
     def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
