@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphlake.llm import html, licenses, media, minhash, mixing, pieces, topk, toxicity, urls
+from glyphlake.llm import html, licenses, lines, media, minhash, mixing, pieces, topk, toxicity, urls
 from glyphlake.llm.common import table
 
 
@@ -21,6 +21,11 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text without its fuzzy duplicate lines."""
+    return lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text")).withColumnsRenamed({"_lines": "n_lines", "_dropped": "n_dropped"})
+
+
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of all documents on two-word shingles at 80 percent."""
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=2, percent=80)
@@ -71,5 +76,5 @@ OP8_SQL = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(
   r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
   SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5"""
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op3_minhash_near_dedup, op4_sentencepiece, op5_source_mixing, op6_url_filter, op7_media_columns, op8_exact_top_k, op9_license_scan, op10_html_extraction)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_line_dedup, op3_minhash_near_dedup, op4_sentencepiece, op5_source_mixing, op6_url_filter, op7_media_columns, op8_exact_top_k, op9_license_scan, op10_html_extraction)}
 ORACLES: dict[str, str] = {"op5_source_mixing": mixing.oracle_sql(), "op6_url_filter": urls.oracle_sql(), "op8_exact_top_k": OP8_SQL}
