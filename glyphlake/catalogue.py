@@ -2,5 +2,581 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from glyphlake.functions.scalars import css_escape, font_id, glyph_name, half_up, xml_escape
+from glyphlake.operators import boxes as bx
+from glyphlake.operators import compose, dims, graph, layout, outline, ownership, raster, text
+from glyphlake.plans import kernels, refine
+from glyphlake.sources import views as v
+
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+SIDE = 8  # of the rasters
+
+
+def query(name: str, *ctes: str, sql: str | None = None):
+    """Register a query and, where SQL can express it, its twin over the named relations."""
+
+    def keep(f):
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLES[name] = ("WITH " + ", ".join(ctes) + " " if ctes else "") + sql
+        return f
+
+    return keep
+
+
+# Grey levels and masks
+
+CUM = """c AS (SELECT page_id, gray, n, sum(n) OVER w AS below, sum(gray * n) OVER w AS mass, sum(n) OVER (PARTITION BY page_id) AS total,
+ sum(gray * n) OVER (PARTITION BY page_id) AS total_mass FROM v_gray WINDOW w AS (PARTITION BY page_id ORDER BY gray ROWS UNBOUNDED PRECEDING))"""
+OTSU = """s AS (SELECT *, CASE WHEN total > below THEN CAST(below AS DOUBLE) * CAST(total - below AS DOUBLE) *
+ ((CAST(mass AS DOUBLE) / CAST(below AS DOUBLE) - CAST(total_mass - mass AS DOUBLE) / nullif(CAST(total - below AS DOUBLE), 0.0)) *
+ (CAST(mass AS DOUBLE) / CAST(below AS DOUBLE) - CAST(total_mass - mass AS DOUBLE) / nullif(CAST(total - below AS DOUBLE), 0.0))) END AS b FROM c),
+ o AS (SELECT page_id, CASE WHEN b IS NULL THEN 0 ELSE gray END AS best FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY b DESC NULLS LAST, gray) AS rn FROM s) x WHERE rn = 1),
+ k AS (SELECT page_id, min(gray) AS level FROM c WHERE below >= ceil(total * 0.012) GROUP BY 1),
+ f AS (SELECT g.page_id, greatest(50, least(200, any_value(best))) AS otsu, any_value(level) AS level, sum(CASE WHEN gray < greatest(50, least(200, best)) THEN n ELSE 0 END) / sum(n) AS share
+   FROM v_gray g JOIN o ON g.page_id = o.page_id JOIN k ON g.page_id = k.page_id GROUP BY 1),
+ t AS (SELECT page_id, CAST(CASE WHEN share > 0.35 THEN greatest(55, least(90, level)) ELSE otsu END AS INT) AS threshold FROM f)"""
+
+
+def _hist(spark: SparkSession, d: str) -> DataFrame:
+    return raster.histogram(v.gray(spark, d))
+
+
+@query("gray_histogram", v.GRAY, sql="SELECT page_id, gray, n FROM v_gray")
+def gray_histogram(spark, d):
+    return _hist(spark, d)
+
+
+@query("otsu_threshold", v.GRAY, CUM, OTSU, sql="SELECT page_id, CAST(best AS INT) AS best FROM o")
+def otsu_threshold(spark, d):
+    return raster.otsu(_hist(spark, d))
+
+
+@query("quantile_threshold", v.GRAY, CUM, sql="SELECT page_id, min(gray) AS level FROM c WHERE below >= ceil(total * 0.012) GROUP BY 1")
+def quantile_threshold(spark, d):
+    return raster.quantile_level(_hist(spark, d))
+
+
+@query("ink_fraction", v.GRAY, sql="SELECT page_id, sum(CASE WHEN gray < 128 THEN n ELSE 0 END) / sum(n) AS share FROM v_gray GROUP BY 1")
+def ink_fraction(spark, d):
+    return _hist(spark, d).groupBy("page_id").agg(raster.ink_fraction(None, F.lit(128)).alias("share"))
+
+
+@query(
+    "lean_mask_counts", v.GRAY, CUM, OTSU,
+    sql="""SELECT page_id, threshold, lean_threshold, CAST(sum(CASE WHEN gray < threshold THEN n ELSE 0 END) AS BIGINT) AS ink, CAST(sum(CASE WHEN gray < lean_threshold THEN n ELSE 0 END) AS BIGINT) AS lean
+ FROM (SELECT g.*, threshold, CAST(greatest(40, floor(CAST(threshold AS DOUBLE) * CAST(0.55 AS DOUBLE) + 0.5)) AS INT) AS lean_threshold FROM v_gray g JOIN t ON g.page_id = t.page_id) x GROUP BY 1, 2, 3""",
+)
+def lean_mask_counts(spark, d):
+    hist = _hist(spark, d)
+    joined = hist.join(raster.thresholds(hist), "page_id")
+    counts = (F.sum(F.when(F.col("gray") < F.col(c), F.col("n")).otherwise(0)).alias(a) for c, a in (("threshold", "ink"), ("lean_threshold", "lean")))
+    return joined.groupBy("page_id", "threshold", "lean_threshold").agg(*counts)
+
+
+BOUNDS = "b AS (SELECT page_id, coalesce(min(CASE WHEN below >= total * 0.01 THEN gray END), 0) AS lo, coalesce(max(CASE WHEN total - below + n >= total * 0.01 THEN gray END), 255) AS hi FROM c GROUP BY 1)"
+
+
+@query("contrast_bounds", v.GRAY, CUM, BOUNDS, sql="SELECT page_id, lo, hi FROM b")
+def contrast_bounds(spark, d):
+    return raster.contrast_bounds(_hist(spark, d))
+
+
+@query(
+    "contrast_stretch", v.GRAY, CUM, BOUNDS,
+    sql="""SELECT page_id, gray, CAST(sum(n) AS BIGINT) AS n FROM (SELECT g.page_id, n, CAST(greatest(0, least(255, floor((gray - lo) * 255 / CAST(greatest(1, hi - lo) AS DOUBLE) + 0.5))) AS INT) AS gray
+ FROM v_gray g JOIN b ON g.page_id = b.page_id) x GROUP BY 1, 2""",
+)
+def contrast_stretch(spark, d):
+    gray = v.gray(spark, d)
+    return raster.histogram(raster.stretched(gray, raster.contrast_bounds(raster.histogram(gray))))
+
+
+AROUND = "(VALUES (0,0),(-1,0),(1,0),(0,-1),(0,1)) o(dy,dx)"
+
+
+def _dilate(src: str) -> str:
+    return f"SELECT DISTINCT page_id, y + dy AS y, x + dx AS x FROM {src}, {AROUND} WHERE y + dy BETWEEN 0 AND 7 AND x + dx BETWEEN 0 AND 7"
+
+
+def _erode(src: str) -> str:
+    return f"SELECT page_id, y + dy AS y, x + dx AS x FROM {src}, {AROUND} GROUP BY 1, 2, 3 HAVING count(*) = 5"
+
+
+@query("dilate", v.PIXELS, sql=_dilate("v_ink"))
+def dilate(spark, d):
+    return raster.dilated(v.ink(spark, d), SIDE, SIDE)
+
+
+@query("erode", v.PIXELS, sql=_erode("v_ink"))
+def erode(spark, d):
+    return raster.eroded(v.ink(spark, d))
+
+
+@query("closing", v.PIXELS, f"g AS ({_dilate('v_ink')})", sql=_erode("g"))
+def closing(spark, d):
+    return raster.closed(v.ink(spark, d), SIDE, SIDE)
+
+
+@query("stroke_weight", v.PIXELS, f"g AS ({_dilate('v_ink')})", sql=_dilate("g"))
+def stroke_weight(spark, d):
+    return raster.with_weight(v.ink(spark, d), 2, SIDE, SIDE)
+
+
+@query("stroke_thinning", v.PIXELS, sql=_erode("v_ink"))
+def stroke_thinning(spark, d):
+    return raster.with_weight(v.ink(spark, d), -1, SIDE, SIDE)
+
+
+TILES = "ti AS (SELECT page_id, CAST(y // 4 AS INT) AS ty, CAST(x // 4 AS INT) AS tx, CAST(floor(sum(gray) / CAST(count(*) AS DOUBLE) + 0.5) AS INT) AS background, count(*) AS n FROM v_pixels GROUP BY 1, 2, 3)"
+
+
+@query("tile_background", v.PIXELS, TILES, sql="SELECT * FROM ti")
+def tile_background(spark, d):
+    return raster.tile_background(v.pixels(spark, d), 4)
+
+
+@query("adaptive_ink", v.PIXELS, TILES, sql="SELECT p.page_id, y, x FROM v_pixels p JOIN ti ON p.page_id = ti.page_id AND y // 4 = ty AND x // 4 = tx WHERE gray < 165 AND gray < background - 10")
+def adaptive_ink(spark, d):
+    return raster.adaptive_ink(v.pixels(spark, d), 4, delta=10)
+
+
+@query("ink_runs", v.PIXELS, sql="SELECT page_id, y, min(x) AS x0, max(x) AS x1 FROM (SELECT *, x - row_number() OVER (PARTITION BY page_id, y ORDER BY x) AS g FROM v_ink) a GROUP BY page_id, y, g")
+def ink_runs(spark, d):
+    return raster.runs(v.ink(spark, d))
+
+
+REACH = """RECURSIVE {0}, reach AS (SELECT page_id, y * 16777216 + x AS a, y * 16777216 + x AS b, y, x FROM v_ink UNION SELECT r.page_id, r.a, i.y * 16777216 + i.x, i.y, i.x FROM reach r JOIN v_ink i
+ ON r.page_id = i.page_id AND abs(r.y - i.y) <= 1 AND abs(r.x - i.x) <= 1),
+ comp AS (SELECT page_id, y, x, CAST(min(a) AS BIGINT) AS root FROM reach GROUP BY 1, 2, 3)""".format(v.PIXELS)
+
+
+@query("connected_components", REACH, sql="SELECT page_id, root, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1, count(*) AS area FROM comp GROUP BY 1, 2 HAVING count(*) >= 2")
+def connected_components(spark, d):
+    return graph.components(v.ink(spark, d), 2)
+
+
+@query("label_components", REACH, sql="SELECT page_id, y, x, root FROM comp")
+def label_components(spark, d):
+    return graph.labelled_pixels(v.ink(spark, d))
+
+
+@query("column_profile", v.PIXELS, sql="SELECT page_id, x, n, CAST(sum(n) OVER (PARTITION BY page_id ORDER BY x ROWS UNBOUNDED PRECEDING) AS BIGINT) AS prefix FROM (SELECT page_id, x, count(*) AS n FROM v_ink GROUP BY 1, 2) a")
+def column_profile(spark, d):
+    return raster.column_profile(v.ink(spark, d))
+
+
+# Boxes
+
+CHUNKS = """fl AS (SELECT *, CASE WHEN x0 <= max(x1) OVER (PARTITION BY page_id ORDER BY x0, box_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS opens FROM v_boxes),
+ nu AS (SELECT *, CAST(sum(opens) OVER (PARTITION BY page_id ORDER BY x0, box_id ROWS UNBOUNDED PRECEDING) - 1 AS INT) AS chunk FROM fl),
+ ch AS (SELECT page_id, chunk, min(x0) AS x0, max(x1) AS x1, min(y0) AS y0, max(y1) AS y1, CAST(sum(area) AS BIGINT) AS area FROM nu GROUP BY 1, 2)"""
+MEDIANS = """hl AS (SELECT page_id, list_sort(list(y1 - y0 + 1)) AS al, list_sort(list(y1 - y0 + 1) FILTER (WHERE y1 - y0 + 1 >= 8)) AS ta FROM v_boxes GROUP BY 1),
+ md AS (SELECT page_id, CASE WHEN len(ta) > 0 THEN ta[len(ta) // 2 + 1] ELSE al[len(al) // 2 + 1] END AS median_height FROM hl)"""
+TOTALS = "tot AS (SELECT page_id, CAST(count(*) + 3 AS INT) AS total FROM v_boxes GROUP BY 1)"
+
+
+def _chunks(spark, d):
+    return bx.islands(v.boxes(spark, d))
+
+
+def _totals(spark, d):
+    return v.boxes(spark, d).groupBy("page_id").agg((F.count(F.lit(1)) + 3).cast("int").alias("total"))
+
+
+@query("chunk_islands", v.BOXES, CHUNKS, sql="SELECT * FROM ch")
+def chunk_islands(spark, d):
+    return _chunks(spark, d)
+
+
+@query("upper_median_height", v.BOXES, MEDIANS, sql="SELECT page_id, CAST(median_height AS INT) AS median_height FROM md")
+def upper_median_height(spark, d):
+    return bx.median_heights(v.boxes(spark, d))
+
+
+@query(
+    "debris_filter", v.BOXES, CHUNKS,
+    sql="""SELECT page_id, chunk, x0, x1, y0, y1, area FROM (SELECT *, max(CASE WHEN solid THEN 1 ELSE 0 END) OVER (PARTITION BY page_id) AS anysolid FROM (SELECT ch.*, n, area >= CAST(upper * 0.15 AS DOUBLE) AS solid FROM ch JOIN
+ (SELECT page_id, count(*) AS n, list_sort(list(area))[least(count(*) - 1, CAST(floor(count(*) * 0.75) AS BIGINT)) + 1] AS upper FROM ch GROUP BY 1) u ON ch.page_id = u.page_id) a) b WHERE n < 3 OR solid OR anysolid = 0""",
+)
+def debris_filter(spark, d):
+    return bx.without_debris(_chunks(spark, d))
+
+
+@query(
+    "baseline_filter", v.BOXES,
+    sql="""SELECT b.* FROM v_boxes b JOIN (SELECT page_id, list_sort(list((y0 + y1) / 2.0))[count(*) // 2 + 1] AS centre, greatest(12.0, list_sort(list(y1 - y0 + 1))[count(*) // 2 + 1] * 0.5) AS reach FROM v_boxes GROUP BY 1) m
+ ON b.page_id = m.page_id WHERE abs((y0 + y1) / 2.0 - centre) <= 100 AND abs((y0 + y1) / 2.0 - centre) <= greatest(100.0, reach * 6)""",
+)
+def baseline_filter(spark, d):
+    return bx.on_baseline(v.boxes(spark, d))
+
+
+@query("border_reject", v.BOXES, sql="SELECT * FROM v_boxes WHERE x1 - x0 + 1 >= 4 AND y1 - y0 + 1 >= 4 AND x0 > 1 AND y0 > 1 AND x1 < 238 AND y1 < 78")
+def border_reject(spark, d):
+    return bx.inside_page(v.boxes(spark, d), 240, 80)
+
+
+@query("widest_gap", v.BOXES, CHUNKS, sql="SELECT page_id, chunk, gap FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY gap DESC, chunk) AS rn FROM (SELECT page_id, chunk, x0 - lag(x1) OVER (PARTITION BY page_id ORDER BY chunk) AS gap FROM ch) a WHERE gap IS NOT NULL) b WHERE rn = 1")
+def widest_gap(spark, d):
+    return bx.widest_gaps(_chunks(spark, d))
+
+
+@query(
+    "apportion_chars", v.BOXES, CHUNKS, TOTALS,
+    sql="""SELECT page_id, chunk, CAST(1 + sum(CASE WHEN rn <= total - m THEN 1 ELSE 0 END) AS INT) AS n FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY w / CAST(k AS DOUBLE) DESC, chunk, k) AS rn FROM
+ (SELECT c.page_id, chunk, total, x1 - x0 + 1 AS w, m, unnest(range(1, greatest(1, total - m) + 1)) AS k FROM (SELECT *, count(*) OVER (PARTITION BY page_id) AS m FROM ch) c JOIN tot ON c.page_id = tot.page_id) a) b GROUP BY 1, 2""",
+)
+def apportion_chars(spark, d):
+    return bx.allocated(_chunks(spark, d), _totals(spark, d))
+
+
+PROXIMITY = f"""RECURSIVE {v.BOXES}, gm AS (SELECT page_id, greatest(4.0, coalesce(nullif(list_sort(list(y1 - y0 + 1))[count(*) // 2 + 1], 0), 1) * 0.36) AS grow FROM v_boxes GROUP BY 1),
+ ed AS (SELECT a.page_id, a.box_id AS a, b.box_id AS b FROM v_boxes a JOIN v_boxes b ON a.page_id = b.page_id JOIN gm ON a.page_id = gm.page_id
+  WHERE least(a.x1, b.x1) - greatest(a.x0, b.x0) + 2 * grow >= 0 AND least(a.y1, b.y1) - greatest(a.y0, b.y0) + 2 * grow >= 0),
+ re AS (SELECT page_id, box_id AS s, box_id AS t FROM v_boxes UNION SELECT re.page_id, re.s, ed.b FROM re JOIN ed ON re.page_id = ed.page_id AND re.t = ed.a),
+ ro AS (SELECT page_id, t AS box_id, min(s) AS group_id FROM re GROUP BY 1, 2)"""
+
+
+@query("proximity_groups", PROXIMITY, sql="SELECT b.page_id, group_id, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, CAST(sum(area) AS BIGINT) AS area, count(*) AS n FROM v_boxes b JOIN ro ON b.page_id = ro.page_id AND b.box_id = ro.box_id GROUP BY 1, 2")
+def proximity_groups(spark, d):
+    return bx.proximity_groups(v.boxes(spark, d))
+
+
+MERGES = """SELECT page_id, a, b, dist FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY dist, a, b) AS rn FROM (SELECT p.page_id, p.box_id AS a, q.box_id AS b,
+ greatest(0, greatest(p.y0, q.y0) - least(p.y1, q.y1) - 1) + greatest(0, greatest(p.x0, q.x0) - least(p.x1, q.x1) - 1) AS dist,
+ least(p.x1, q.x1) - greatest(p.x0, q.x0) + 1 AS ox, least(p.y1, q.y1) - greatest(p.y0, q.y0) + 1 AS oy, least(p.y1 - p.y0, q.y1 - q.y0) AS lowest, greatest(p.y1 - p.y0, q.y1 - q.y0) AS tallest,
+ least(p.x1 - p.x0, q.x1 - q.x0) + 1 AS narrow, greatest(p.x1, q.x1) - least(p.x0, q.x0) + 1 AS wide, median_height AS m
+ FROM v_boxes p JOIN v_boxes q ON p.page_id = q.page_id AND p.box_id < q.box_id JOIN md ON p.page_id = md.page_id) x
+ WHERE (lowest + 1 < 0.5 * m AND ox > 0.5 * narrow AND greatest(0, -oy) < 0.8 * m) OR (tallest < 0.5 * m AND oy > 0 AND greatest(0, -ox) < 0.3 * m) OR (ox > 0 AND oy >= 0.6 * (lowest + 1) AND wide <= 1.6 * m)) y WHERE rn = 1"""
+
+
+@query("merge_candidates", v.BOXES, MEDIANS, sql=MERGES)
+def merge_candidates(spark, d):
+    return bx.merge_candidates(v.boxes(spark, d))
+
+
+@query("merge_parts")
+def merge_parts(spark, d):
+    return kernels.merged_parts(v.boxes(spark, d))
+
+
+@query("reading_order")
+def reading_order(spark, d):
+    return kernels.reading_order(v.boxes(spark, d))
+
+
+LINES = """an AS (SELECT page_id, box_id, 10 * y0 + 3 * (y1 - y0) AS c FROM v_boxes),
+ pr AS (SELECT page_id, box_id, row_number() OVER w AS i, CAST(sum(c) OVER w AS DOUBLE) AS s1, CAST(sum(c * c) OVER w AS DOUBLE) AS s2, count(*) OVER (PARTITION BY page_id) AS n FROM an WINDOW w AS (PARTITION BY page_id ORDER BY c, box_id ROWS UNBOUNDED PRECEDING)),
+ la AS (SELECT * FROM pr WHERE i = n AND n > 3),
+ cu AS (SELECT la.page_id, p.i AS i, q.i AS j, ((p.s2 - p.s1 * p.s1 / p.i) + ((q.s2 - p.s2) - (q.s1 - p.s1) * (q.s1 - p.s1) / (q.i - p.i))) + ((la.s2 - q.s2) - (la.s1 - q.s1) * (la.s1 - q.s1) / (la.n - q.i)) AS cost
+  FROM la JOIN pr p ON la.page_id = p.page_id JOIN pr q ON la.page_id = q.page_id WHERE p.i < q.i AND q.i < la.n),
+ be AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY cost, j, i) AS rn FROM cu) x WHERE rn = 1)"""
+
+
+@query("split_lines", v.BOXES, LINES, sql="SELECT pr.page_id, box_id, CAST(CASE WHEN n <= 3 THEN pr.i - 1 WHEN pr.i <= be.i THEN 0 WHEN pr.i <= be.j THEN 1 ELSE 2 END AS INT) AS line FROM pr LEFT JOIN be ON pr.page_id = be.page_id")
+def split_lines(spark, d):
+    return kernels.text_lines(v.boxes(spark, d), 3)
+
+
+PARTS = """tw AS (SELECT page_id, count(*) AS n, max(x1) - min(x0) + 1 AS span FROM ch GROUP BY 1),
+ r2 AS (SELECT c.page_id, c.chunk + 1 AS i, (max(c.x1) OVER (PARTITION BY c.page_id ORDER BY c.chunk ROWS UNBOUNDED PRECEDING) - min(c.x0) OVER (PARTITION BY c.page_id) + 1) / (span / 2.0) AS left_r,
+   (max(c.x1) OVER (PARTITION BY c.page_id) - lead(c.x0) OVER (PARTITION BY c.page_id ORDER BY c.chunk) + 1) / (span / 2.0) AS right_r, n FROM ch c JOIN tw ON c.page_id = tw.page_id WHERE n > 2),
+ bp AS (SELECT page_id, i FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY (left_r - 1) * (left_r - 1) + CASE WHEN left_r > 2.2 THEN 20 ELSE 0 END + ((right_r - 1) * (right_r - 1) + CASE WHEN right_r > 2.2 THEN 20 ELSE 0 END), i) AS rn FROM r2 WHERE i < n) x WHERE rn = 1),
+ cl AS (SELECT c.*, CAST(CASE WHEN i IS NULL THEN chunk WHEN chunk < i THEN 0 ELSE 1 END AS INT) AS cell FROM ch c LEFT JOIN bp ON c.page_id = bp.page_id)"""
+
+
+@query("partition_chunks", v.BOXES, CHUNKS, PARTS, sql="SELECT page_id, cell, min(x0) AS x0, max(x1) AS x1, min(y0) AS y0, max(y1) AS y1, CAST(sum(area) AS BIGINT) AS area FROM cl GROUP BY 1, 2")
+def partition_chunks(spark, d):
+    chunks = _chunks(spark, d)
+    return kernels.partitioned(chunks, chunks.select("page_id").distinct().withColumn("total", F.lit(2)))
+
+
+@query("cut_line")
+def cut_line(spark, d):
+    return kernels.line_cells(v.ink(spark, d), 3).select("page_id", "cell", "x_from", "x_to", "y0")
+
+
+@query("carve_seam")
+def carve_seam(spark, d):
+    cells = kernels.line_cells(v.ink(spark, d), 2).where("seam_right is not null")
+    return cells.select("page_id", "y0", F.posexplode("seam_right").alias("row", "x")).select("page_id", (F.col("y0") + F.col("row")).alias("y"), "x")
+
+
+# Ownership. The pixel's raster row stands in for its component, which keeps the twins plain SQL.
+
+ROWS = "lab AS (SELECT page_id, y, x, CAST(y AS BIGINT) AS root FROM v_ink)"
+TALLY = "ta AS (SELECT l.page_id, root, box_id, count(*) AS here FROM lab l JOIN v_small b ON l.page_id = b.page_id AND x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1 GROUP BY 1, 2, 3)"
+OWNER = "ow AS (SELECT page_id, root, box_id AS owner FROM (SELECT *, row_number() OVER (PARTITION BY page_id, root ORDER BY here DESC, box_id) AS rn FROM ta) x WHERE rn = 1), ar AS (SELECT page_id, root, count(*) AS area FROM lab GROUP BY 1, 2)"
+KEEP = """ke AS (SELECT ta.page_id, ta.root, ta.box_id, here, area, owner, here >= 0.005 * max(here) OVER (PARTITION BY ta.page_id, ta.box_id) AND (owner = ta.box_id OR here >= 0.25 * area) AS kept
+ FROM ta JOIN ar ON ta.page_id = ar.page_id AND ta.root = ar.root JOIN ow ON ta.page_id = ow.page_id AND ta.root = ow.root)"""
+AUDIT = """ob AS (SELECT ar.page_id, owner AS box_id, CAST(sum(area) AS BIGINT) AS owned FROM ar JOIN ow ON ar.page_id = ow.page_id AND ar.root = ow.root GROUP BY 1, 2),
+ kb AS (SELECT page_id, box_id, CAST(sum(CASE WHEN owner = box_id THEN here ELSE 0 END) AS BIGINT) AS kept_own, CAST(sum(CASE WHEN owner <> box_id THEN here ELSE 0 END) AS BIGINT) AS kept_foreign FROM ke WHERE kept GROUP BY 1, 2),
+ au AS (SELECT b.page_id, b.box_id, coalesce(owned, 0) AS owned, coalesce(kept_own, 0) AS kept_own, coalesce(kept_foreign, 0) AS kept_foreign FROM v_small b LEFT JOIN ob ON b.page_id = ob.page_id AND b.box_id = ob.box_id LEFT JOIN kb ON b.page_id = kb.page_id AND b.box_id = kb.box_id)"""
+
+
+def _labelled(spark, d):
+    return v.ink(spark, d).withColumn("root", F.col("y").cast("long"))
+
+
+def _small(spark, d):
+    return v.small_boxes(spark, d)
+
+
+@query("pixel_in_box", v.BOXES, v.SMALL, v.PIXELS, sql="SELECT b.page_id, box_id, y, x FROM v_ink i JOIN v_small b ON i.page_id = b.page_id AND x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1")
+def pixel_in_box(spark, d):
+    return ownership.pixels_in_boxes(v.ink(spark, d), _small(spark, d), 4).select("page_id", "box_id", "y", "x")
+
+
+@query("component_tally", v.BOXES, v.SMALL, v.PIXELS, ROWS, TALLY, sql="SELECT * FROM ta")
+def component_tally(spark, d):
+    return ownership.tallies(_labelled(spark, d), _small(spark, d), 4)
+
+
+@query("assign_owner", v.BOXES, v.SMALL, v.PIXELS, ROWS, TALLY, OWNER, sql="SELECT page_id, root, owner FROM ow")
+def assign_owner(spark, d):
+    return ownership.owners(ownership.tallies(_labelled(spark, d), _small(spark, d), 4))
+
+
+@query("crop_keep", v.BOXES, v.SMALL, v.PIXELS, ROWS, TALLY, OWNER, KEEP, sql="SELECT page_id, root, box_id, here, area, kept FROM ke")
+def crop_keep(spark, d):
+    labelled = _labelled(spark, d)
+    return ownership.keep_rule(ownership.tallies(labelled, _small(spark, d), 4), labelled)
+
+
+@query("crop_pixels", v.BOXES, v.SMALL, v.PIXELS, ROWS, TALLY, OWNER, KEEP, sql="SELECT l.page_id, k.box_id, l.y, l.x, l.root FROM lab l JOIN ke k ON l.page_id = k.page_id AND l.root = k.root AND kept JOIN v_small b ON b.page_id = l.page_id AND b.box_id = k.box_id AND x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1")
+def crop_pixels(spark, d):
+    return ownership.crop_pixels(_labelled(spark, d), _small(spark, d), 4)
+
+
+@query(
+    "audit_report", v.BOXES, v.SMALL, v.PIXELS, ROWS, TALLY, OWNER, KEEP, AUDIT,
+    sql="SELECT *, owned - kept_own AS missing, CASE WHEN owned > 0 THEN (owned - kept_own) / owned ELSE 0.0 END AS clipped, CASE WHEN kept_own + kept_foreign > 0 THEN kept_foreign / (kept_own + kept_foreign) ELSE 0.0 END AS foreign FROM au",
+)
+def audit_report(spark, d):
+    return ownership.audit(_labelled(spark, d), _small(spark, d), 4)
+
+
+@query("orphan_share", v.BOXES, v.SMALL, v.PIXELS, ROWS, TALLY, OWNER, sql="SELECT page_id, CAST(sum(CASE WHEN owner IS NULL THEN area ELSE 0 END) AS BIGINT) AS orphan, CAST(sum(area) AS BIGINT) AS total, sum(CASE WHEN owner IS NULL THEN area ELSE 0 END) / sum(area) AS share FROM ar LEFT JOIN ow USING (page_id, root) GROUP BY 1")
+def orphan_share(spark, d):
+    return ownership.orphans(_labelled(spark, d), _small(spark, d), 4)
+
+
+@query(
+    "propose_boxes", v.BOXES, v.SMALL, v.PIXELS, ROWS, TALLY, OWNER,
+    sql="""SELECT b.page_id, b.box_id, least(x0, ex0) AS x0, least(y0, ey0) AS y0, greatest(x1, ex1) AS x1, greatest(y1, ey1) AS y1 FROM v_small b JOIN
+ (SELECT l.page_id, owner AS box_id, min(x) AS ex0, min(y) AS ey0, max(x) AS ex1, max(y) AS ey1 FROM lab l JOIN ow ON l.page_id = ow.page_id AND l.root = ow.root GROUP BY 1, 2) e ON b.page_id = e.page_id AND b.box_id = e.box_id
+ WHERE ex0 < x0 OR ey0 < y0 OR ex1 > x1 OR ey1 > y1""",
+)
+def propose_boxes(spark, d):
+    return ownership.proposals(_labelled(spark, d), _small(spark, d), 4)
+
+
+@query("refine_loop")
+def refine_loop(spark, d):
+    return refine.refined(graph.labelled_pixels(v.ink(spark, d)), _small(spark, d), 4)
+
+
+# Labels
+
+ZIP = "z AS (SELECT b.page_id, b.box_id, ch FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY box_id) - 1 AS o FROM v_boxes) b JOIN v_chars c ON b.page_id = c.page_id AND b.o = c.ordinal)"
+
+
+def _zip(spark, d):
+    return text.zipped(v.boxes(spark, d).select("page_id", "box_id"), v.chars(spark, d))
+
+
+@query("zip_labels", v.BOXES, v.CHARS, ZIP, sql="SELECT * FROM z")
+def zip_labels(spark, d):
+    return _zip(spark, d)
+
+
+@query("first_wins", v.CHARS, sql="SELECT page_id, ordinal, ch FROM (SELECT *, row_number() OVER (PARTITION BY page_id, ch ORDER BY ordinal) AS rn FROM v_chars) a WHERE rn = 1")
+def first_wins(spark, d):
+    return text.first_uses(v.chars(spark, d), "ordinal")
+
+
+BANDED = [(c, lo, hi) for cs, lo, hi in dims.BANDS for c in cs]
+CHARSET = [(c,) for c in dims.SPANISH]
+
+
+@query("absent_chars", v.CHARS, sql=f"SELECT DISTINCT ch FROM v_chars WHERE ch NOT IN (SELECT ch FROM {dims.values(CHARSET, 'ch')})")
+def absent_chars(spark, d):
+    return text.absent(v.chars(spark, d), spark.createDataFrame(CHARSET, "ch string"))
+
+
+@query("missing_letters", v.CHARS, sql=f"SELECT page_id, ch FROM (SELECT DISTINCT page_id FROM v_chars) p, {dims.values([(c,) for c in dims.MINIMAL], 'ch')} EXCEPT SELECT page_id, ch FROM v_chars")
+def missing_letters(spark, d):
+    """Characters of the minimal set, a fixed 79, that a document lacks."""
+    chars = v.chars(spark, d).select("page_id", "ch").distinct()
+    wanted = chars.select("page_id").distinct().select("page_id", F.explode(F.split(F.lit(dims.MINIMAL), "")).alias("ch")).where("ch <> ''")
+    return wanted.join(chars, ["page_id", "ch"], "left_anti")
+
+
+@query(
+    "override_boxes", v.BOXES,
+    sql="""SELECT page_id, box_id, CASE WHEN o THEN greatest(0, least(239, least(x1 + 3, x0 - 3))) ELSE x0 END AS x0, CASE WHEN o THEN greatest(0, least(79, least(y1 + 3, y0 - 3))) ELSE y0 END AS y0,
+ CASE WHEN o THEN greatest(0, least(239, greatest(x1 + 3, x0 - 3))) ELSE x1 END AS x1, CASE WHEN o THEN greatest(0, least(79, greatest(y1 + 3, y0 - 3))) ELSE y1 END AS y1, o AS pinned FROM (SELECT *, box_id % 3 = 1 AS o FROM v_boxes) a""",
+)
+def override_boxes(spark, d):
+    boxes = v.boxes(spark, d)
+    given = boxes.where("box_id % 3 = 1").select("page_id", "box_id", F.expr("x1 + 3").alias("ox0"), F.expr("y0 - 3").alias("oy0"), F.expr("x0 - 3").alias("ox1"), F.expr("y1 + 3").alias("oy1"))
+    return bx.overridden(boxes, given, 240, 80)
+
+
+@query(
+    "expected_lines",
+    sql=r"""SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY pos) - 1 AS INT) AS line, chars, CAST(length(chars) AS INT) AS n FROM (SELECT id, pos, regexp_replace(ls[pos], '\s+', '', 'g') AS chars FROM (SELECT id, ls, unnest(range(1, len(ls) + 1)) AS pos FROM
+ (SELECT doc_id AS id, regexp_split_to_array(nfc_normalize(text), '\r?\n|\\n|/') AS ls FROM documents) a) b) c WHERE chars <> ''""",
+)
+def expected_lines(spark, d):
+    return text.expected_lines(v.read(spark, d, "documents"), "doc_id", "text")
+
+
+@query("char_bands", v.CHARS, sql=f"SELECT c.ch, n, coalesce(bottom, 0) AS bottom, coalesce(top, 700) AS top FROM (SELECT ch, count(*) AS n FROM v_chars GROUP BY 1) c LEFT JOIN (SELECT * FROM {dims.values(BANDED, 'ch, bottom, top')}) b ON c.ch = b.ch")
+def char_bands(spark, d):
+    return layout.with_bands(v.chars(spark, d).groupBy("ch").agg(F.count(F.lit(1)).alias("n")), dims.bands(spark))
+
+
+GLYPHS = f"gl AS (SELECT z.page_id, z.box_id, z.ch, x1 - x0 + 1 AS w, y1 - y0 + 1 AS h, coalesce(bottom, 0) AS lo, coalesce(top, 700) AS hi FROM z JOIN v_boxes b ON z.page_id = b.page_id AND z.box_id = b.box_id LEFT JOIN (SELECT * FROM {dims.values(BANDED, 'ch, bottom, top')}) t ON z.ch = t.ch)"
+
+
+@query("glyph_metrics", v.BOXES, v.CHARS, ZIP, GLYPHS, sql="SELECT page_id, box_id, ch, CAST(floor((hi - lo) / CAST(h AS DOUBLE) * 1000 + 0.5) AS BIGINT) AS scale_milli, CAST(hi AS BIGINT) AS dy, CAST(floor(100 + w * ((hi - lo) / CAST(h AS DOUBLE)) + 0.5) AS INT) AS advance FROM gl")
+def glyph_metrics(spark, d):
+    boxes = v.boxes(spark, d).select("page_id", "box_id", F.expr("x1 - x0 + 1").alias("ink_w"), F.expr("y1 - y0 + 1").alias("ink_h"))
+    placed = layout.placement(layout.with_bands(_zip(spark, d).join(boxes, ["page_id", "box_id"]), dims.bands(spark)))
+    return placed.select("page_id", "box_id", "ch", half_up(F.col("scale") * 1000).alias("scale_milli"), F.col("dy").cast("long").alias("dy"), "advance")
+
+
+# Text layout. A character's advance is 400 and what its band is high.
+
+ADVANCES = {c: 400 + (hi - lo) // 4 for c, lo, hi in BANDED}
+ADV = f"ad AS (SELECT * FROM {dims.values(sorted(ADVANCES.items()), 'ch, advance')})"
+SPLIT = "tx AS (SELECT conv_id * 1000 + turn AS line_id, string_split(text, '') AS cs FROM conversations), ci AS (SELECT line_id, CAST(i - 1 AS INT) AS ordinal, cs[i] AS ch FROM (SELECT line_id, cs, unnest(range(1, len(cs) + 1)) AS i FROM tx) a WHERE cs[i] <> '')"
+
+
+@query("text_layout", ADV, SPLIT, sql="SELECT line_id, ordinal, ci.ch, CAST(coalesce(sum(coalesce(advance, CASE WHEN ci.ch = ' ' THEN 300 ELSE 500 END)) OVER (PARTITION BY line_id ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS pen FROM ci LEFT JOIN ad ON ci.ch = ad.ch")
+def text_layout(spark, d):
+    turns = v.read(spark, d, "conversations").select(F.expr("conv_id * 1000 + turn").alias("line_id"), F.posexplode(F.split("text", "")).alias("ordinal", "ch")).where("ch <> ''")
+    return layout.pen_positions(turns, spark.createDataFrame(sorted(ADVANCES.items()), "ch string, advance int"))
+
+
+@query("word_wrap")
+def word_wrap(spark, d):
+    turns = v.read(spark, d, "conversations").select("conv_id", "turn", layout.word_widths(F.col("text"), ADVANCES).alias("words"))
+    return turns.select("conv_id", "turn", F.explode(layout.wrapped(F.col("words"), 30_000)).alias("l")).select("conv_id", "turn", "l.line", "l.words", "l.width")
+
+
+@query("html_needed_chars", sql=r"SELECT DISTINCT id, ch FROM (SELECT id, unnest(string_split(regexp_replace(upper(replace(regexp_replace(t, '<[^>]+>', '', 'g'), 'ß', 'SS')), '\s', '', 'g'), '')) AS ch FROM (SELECT page_id AS id, unnest(regexp_extract_all(html, '(?s)<h1[^>]*>(.*?)</h1>', 1)) AS t FROM pages) a) b WHERE ch <> ''")
+def html_needed_chars(spark, d):
+    return text.display_chars(v.read(spark, d, "pages"), "page_id", "html", r"(?s)<h1[^>]*>(.*?)</h1>")
+
+
+# Hangul
+
+SYL = f"""sy AS (SELECT row_id, codepoint, chr(codepoint) AS ch, substring('{dims.LEADS}', (codepoint - 44032) // 588 + 1, 1) AS lead, substring('{dims.VOWELS}', (codepoint - 44032) % 588 // 28 + 1, 1) AS vowel,
+ CASE WHEN (codepoint - 44032) % 28 = 0 THEN '' ELSE substring('{dims.FINALS}', (codepoint - 44032) % 28, 1) END AS final FROM v_syll),
+ ly AS (SELECT *, contains('{dims.UPRIGHT_VOWELS}', vowel) AS upright, final <> '' AS has_final FROM sy)"""
+
+
+@query("hangul_decompose", v.SYLL, SYL, sql="SELECT row_id, codepoint, ch, lead, vowel, final FROM sy")
+def hangul_decompose(spark, d):
+    return v.syllables(spark, d).select("row_id", "codepoint", *compose.decomposed(F.col("codepoint")))
+
+
+@query("hangul_layout_classes", v.SYLL, SYL, sql="SELECT upright, has_final, count(*) AS n, count(DISTINCT codepoint) AS syllables FROM ly GROUP BY 1, 2")
+def hangul_layout_classes(spark, d):
+    return compose.layouts(v.syllables(spark, d)).groupBy("upright", "has_final").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("codepoint").alias("syllables"))
+
+
+def _parts(spark):
+    """Letters as rectangles: leads and finals square, vowels tall or flat by their direction."""
+    shape = F.when(F.col("role") == "V", F.when(F.col("ch").isin(*dims.UPRIGHT_VOWELS), F.struct(F.lit(300.0).alias("w"), F.lit(800.0).alias("h"))).otherwise(F.struct(F.lit(800.0).alias("w"), F.lit(200.0).alias("h")))).otherwise(F.struct(F.lit(400.0).alias("w"), F.lit(400.0).alias("h")))
+    return dims.letters(spark).where("role <> 'X'").select("role", F.col("ch").alias("jamo"), shape.alias("s")).select("role", "jamo", F.lit(100.0).alias("x0"), F.lit(50.0).alias("y0"), (100 + F.col("s.w")).alias("x1"), (50 + F.col("s.h")).alias("y1"))
+
+
+SLOT = f"""sl AS (SELECT * FROM {dims.values(dims.SLOTS, 'upright, has_final, role, sx, sy, sw, sh')}),
+ pl AS (SELECT *, CASE WHEN role <> 'V' THEN 400.0 WHEN upright THEN 300.0 ELSE 800.0 END AS w, CASE WHEN role <> 'V' THEN 400.0 WHEN upright THEN 800.0 ELSE 200.0 END AS h FROM sl),
+ kx AS (SELECT *, least(CAST(sw AS DOUBLE) / w, least(CAST(sw AS DOUBLE) / w, CAST(sh AS DOUBLE) / h) * 1.5) AS k, least(CAST(sh AS DOUBLE) / h, least(CAST(sw AS DOUBLE) / w, CAST(sh AS DOUBLE) / h) * 1.5) AS l FROM pl),
+ bo AS (SELECT upright, has_final, role, floor((sx + (sw - w * k) / 2) * 10 + 0.5) AS x0, floor((1000 - (sy + (sh - h * l) / 2) - h * l) * 10 + 0.5) AS y0,
+  floor((sx + (sw - w * k) / 2 + w * k) * 10 + 0.5) AS x1, floor((1000 - (sy + (sh - h * l) / 2)) * 10 + 0.5) AS y1 FROM kx)"""
+
+
+@query(
+    "hangul_compose_bbox", v.SYLL, SYL, SLOT,
+    sql="SELECT codepoint, CAST(min(x0) AS BIGINT) AS x0, CAST(min(y0) AS BIGINT) AS y0, CAST(max(x1) AS BIGINT) AS x1, CAST(max(y1) AS BIGINT) AS y1, count(*) AS parts FROM (SELECT DISTINCT codepoint, upright, has_final FROM ly) s JOIN bo ON s.upright = bo.upright AND s.has_final = bo.has_final GROUP BY 1",
+)
+def hangul_compose_bbox(spark, d):
+    syllables = v.syllables(spark, d).select("codepoint").distinct()
+    parts = compose.composed(syllables, compose.placed_parts(_parts(spark), dims.slots(spark)))
+    return parts.groupBy("codepoint").agg(F.min("bx0").alias("x0"), F.min("by0").alias("y0"), F.max("bx1").alias("x1"), F.max("by1").alias("y1"), F.count(F.lit(1)).alias("parts"))
+
+
+@query(
+    "missing_parts", v.SYLL, SYL,
+    sql=f"SELECT item, role, ch, key FROM {dims.values([(i, r, c, f'{r}:{c}') for i, (r, c) in enumerate([('L', x) for x in dims.LEADS] + [('V', x) for x in dims.VOWELS] + [('T', x) for x in dims.FINALS])], 'item, role, ch, key')} WHERE key NOT IN (SELECT 'L:' || lead FROM sy WHERE row_id % 97 = 0 UNION SELECT 'V:' || vowel FROM sy WHERE row_id % 97 = 0 UNION SELECT 'T:' || final FROM sy WHERE row_id % 97 = 0)",
+)
+def missing_parts(spark, d):
+    """Letters that the syllables of every 97th order do not need."""
+    seen = compose.layouts(v.syllables(spark, d).where("row_id % 97 = 0")).select(F.explode(F.array(F.struct(F.lit("L").alias("role"), F.col("lead").alias("jamo")), F.struct(F.lit("V").alias("role"), F.col("vowel").alias("jamo")), F.struct(F.lit("T").alias("role"), F.col("final").alias("jamo")))).alias("p"))
+    return compose.missing_parts(dims.letters(spark).where("role <> 'X'"), seen.select("p.role", "p.jamo").distinct())
+
+
+# Sheets
+
+@query("worksheet_cells", sql=f"SELECT p_partkey, key, CAST(item // 42 AS INT) AS page, CAST(item % 42 // 6 AS INT) AS row, CAST(item % 6 AS INT) AS col FROM part JOIN {dims.values([(i, f'{r}:{c}') for i, (r, c) in enumerate([('L', x) for x in dims.LEADS] + [('V', x) for x in dims.VOWELS] + [('T', x) for x in dims.FINALS] + [('X', x) for x in dims.EXTRAS])], 'item, key')} ON p_partkey % 84 = item")
+def worksheet_cells(spark, d):
+    parts = v.read(spark, d, "part").select("p_partkey", F.expr("int(p_partkey % 84)").alias("item"))
+    return parts.join(F.broadcast(dims.letters(spark)), "item").select("p_partkey", "key", *layout.sheet_places(F.col("item")))
+
+
+CELL = "SELECT p_partkey, {0} FROM (SELECT p_partkey, p_partkey % 6 AS col, p_partkey % 42 // 6 AS row, (600 + p_size * 10) / CAST(595.28 AS DOUBLE) AS sx, (850 + p_size * 14) / CAST(841.89 AS DOUBLE) AS sy, CAST(85.88 AS DOUBLE) AS cw, CAST(98.84142857142857 AS DOUBLE) AS ch FROM part) a".format(
+    ", ".join(f"CAST(floor(({e}) + 0.5) AS INT) AS {n}" for n, e in (("x0", "(40 + col * cw) * sx"), ("y0", "(110 + row * ch) * sy"), ("x1", "(40 + col * cw + cw - 4) * sx"), ("y1", "(110 + row * ch + ch - 4) * sy")))
+)
+
+
+@query("cell_rects", sql=CELL)
+def cell_rects(spark, d):
+    places = v.read(spark, d, "part").select("p_partkey", F.expr("p_partkey % 6").alias("col"), F.expr("p_partkey % 42 div 6").alias("row"), F.expr("600 + p_size * 10").alias("width"), F.expr("850 + p_size * 14").alias("height"))
+    return layout.cell_rectangles(places).select("p_partkey", "x0", "y0", "x1", "y1")
+
+
+@query("review_sheets", v.BOXES, sql="SELECT page_id, box_id, CAST((row_number() OVER (PARTITION BY page_id ORDER BY box_id) - 1) // 7 AS INT) AS sheet FROM v_boxes")
+def review_sheets(spark, d):
+    return v.boxes(spark, d).select("page_id", "box_id", layout.sheet_of_review(F.col("box_id") - 1).alias("sheet"))
+
+
+# Outlines
+
+@query("shoelace_area", v.POLY, sql="SELECT poly_id, CAST(sum(x * ny - nx * y) AS BIGINT) AS area2 FROM (SELECT *, coalesce(lead(x) OVER w, first_value(x) OVER w) AS nx, coalesce(lead(y) OVER w, first_value(y) OVER w) AS ny FROM v_poly WINDOW w AS (PARTITION BY poly_id ORDER BY i)) a GROUP BY 1")
+def shoelace_area(spark, d):
+    return outline.doubled_areas(v.polygons(spark, d))
+
+
+EDGES = "eg AS (SELECT *, coalesce(lead(x) OVER w, first_value(x) OVER w) AS nx, coalesce(lead(y) OVER w, first_value(y) OVER w) AS ny FROM v_poly WINDOW w AS (PARTITION BY poly_id ORDER BY i))"
+WIND = """st AS (SELECT poly_id, poly_id // 4 AS group_id, x AS px, y AS py FROM v_poly WHERE i = 0),
+ ins AS (SELECT s.group_id, s.poly_id, e.poly_id AS other, count(*) FILTER (WHERE (e.y > py) <> (e.ny > py) AND px < CAST((e.nx - e.x) * (py - e.y) AS DOUBLE) / nullif(e.ny - e.y, 0) + e.x) % 2 AS inn FROM st s JOIN eg e ON e.poly_id // 4 = s.group_id AND e.poly_id <> s.poly_id GROUP BY 1, 2, 3),
+ de AS (SELECT group_id, poly_id, CAST(sum(inn) AS BIGINT) AS depth FROM ins GROUP BY 1, 2), aa AS (SELECT poly_id, sum(x * ny - nx * y) AS area2 FROM eg GROUP BY 1)"""
+
+
+@query("winding_depth", v.POLY, EDGES, WIND, sql="SELECT st.group_id, st.poly_id, coalesce(depth, 0) AS depth, (area2 > 0) <> (coalesce(depth, 0) % 2 = 1) AS reverse FROM st LEFT JOIN de ON st.poly_id = de.poly_id JOIN aa ON st.poly_id = aa.poly_id")
+def winding_depth(spark, d):
+    polygons = v.polygons(spark, d)
+    return outline.winding(polygons, polygons.select("poly_id").distinct().withColumn("group_id", F.expr("poly_id div 4")))
+
+
+# Sinks as text
+
+@query("svg_font_rows", v.SYLL, sql="SELECT row_id, codepoint, '<glyph glyph-name=\"uni' || upper(hex(codepoint)) || '\" unicode=\"&#x' || upper(hex(codepoint)) || ';\" horiz-adv-x=\"1000\"/>' AS xml FROM v_syll")
+def svg_font_rows(spark, d):
+    named = v.syllables(spark, d).withColumn("ch", compose.decomposed(F.col("codepoint"))[0])
+    return named.select("row_id", "codepoint", F.format_string('<glyph glyph-name="%s" unicode="%s" horiz-adv-x="1000"/>', glyph_name(F.col("codepoint")), xml_escape(F.col("ch"))).alias("xml"))
+
+
+@query("font_face_css", sql=r"""SELECT p_partkey, coalesce(nullif(regexp_replace(p_name, '[^A-Za-z0-9_-]', '', 'g'), ''), 'MyHand') AS font_id, '@font-face { font-family: ''' || regexp_replace(p_name, '([\\''])', '\\\1', 'g') || '''; font-display: swap; }' AS css FROM part""")
+def font_face_css(spark, d):
+    return v.read(spark, d, "part").select("p_partkey", font_id(F.col("p_name")).alias("font_id"), F.format_string("@font-face { font-family: '%s'; font-display: swap; }", css_escape(F.col("p_name"))).alias("css"))
