@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 from glyphlake.functions.scalars import upper_median, upper_quartile
 from glyphlake.operators.graph import smallest_reachable
 
-PAGE = W.partitionBy("page_id")
+
+def _page():
+    return W.partitionBy("page_id")
 
 
 def islands(boxes: DataFrame) -> DataFrame:
     """(page_id, chunk, x0, x1, y0, y1, area): runs of boxes whose columns overlap, numbered from 0 from the left."""
-    order = PAGE.orderBy("x0", "box_id")
+    order = _page().orderBy("x0", "box_id")
     reach = F.max("x1").over(order.rowsBetween(W.unboundedPreceding, -1))
     opens = F.when(F.col("x0") <= reach, 0).otherwise(1)
     flagged = boxes.withColumn("opens", opens)
@@ -33,7 +35,7 @@ def without_debris(chunks: DataFrame) -> DataFrame:
     """Chunks of at least 15 percent of their page's upper-quartile area, on pages of three or more; all if none is."""
     upper = chunks.groupBy("page_id").agg(F.count(F.lit(1)).alias("n"), upper_quartile(F.collect_list("area")).alias("upper"))
     solid = F.col("area") >= F.col("upper") * 0.15
-    judged = chunks.join(upper, "page_id").withColumn("solid", solid).withColumn("any", F.max("solid").over(PAGE))
+    judged = chunks.join(upper, "page_id").withColumn("solid", solid).withColumn("any", F.max("solid").over(_page()))
     return judged.where("n < 3 or solid or not any").drop("n", "upper", "solid", "any")
 
 
@@ -51,8 +53,8 @@ def inside_page(boxes: DataFrame, width: int, height: int, least: int = 4) -> Da
 
 def widest_gaps(chunks: DataFrame) -> DataFrame:
     """(page_id, chunk, gap): the chunk before which the widest gap of the page lies, the first of equal ones."""
-    gaps = chunks.withColumn("gap", F.col("x0") - F.lag("x1").over(PAGE.orderBy("chunk"))).where("gap is not null")
-    return gaps.withColumn("rn", F.row_number().over(PAGE.orderBy(F.desc("gap"), "chunk"))).where("rn = 1").select("page_id", "chunk", "gap")
+    gaps = chunks.withColumn("gap", F.col("x0") - F.lag("x1").over(_page().orderBy("chunk"))).where("gap is not null")
+    return gaps.withColumn("rn", F.row_number().over(_page().orderBy(F.desc("gap"), "chunk"))).where("rn = 1").select("page_id", "chunk", "gap")
 
 
 def allocated(chunks: DataFrame, totals: DataFrame) -> DataFrame:
@@ -62,9 +64,9 @@ def allocated(chunks: DataFrame, totals: DataFrame) -> DataFrame:
     leftmost of equal ones. As a chunk of width w wins its k-th further character at w / k, the
     largest quotients of all chunks are what is handed out: one ranking in place of a loop.
     """
-    sized = chunks.join(totals, "page_id").withColumn("width", F.col("x1") - F.col("x0") + 1).withColumn("chunks", F.count(F.lit(1)).over(PAGE))
+    sized = chunks.join(totals, "page_id").withColumn("width", F.col("x1") - F.col("x0") + 1).withColumn("chunks", F.count(F.lit(1)).over(_page()))
     bids = sized.withColumn("k", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.col("total") - F.col("chunks")))))
-    ranked = bids.withColumn("rn", F.row_number().over(PAGE.orderBy(F.desc(F.col("width") / F.col("k")), "chunk", "k")))
+    ranked = bids.withColumn("rn", F.row_number().over(_page().orderBy(F.desc(F.col("width") / F.col("k")), "chunk", "k")))
     won = (F.col("rn") <= F.col("total") - F.col("chunks")).cast("int")
     return ranked.groupBy("page_id", "chunk").agg((1 + F.sum(won)).cast("int").alias("n"))
 
@@ -110,7 +112,7 @@ def merge_candidates(boxes: DataFrame) -> DataFrame:
     """
     gaps = "greatest(0, greatest(y0, b_y0) - least(y1, b_y1) - 1) + greatest(0, greatest(x0, b_x0) - least(x1, b_x1) - 1)"
     found = _pairs(boxes).join(median_heights(boxes), "page_id").where(MERGE_RULES).withColumn("dist", F.expr(gaps))
-    rank = F.row_number().over(PAGE.orderBy("dist", "box_id", "b_box_id"))
+    rank = F.row_number().over(_page().orderBy("dist", "box_id", "b_box_id"))
     return found.withColumn("rn", rank).where("rn = 1").select("page_id", F.col("box_id").alias("a"), F.col("b_box_id").alias("b"), "dist")
 
 

@@ -43,7 +43,8 @@ def placed_parts(parts: DataFrame, slots: DataFrame) -> DataFrame:
     These are the only transforms there are, 145 for the full set, so syllables join them instead of
     fitting each letter anew.
     """
-    joined = parts.join(F.broadcast(slots), "role").withColumn("w", F.greatest(F.lit(1.0), F.col("x1") - F.col("x0"))).withColumn("h", F.greatest(F.lit(1.0), F.col("y1") - F.col("y0")))
+    fits = (F.col("role") != "V") | (F.col("upright") == F.col("jamo").isin(*dims.UPRIGHT_VOWELS))
+    joined = parts.join(F.broadcast(slots), "role").where(fits).withColumn("w", F.greatest(F.lit(1.0), F.col("x1") - F.col("x0"))).withColumn("h", F.greatest(F.lit(1.0), F.col("y1") - F.col("y0")))
     fit = F.least(F.col("sw") / F.col("w"), F.col("sh") / F.col("h")) * MOST_STRETCH
     scaled = joined.withColumn("kx", F.least(F.col("sw") / F.col("w"), fit)).withColumn("ky", F.least(F.col("sh") / F.col("h"), fit))
     left = F.col("sx") + (F.col("sw") - F.col("w") * F.col("kx")) / 2

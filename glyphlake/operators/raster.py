@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 
 from glyphlake.functions.scalars import half_up
 
-UP_TO = W.partitionBy("page_id").orderBy("gray").rowsBetween(W.unboundedPreceding, 0)
-ALL = W.partitionBy("page_id")
 #: Darkest share of a page that counts as ink where no threshold separates it, and the most that can be ink.
 DARKEST, MOST_INK = 0.012, 0.35
 
@@ -24,8 +22,10 @@ def histogram(gray: DataFrame) -> DataFrame:
 
 
 def _cumulative(hist: DataFrame) -> DataFrame:
+    page = W.partitionBy("page_id")
+    up_to = page.orderBy("gray").rowsBetween(W.unboundedPreceding, 0)
     return hist.select(
-        "page_id", "gray", "n", F.sum("n").over(UP_TO).alias("below"), F.sum(F.col("gray") * F.col("n")).over(UP_TO).alias("mass"), F.sum("n").over(ALL).alias("total"), F.sum(F.col("gray") * F.col("n")).over(ALL).alias("total_mass")
+        "page_id", "gray", "n", F.sum("n").over(up_to).alias("below"), F.sum(F.col("gray") * F.col("n")).over(up_to).alias("mass"), F.sum("n").over(page).alias("total"), F.sum(F.col("gray") * F.col("n")).over(page).alias("total_mass")
     )
 
 
