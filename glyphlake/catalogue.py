@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from glyphlake.functions.scalars import css_escape, font_id, glyph_name, half_up, xml_escape
 from glyphlake.operators import boxes as bx
 from glyphlake.operators import compose, dims, graph, layout, outline, ownership, raster, text
-from glyphlake.plans import kernels, refine
+from glyphlake.plans import kernels, pages, refine
 from glyphlake.sources import views as v
 
 QUERIES: dict = {}
@@ -307,6 +307,14 @@ def carve_seam(spark, d):
     return cells.select("page_id", "y0", F.posexplode("seam_right").alias("row", "x")).select("page_id", (F.col("y0") + F.col("row")).alias("y"), "x")
 
 
+@query("character_cells")
+def character_cells(spark, d):
+    """Every order's boxes cut into the characters that its document's lines expect."""
+    boxes = v.boxes(spark, d)
+    lines = text.expected_lines(v.read(spark, d, "documents"), "doc_id", "text").select(F.col("id").alias("page_id"), "line", F.substring("chars", 1, 6).alias("chars"))
+    return pages.character_cells(boxes, lines, v.ink(spark, d))
+
+
 # Ownership. The pixel's raster row stands in for its component, which keeps the twins plain SQL.
 
 ROWS = "lab AS (SELECT page_id, y, x, CAST(y AS BIGINT) AS root FROM v_ink)"
