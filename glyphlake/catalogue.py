@@ -260,6 +260,16 @@ def merge_candidates(spark, d):
     return bx.merge_candidates(v.boxes(spark, d))
 
 
+@query(
+    "hit_test", v.BOXES,
+    sql="""SELECT page_id, px, py, box_id FROM (SELECT p.page_id, px, py, box_id, row_number() OVER (PARTITION BY p.page_id, px, py ORDER BY (x1 - x0 + 1) * (y1 - y0 + 1), box_id) AS rn
+ FROM (SELECT o_orderkey AS page_id, CAST(o_custkey % 240 AS INT) AS px, CAST(o_orderkey % 80 AS INT) AS py FROM orders) p JOIN v_boxes b ON p.page_id = b.page_id AND px BETWEEN x0 AND x1 AND py BETWEEN y0 AND y1) x WHERE rn = 1""",
+)
+def hit_test(spark, d):
+    points = v.read(spark, d, "orders").select(F.col("o_orderkey").alias("page_id"), F.expr("int(o_custkey % 240)").alias("px"), F.expr("int(o_orderkey % 80)").alias("py"))
+    return bx.hit(points, v.boxes(spark, d))
+
+
 @query("merge_parts")
 def merge_parts(spark, d):
     return kernels.merged_parts(v.boxes(spark, d))
@@ -534,6 +544,16 @@ def missing_parts(spark, d):
     return compose.missing_parts(dims.letters(spark).where("role <> 'X'"), seen.select("p.role", "p.jamo").distinct())
 
 
+@query(
+    "text_sources", v.SYLL, SYL,
+    sql="SELECT ch, CASE WHEN codepoint % 5 = 0 THEN 'written' ELSE 'composed' END AS source, CAST(CASE WHEN codepoint % 5 = 0 THEN 1 WHEN has_final THEN 3 ELSE 2 END AS BIGINT) AS parts FROM (SELECT DISTINCT ch, codepoint, has_final FROM ly) a",
+)
+def text_sources(spark, d):
+    """What the distinct syllables of all orders are drawn from, every fifth code point written as itself."""
+    chars = v.syllables(spark, d).select("codepoint", compose.decomposed(F.col("codepoint"))[0])
+    return compose.for_text(chars, chars.where("codepoint % 5 = 0"), compose.placed_parts(_parts(spark), dims.slots(spark)))
+
+
 # Sheets
 
 @query("worksheet_cells", sql=f"SELECT p_partkey, key, CAST(item // 42 AS INT) AS page, CAST(item % 42 // 6 AS INT) AS row, CAST(item % 6 AS INT) AS col FROM part JOIN {dims.values([(i, f'{r}:{c}') for i, (r, c) in enumerate([('L', x) for x in dims.LEADS] + [('V', x) for x in dims.VOWELS] + [('T', x) for x in dims.FINALS] + [('X', x) for x in dims.EXTRAS])], 'item, key')} ON p_partkey % 84 = item")

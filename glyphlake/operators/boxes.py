@@ -126,3 +126,18 @@ def overridden(boxes: DataFrame, overrides: DataFrame, width: int, height: int)
     return joined.select(
         "page_id", "box_id", side("x0", "ox0", "ox1", F.least, width - 1), side("y0", "oy0", "oy1", F.least, height - 1), side("x1", "ox0", "ox1", F.greatest, width - 1), side("y1", "oy0", "oy1", F.greatest, height - 1), F.col("ox0").isNotNull().alias("pinned")
     )
+
+
+def hit(points: DataFrame, boxes: DataFrame) -> DataFrame:
+    """(page_id, px, py, box_id): the smallest box of a page that holds a point, the first of equal ones."""
+    held = points.join(boxes, "page_id").where("px between x0 and x1 and py between y0 and y1")
+    size = (F.col("x1") - F.col("x0") + 1) * (F.col("y1") - F.col("y0") + 1)
+    rank = F.row_number().over(W.partitionBy("page_id", "px", "py").orderBy(size, "box_id"))
+    return held.withColumn("rn", rank).where("rn = 1").select("page_id", "px", "py", "box_id")
+
+
+def grabbed_corner(points: DataFrame, boxes: DataFrame, radius: int) -> DataFrame:
+    """(page_id, px, py, box_id, corner): corners nw, ne, sw, se of boxes within ``radius`` of a point along both axes."""
+    corners = F.array(*(F.struct(F.lit(n).alias("corner"), F.col(x).alias("cx"), F.col(y).alias("cy")) for n, x, y in (("nw", "x0", "y0"), ("ne", "x1", "y0"), ("sw", "x0", "y1"), ("se", "x1", "y1"))))
+    near = points.join(boxes.select("page_id", "box_id", F.explode(corners).alias("c")), "page_id").where((F.abs(F.col("px") - F.col("c.cx")) <= radius) & (F.abs(F.col("py") - F.col("c.cy")) <= radius))
+    return near.select("page_id", "px", "py", "box_id", "c.corner")

@@ -76,3 +76,17 @@ def placed_in_block(x0: Column, y0: Column, x1: Column, y1: Column, inset: int =
     w, h = x1 - x0, y1 - y0
     scale = F.least((1000 - 2 * inset) / w, (1000 - 2 * inset) / h)
     return [scale.alias("scale"), ((1000 - w * scale) / 2).alias("dx"), ((1000 - h * scale) / 2).alias("dy")]
+
+
+def for_text(chars: DataFrame, written: DataFrame, placed: DataFrame) -> DataFrame:
+    """(ch, source, parts): what each distinct character of a text is drawn from.
+
+    A character that was written itself (ch) is used as it is; a modern syllable is composed if all
+    its letters have parts; others are left out.
+    """
+    distinct = chars.select("ch").distinct()
+    literal = distinct.join(written.select("ch").distinct(), "ch", "left_semi").select("ch", F.lit("written").alias("source"), F.lit(1).cast("long").alias("parts"))
+    rest = distinct.join(literal, "ch", "left_anti").where(F.ascii("ch").between(FIRST, FIRST + COUNT - 1)).select(F.ascii("ch").alias("codepoint"))
+    counted = composed(rest, placed).groupBy("codepoint").agg(F.count(F.lit(1)).alias("parts"))
+    wanted = F.when(F.col("codepoint").cast("int") % 28 == FIRST % 28, 2).otherwise(3)
+    return literal.unionByName(counted.where(F.col("parts") == wanted).select(char_of(F.col("codepoint")).alias("ch"), F.lit("composed").alias("source"), "parts"))
