@@ -46,7 +46,6 @@ def connected_components(edges: DataFrame, name: str = "cc", most_rounds: int =
     more rows than there are edges and nothing is gathered on the driver but one count a round.
     An empty graph gives an empty result.
     """
-    spark = edges.sparkSession
     links = (
         edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), F.col("a").isNotNull().alias("x"), F.col("b").isNotNull().alias("y"))
         .where("x and y and a > b")
@@ -55,9 +54,10 @@ def connected_components(edges: DataFrame, name: str = "cc", most_rounds: int =
     )
     links = written(links, name)
     for _ in range(most_rounds):
-        # Settled when every node has one parent and no parent has a parent.
-        total, nodes = links.agg(F.count(F.lit(1)), F.countDistinct("a")).first()
-        if total == nodes and not links.join(links.select(F.col("a").alias("b")), "b", "left_semi").limit(1).count():
+        # Settled when every node has one parent at most and no parent has a parent.
+        ends = links.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(links.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        open_ = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or up > 0 and down > 0")
+        if not open_.limit(1).count():
             break
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
