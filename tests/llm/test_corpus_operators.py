@@ -82,6 +82,52 @@ def test_fuzzy_lines_are_found(spark):
     assert pairs >= 45  # within three bits of 64; the rest is beyond the fingerprint's reach
 
 
+def prose(words, least):
+    line = random.choice(words)
+    while len(line) < least:
+        line += " " + random.choice(words)
+    return line
+
+
+def edited(line, kind, share):
+    """A copy of which a share of the characters, or of the words, is replaced, at least one."""
+    parts = list(line) if kind == "characters" else line.split(" ")
+    for i in random.sample(range(len(parts)), max(1, int(share * len(parts)))):
+        parts[i] = "".join(random.choice("klmnopqrst") for _ in parts[i])
+    return (" " if kind == "words" else "").join(parts)
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        row, last = [i + 1], row
+        for j, y in enumerate(b):
+            row.append(min(last[j] + (x != y), last[j + 1] + 1, row[j] + 1))
+    return row[-1]
+
+
+#: Pairs found of those that brute force finds, in percent at least, by length in characters, kind of edit and share.
+RECALL = {(40, "characters", 0.01): 90, (40, "words", 0.1): 70, (90, "characters", 0.05): 75, (90, "words", 0.1): 90, (200, "characters", 0.01): 95, (200, "words", 0.05): 95, (200, "words", 0.1): 95, (450, "words", 0.15): 90, (600, "characters", 0.01): 95, (90, "characters", 0.15): 15, (200, "characters", 0.05): 35, (200, "characters", 0.15): 0}
+
+
+def test_edited_lines_are_found_at_all_lengths(spark):
+    random.seed(13)
+    words = ["".join(random.choice("abcdefghij") for _ in range(random.randrange(3, 11))) for _ in range(3000)]
+    data, cases = [], []
+    for case in RECALL:
+        for _ in range(40):
+            line = prose(words, case[0])
+            other = edited(line, *case[1:])
+            if 100 * distance(line, other) <= 20 * max(len(line), len(other)):
+                cases.append((case, len(data) + 1))
+                data += [(len(data), line), (len(data) + 1, other)]
+    got = {r.doc_id: r._dropped for r in lines.dedup_lines(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert not any(got[i - 1] for _, i in cases)  # nothing else goes
+    shares = {case: 100 * sum(got[i] for c, i in cases if c == case) / sum(c == case for c, _ in cases) for case in RECALL}
+    print(shares)
+    assert all(shares[case] >= least for case, least in RECALL.items()), shares
+
+
 def edf(ticks, cycle):
     """Slots by simulation: the earliest deadline among released blocks, ties to the first source."""
     done, out = {s: 0 for s in ticks}, []
