@@ -23,7 +23,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's text without its fuzzy duplicate lines."""
-    return lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text")).withColumnsRenamed({"_lines": "n_lines", "_dropped": "n_dropped"})
+    return lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), spared=0).withColumnsRenamed({"_lines": "n_lines", "_dropped": "n_dropped"})
 
 
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
