@@ -321,7 +321,7 @@ def carve_seam(spark, d):
 def character_cells(spark, d):
     """Every order's boxes cut into the characters that its document's lines expect."""
     boxes = v.boxes(spark, d)
-    lines = text.expected_lines(v.read(spark, d, "documents"), "doc_id", "text").select(F.col("id").alias("page_id"), "line", F.substring("chars", 1, 6).alias("chars"))
+    lines = text.expected_lines(v.read(spark, d, "documents"), "doc_id", "text").select(F.col("id").alias("page_id"), "line", "chars")
     return pages.character_cells(boxes, lines, v.ink(spark, d))
 
 
