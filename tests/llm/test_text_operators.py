@@ -64,6 +64,11 @@ def test_stems_hold_for_all_their_words():
     assert lexicon.find("loweichen") == (4.0, 0) and lexicon.find("lowe") == (4.0, 0) and lexicon.find("low") is None
 
 
+def test_rarer_terms_are_found_misspelled():
+    lexicon = toxicity.Lexicon({"wretched": 8.0, "rotten": 4.0, "vile": 4.0}, {})
+    assert lexicon.find("rottem") == (4.0, 1) and lexicon.find("wretchde") == (8.0, 1) and lexicon.find("vils") is None
+
+
 def test_toxicity_learns_and_tells_quotation(spark):
     random.seed(4)
     plain = "the of and thing other words here that with from".split()
