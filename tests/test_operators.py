@@ -2,10 +2,11 @@
 
 from pyspark.sql import functions as F
 
+from glyphlake import catalogue
 from glyphlake.functions import scalars as s
 from glyphlake.operators import boxes, compose, dims, graph, layout, outline, ownership, raster, text
 from glyphlake.plans.refine import refined
-from glyphlake.sources import sinks
+from glyphlake.sources import sinks, views
 
 BOX = "page_id long, box_id int, x0 int, x1 int, y0 int, y1 int, area long"
 
@@ -158,3 +159,11 @@ def test_sinks(spark):
     assert lines[2].startswith('<font id="MyHand"') and 'glyph-name="uni0041"' in lines[6] and lines[-1].endswith("</svg>")
     png = sinks.crops(spark.createDataFrame([(1, 1, 5, 5)], "page_id long, box_id int, y int, x int"), spark.createDataFrame([(1, 1, 5, 6, 5, 6, 1)], BOX)).first().png
     assert bytes(png[:4]) == b"\x89PNG"
+
+
+def test_missing_parts_reads_every_order(spark):
+    d = "/root/testdata/sf0.001"
+    seen = compose.layouts(views.syllables(spark, d)).select("lead", "vowel", "final").distinct().collect()
+    needed = {f"{role}:{r[i]}" for r in seen for i, role in enumerate("LVT")}
+    want = {f"{role}:{c}" for role, cs in (("L", dims.LEADS), ("V", dims.VOWELS), ("T", dims.FINALS)) for c in cs} - needed
+    assert {r.key for r in catalogue.QUERIES["missing_parts"](spark, d).collect()} == want
