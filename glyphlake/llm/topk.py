@@ -26,18 +26,22 @@ LEVEL, CHUNK = 16, 4096
 BLOCK, PER_PASS = 512, 16
 #: Steps in which a query's segments are processed, and the share of rows at which rescoring takes over.
 STEPS, LEFT = 4, 1 / 16
-#: Components beyond this magnitude are outside the operator's range: their scores would not fit 64 bits.
+#: A usable vector with a component beyond this magnitude fails the query: its scores might not fit 64 bits.
 RANGE = float(1 << 20)
 
 
 def whole_vectors(vectors: DataFrame, id_col: str, vector_col: str, scale: int = 256) -> DataFrame:
     """(vec_id, v): components as floor(scale * x).
 
-    Rows with a null id, a null or empty vector, or null, non-finite or out-of-RANGE components take no part.
+    Rows with a null id, a null or empty vector, or null or non-finite components take no part. Among
+    the others a component beyond RANGE raises an error, as no row may be lost in silence.
     """
     picked = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.transform(F.col(vector_col), lambda e: e.cast("double")).alias("x"))
-    usable = F.forall("x", lambda e: F.coalesce(~F.isnan(e) & (F.abs(e) <= RANGE), F.lit(False)))
-    return picked.where("vec_id is not null and size(x) > 0").where(usable).select("vec_id", F.transform("x", lambda e: F.floor(e * scale).cast("long")).alias("v"))
+    usable = F.forall("x", lambda e: F.coalesce(~F.isnan(e) & (F.abs(e) < float("inf")), F.lit(False)))
+    usable = F.col("vec_id").isNotNull() & (F.size("x") > 0) & usable
+    beyond = F.exists("x", lambda e: F.abs(e) > RANGE)
+    said = F.raise_error(F.concat(F.lit(f"a component is beyond {RANGE:.0f} in the vector of id "), F.col("vec_id").cast("string"))).cast("boolean")
+    return picked.where(F.when(~F.coalesce(usable, F.lit(False)), F.lit(False)).when(beyond, said).otherwise(F.lit(True))).select("vec_id", F.transform("x", lambda e: F.floor(e * scale).cast("long")).alias("v"))
 
 
 class Chunk:

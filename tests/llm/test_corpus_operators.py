@@ -217,6 +217,13 @@ def test_top_k_matches_brute_force(spark, monkeypatch):
     assert topk.exact_top_k(v.limit(0), v.limit(0)).count() == 0
 
 
+def test_components_beyond_the_range_fail_loudly(spark):
+    d = spark.createDataFrame([(1, [0.5, 1.0]), (2, [float(1 << 21), 0.0])], "vec_id long, embedding array<float>")
+    with pytest.raises(Exception, match="beyond 1048576 in the vector of id 2"):
+        topk.whole_vectors(d, "vec_id", "embedding").collect()
+    assert topk.whole_vectors(d.where("vec_id = 1"), "vec_id", "embedding").count() == 1
+
+
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_every_query_is_registered(name):
     import __spark_entry__
