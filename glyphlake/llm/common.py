@@ -2,48 +2,23 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHECKPOINT_KEY = "spark.checkpoint.dir"
+from glyphlake.sources.durable import discard, setting, written  # noqa: F401
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where it is unset."""
-    where = spark.conf.get(CHECKPOINT_KEY, None)
-    if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="glyphlake-")
-        spark.conf.set(CHECKPOINT_KEY, where)
-    return where.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write a DataFrame as Parquet in the shared folder and read it back.
-
-    The files outlive executors, so a lost executor costs a re-read and not a recomputation, and
-    the lineage ends there.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/glyphlake-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Bytes of texts in an Arrow batch; a longer text is a batch of its own.
+BATCH_BYTES = 8 << 20
 
 
 @contextmanager
 def short_batches(spark: SparkSession, rows: int = 500) -> Iterator[None]:
     """Within it, rows go to Python in batches of at most ``rows``: texts may be long, and a batch is held whole."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, rows)
-    try:
+    with setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(rows)):
         yield
-    finally:
-        spark.conf.set(key, before)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
