@@ -55,7 +55,8 @@ def connected_components(edges: DataFrame, name: str = "cc", most_rounds: int =
         large = large.unionByName(own).where("a > b").distinct()
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(down, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(down.withColumnRenamed("m", "b"))
-        links = written(small.where("a > b").distinct(), name)
+        links, before = written(small.where("a > b").distinct(), name), links
+        discard(before)
     else:
         raise RuntimeError(f"components not settled after {most_rounds} rounds")
     roots = links.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("component"))
