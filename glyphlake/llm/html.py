@@ -89,6 +89,16 @@ class Tree(HTMLParser):
                 return  # a stray inline end tag closes no block
             node = node.up
 
+    def unknown_decl(self, data: str) -> None:
+        """Declarations of no known kind hold no text."""
+
+    def parse_html_declaration(self, i: int) -> int:
+        try:
+            return super().parse_html_declaration(i)
+        except AssertionError:  # a marked section of no known keyword: it ends with the next bracket
+            end = self.rawdata.find(">", i)
+            return len(self.rawdata) if end < 0 else end + 1
+
     def handle_data(self, data: str) -> None:
         self.at.parts.append(data)
 

@@ -58,6 +58,9 @@ TEMPLATES = {
     "unlicense": ["""This is free and unencumbered software released into the public domain."""],
 }
 
+#: Of replaceable regions of more characters than this the number of words is not counted.
+MOST_WORDS = 4000
+
 _WORD_BYTES = bytes(
     c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256)
 )
@@ -72,6 +75,22 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_WORD_BYTES).split() if text else []
 
 
+def _var_words(markup: str) -> tuple[int, int | None]:
+    """Least and most words (None: any number) of a replaceable region.
+
+    ``max=n`` says so in words; ``match="..."`` is a pattern over characters, as in published templates:
+    ``.*`` and ``.+`` any number, ``.{m,n}`` no more words than fit n characters. What has neither, or
+    another pattern, is any number of words from one on.
+    """
+    if found := re.search(r";\s*max=(\d+)", markup):
+        return 0, int(found[1])
+    pattern = found[1] if (found := re.search(r'match="([^"]*)"', markup)) else ".+"
+    if found := re.fullmatch(r"\.\{(\d*),(\d*)\}", pattern):
+        least, most = int(found[1] or 0), int(found[2]) if found[2] else None
+        return int(least > 0), None if most is None or most > MOST_WORDS else max(int(least > 0), (most + 1) // 2)
+    return (0, None) if pattern in (".*", "") else (1, None)
+
+
 class Automaton:
     """A template over words. States are numbered; state 0 starts and the last state accepts."""
 
@@ -79,18 +98,29 @@ class Automaton:
         self.steps: list[tuple[bytes | None, int]] = []  # (word, or None for any word; state it leads to) by state
         self.skips: list[list[int]] = []  # states reached without a word
         opened: list[int] = []
-        for part in re.findall(r"<<[^>]*>>|[^<]+|<", template):
-            if part == "<<beginOptional>>":
+        for part in re.findall(r'<<(?:"[^"]*"|[^">]|>(?!>))*>>|[^<]+|<', template):
+            if part.startswith("<<beginOptional"):
                 opened.append(self._state(None, 0))
                 self.steps[-1] = (b"", -1)
-            elif part == "<<endOptional>>":
+            elif part.startswith("<<endOptional"):
+                if not opened:
+                    raise ValueError("an optional region ends that has not begun")
                 self.skips[opened.pop()].append(len(self.steps))
             elif part.startswith("<<var"):
-                for _ in range(int(re.search(r"max=(\d+)", part)[1])):
+                least, most = _var_words(part)
+                for _ in range(least):
+                    self._state(None, 1)
+                for _ in range((most or least) - least):
                     self.skips[self._state(None, 1)].append(len(self.steps))
+                if most is None:  # any number of words: a state that leads to itself
+                    loop = self._state(None, 1)
+                    self.steps[loop] = (None, loop)
+                    self.skips[loop].append(len(self.steps))
             else:
                 for word in words_of(part):
                     self._state(word, 1)
+        if opened:
+            raise ValueError("an optional region does not end")
         self._state(b"", 0)
         self.final = len(self.steps) - 1
         self.closed = [self._closure(s) for s in range(len(self.steps))]

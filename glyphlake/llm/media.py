@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 WIDTH, HEIGHT, FRAME = 16, 12, 192
 RATE, PER_CHUNK, KEY_EVERY = 25, 40, 12
 CONTAINERS = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"edts", b"dinf", b"udta", b"mvex", b"moof", b"traf"}
+#: Boxes nested deeper than this are not walked: no format nests a tenth as deep, and a damaged one may as deep as it is long.
+DEEPEST = 64
 MATRIX = struct.pack(">9I", 0x10000, 0, 0, 0, 0x10000, 0, 0, 0, 0x40000000)
 
 
@@ -78,24 +80,28 @@ def packed(payload: bytes) -> bytes:
     return kind + _box(b"mdat", payload) + movie
 
 
-def boxes(data: bytes, start: int = 0, end: int | None = None, path: tuple = ()) -> Iterator[tuple[tuple, int, int]]:
+def boxes(data: bytes) -> Iterator[tuple[tuple, int, int]]:
     """(path, start, end) of every box's body, containers before what they hold; a damaged box ends the walk of its level."""
-    at, end = start, len(data) if end is None else end
-    while at + 8 <= end:
+    levels: list[tuple[tuple, int, int]] = [((), 0, len(data))]  # depth costs no recursion
+    while levels:
+        path, at, end = levels.pop()
+        if at + 8 > end:
+            continue
         size, kind = struct.unpack_from(">I4s", data, at)
         body = at + 8
         if size == 1:
             if at + 16 > end:
-                return
+                continue
             (size,) = struct.unpack_from(">Q", data, at + 8)
             body = at + 16
         stop = end if size == 0 else at + size
         if stop < body or stop > end:
-            return
-        yield (*path, kind), body, stop
-        if kind in CONTAINERS:
-            yield from boxes(data, body, stop, (*path, kind))
-        at = stop
+            continue
+        levels.append((path, stop, end))
+        if len(path) < DEEPEST:
+            yield (*path, kind), body, stop
+            if kind in CONTAINERS:
+                levels.append(((*path, kind), body, stop))
 
 
 def _table(data: bytes, at: int, columns: int, kind: str = ">u4") -> np.ndarray:
@@ -120,15 +126,20 @@ def described(data: bytes) -> dict | None:
         entry = track[b"stsd"][0] + 8
         codec = data[entry + 4 : entry + 8].decode("latin-1")
         one, n = struct.unpack_from(">II", data, track[b"stsz"][0] + 4)
+        if one * n > len(data):
+            raise ValueError("more samples than the file has bytes for")
         sizes = np.full(n, one, np.int64) if one else np.frombuffer(data, ">u4", n, track[b"stsz"][0] + 12).astype(np.int64)
         chunks = _table(data, track[b"co64"][0], 1, ">u8")[:, 0] if b"co64" in track else _table(data, track[b"stco"][0], 1)[:, 0]
         runs = _table(data, track[b"stsc"][0], 3)
         lengths = np.diff(np.r_[runs[:, 0] - 1, len(chunks)])
         per_chunk = np.repeat(runs[:, 1], lengths)
-        chunk = np.repeat(np.arange(len(chunks)), per_chunk)[:n]
+        upto = np.cumsum(per_chunk)
+        chunk = np.searchsorted(upto, np.arange(n), side="right")  # a chunk's claimed number of samples takes no memory
         before = np.r_[0, np.cumsum(sizes)[:-1]] if n else sizes
-        first = np.r_[0, np.cumsum(per_chunk)[:-1]] if len(per_chunk) else per_chunk
+        first = upto - per_chunk
         offsets = chunks[chunk] + before - before[first[chunk]] if n else sizes
+        if n and (offsets + sizes).max() > len(data):
+            raise ValueError("a sample lies beyond the file")
         keys = _table(data, track[b"stss"][0], 1)[:, 0] - 1 if b"stss" in track else np.arange(n)
         times = _table(data, track[b"stts"][0], 2)
         return {"codec": codec, "timescale": scale, "duration": duration, "decoded_time": int((times[:, 0] * times[:, 1]).sum()), "offsets": offsets, "sizes": sizes, "keys": keys}
@@ -148,14 +159,15 @@ def stored_payload(data: bytes, info: dict) -> bytes:
 def media_columns(media: DataFrame, id_col: str, content_col: str) -> DataFrame:
     """Per input row: id, codec, duration_s, n_samples and keyframes as an array of (offset, length).
 
-    The content column holds container bytes. Null, empty or damaged bytes and containers without
+    The content column holds container bytes. Samples are those of the sample tables, so a fragmented
+    file has what its movie box lists. Null, empty or damaged bytes and containers without
     samples give a null codec and duration, 0 samples and no ranges. Repeated rows are read each by
     itself; other columns are ignored.
     """
 
     def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
+            out = []  # one row of small columns each
             for key, data in zip(batch["id"], batch["content"], strict=True):
                 try:
                     info = described(bytes(data)) if data is not None else None

@@ -18,6 +18,7 @@ from glyphlake.llm.common import written
 
 #: Slots of a cycle (at least four for each source), documents of a block, parts into which each source is dealt.
 CYCLE, BLOCK, PARTS = 512, 16, 1024
+ADDED = ("_source", "_block", "_release", "_deadline", "_slot", "_row")
 
 
 def _parted(docs: DataFrame, id_col: str, source_col: str) -> DataFrame:
@@ -69,9 +70,11 @@ def mixed_order(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sour
     its own that a hash of the ids deals. No row is dropped or repeated: once a source runs out, its
     slots stay empty and the others keep their proportions. A null source counts as the empty one, a
     null id as 0; rows that repeat an id each have a place; an empty table gives an empty result.
-    Columns of the input may have any names but those that are added.
+    Columns of the input may have any names; those of an added column are replaced.
     """
-    parted = _parted(docs, id_col, source_col)
+    # The row travels whole beside the columns that are worked with, so its names are free.
+    whole = docs.select(docs[id_col].cast("long").alias("_id"), docs[source_col].alias("_of"), F.struct(*(docs[c] for c in docs.columns)).alias("_whole"))
+    parted = _parted(whole, "_id", "_of")
     sizes = written(parted.groupBy("_source", "_part").agg(F.count(F.lit(1)).alias("n")), "sizes")
     # PARTS rows per source: the prefix sums run over a table of the sources.
     before = F.coalesce(F.sum("n").over(W.partitionBy("_source").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
@@ -80,7 +83,7 @@ def mixed_order(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sour
     schedule = written(cycle_schedule(ticks), "schedule")
     rates = schedule.groupBy("source").agg(F.first("cycle").alias("_cycle"), F.first("q").alias("_q")).withColumnRenamed("source", "_source")
     offsets = offsets.join(rates, "_source")
-    place = F.row_number().over(W.partitionBy("_source", "_part").orderBy(F.asc_nulls_first(id_col)))
+    place = F.row_number().over(W.partitionBy("_source", "_part").orderBy(F.asc_nulls_first("_id")))
     placed = parted.withColumn("_place", place.cast("long") - 1).join(offsets, ["_source", "_part"])
     placed = placed.withColumn("_place", F.col("_place") + F.col("_before")).withColumn("_block", F.expr(f"_place div {block}"))
     placed = placed.withColumn("_row", F.expr(f"_place % {block}")).withColumn("_k", F.expr("_block % _q"))
@@ -88,13 +91,14 @@ def mixed_order(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sour
     slots = schedule.select(F.col("source").alias("_source"), F.col("k").alias("_k"), F.col("slot").alias("_at"))
     out = placed.join(slots, ["_source", "_k"])
     out = out.withColumn("_slot", F.expr("_block div _q * _cycle + _at")).withColumn("_release", F.expr("_block * _cycle div _q")).withColumn("_deadline", F.expr("((_block + 1) * _cycle + _q - 1) div _q"))
-    return out.select(*docs.columns, "_source", "_block", "_release", "_deadline", "_slot", "_row")
+    return out.select(*(F.col("_whole")[c].alias(c) for c in docs.columns if c not in ADDED), "_source", "_block", "_release", "_deadline", "_slot", "_row")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", weights: dict[str, float] | None = None) -> DataFrame:
-    """``docs`` itself, its rows dealt into ordered partitions by the mix; see ``mixed_order``."""
+    """``docs`` with _slot and _row, dealt into ordered partitions by them; see ``mixed_order``."""
     order = mixed_order(docs, id_col, source_col, weights)
-    return order.repartitionByRange("_slot", "_row").sortWithinPartitions("_slot", "_row").select(*docs.columns)
+    kept = [c for c in order.columns if c not in ("_source", "_block", "_release", "_deadline")]
+    return order.repartitionByRange("_slot", "_row").sortWithinPartitions("_slot", "_row").select(*kept)
 
 
 def oracle_sql(cycle: int = CYCLE, block: int = BLOCK) -> str:

@@ -19,12 +19,15 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glyphlake.llm.common import short_batches
+
 SPACE = "▁"
 #: Characters indexed at a time, words kept between batches, characters of texts handled at a time.
-INDEXED, KEPT, HANDLED = 1 << 18, 200_000, 1 << 22
+INDEXED, KEPT, HANDLED = 1 << 18, 1_000_000, 1 << 22
 #: Words longer than this are relaxed one by one from a heap.
 LONG = 96
 NEVER = np.iinfo(np.int32).max
@@ -208,29 +211,59 @@ class Model:
         kept = [i for i in range(n) if size[i]]
         return np.array(kept, np.int64) + start, np.array([size[i] for i in kept], np.int64)
 
-    def encode(self, texts: list, kept: dict) -> Iterator[list[int]]:
-        """Ids of each text; a null or empty text has none. ``kept`` remembers words, KEPT of them at most between calls."""
-        if len(kept) > KEPT:
-            kept.clear()
+    def encode(self, texts: list, kept: Words) -> tuple[np.ndarray, np.ndarray, list[bool]]:
+        """The ids of all texts in one array, where each text's ids end, and whether decoding gives it back.
+
+        A null or empty text has no ids. ``kept`` remembers words, KEPT of them at most between calls.
+        """
+        if len(kept.at) > KEPT:
+            kept.__init__()
         split = [_WORDS.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
-        new = list(set(chain.from_iterable(split)).difference(kept))
-        kept.update(zip(new, self.encode_words(new), strict=True))
-        for words in split:
-            yield list(chain.from_iterable(map(kept.__getitem__, words)))
+        new = list(set(chain.from_iterable(split)).difference(kept.at))
+        kept.add(new, self.encode_words(new), self)
+        used = np.fromiter(map(kept.at.__getitem__, chain.from_iterable(split)), np.int64)
+        starts, lengths = kept.ends[used], kept.ends[used + 1] - kept.ends[used]
+        ends = np.cumsum(lengths)
+        ids = kept.ids[np.repeat(starts - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)]
+        cuts = np.cumsum(np.fromiter(map(len, split), np.int64, len(split)))
+        same = [not t or (SPACE not in t and kept.bad.isdisjoint(words)) for t, words in zip(texts, split, strict=True)]
+        return ids, np.r_[0, ends][cuts], same
 
     def decode(self, ids) -> str:
         """The text of ids; the space that encoding puts before a text is taken off."""
+        if any(not 0 <= i < len(self.spelled) for i in ids):
+            raise ValueError(f"an id is outside the model's 0 to {len(self.spelled) - 1}")
         text = b"".join(map(self.spelled.__getitem__, ids)).decode("utf-8", "replace")
         return text[1:] if text.startswith(" ") else text
 
 
+class Words:
+    """Words and their ids in one array; word i has those from ``ends[i]`` to ``ends[i + 1]``. ``bad`` words do not decode to themselves."""
+
+    def __init__(self) -> None:
+        self.at: dict[str, int] = {}
+        self.ids, self.ends, self.bad = np.zeros(0, np.int32), np.zeros(1, np.int64), set()
+
+    def add(self, words: list[str], ids: list[tuple[int, ...]], model: Model) -> None:
+        if not words:
+            return
+        self.at.update(zip(words, range(len(self.at), len(self.at) + len(words)), strict=True))
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+        self.ends = np.r_[self.ends, self.ends[-1] + np.cumsum(lengths)]
+        self.ids = np.r_[self.ids, np.fromiter(chain.from_iterable(ids), np.int32, int(lengths.sum()))]
+        spelled = model.spelled
+        for word, own in zip(words, ids, strict=True):
+            if b"".join([spelled[i] for i in own]) != word.replace(SPACE, " ").encode("utf-8", "surrogatepass"):
+                self.bad.add(word)
+
+
 _WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-_MODELS: dict[str, tuple[Model, dict]] = {}
+_MODELS: dict[str, tuple[Model, Words]] = {}
 
 
-def _model(path: str) -> tuple[Model, dict]:
+def _model(path: str) -> tuple[Model, Words]:
     if path not in _MODELS:
-        _MODELS[path] = (Model(path), {})
+        _MODELS[path] = (Model(path), Words())
     return _MODELS[path]
 
 
@@ -245,8 +278,8 @@ def _runs(texts: list) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
-def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, n_tokens, token_ids, round_trip.
+def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per input row: doc_id, n_tokens, token_ids, round_trip and the columns that ``keep`` names.
 
     Ids are those of the model's own library. round_trip tells whether decoding them gives the text
     back; it is false only for texts that hold the space mark U+2581, which reads as a space. Null
@@ -255,18 +288,21 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
     gives an empty result.
     """
 
-    def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, kept = _model(model_path)
         for batch in batches:
-            texts = list(batch["text"])
+            texts = batch.column("text").to_pylist()
             for a, b in _runs(texts):
-                part = texts[a:b]
-                ids = [np.array(x, np.int32) for x in model.encode(part, kept)]
-                same = [model.decode(x.tolist()) == (t or "") for x, t in zip(ids, part, strict=True)]
-                yield pd.DataFrame({"doc_id": batch["doc_id"].iloc[a:b].astype("Int64").values, "n_tokens": [len(x) for x in ids], "token_ids": ids, "round_trip": same})
-
-    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return picked.mapInPandas(kernel, "doc_id long, n_tokens long, token_ids array<int>, round_trip boolean")
+                ids, ends, same = model.encode(texts[a:b], kept)
+                ends = np.r_[0, ends].astype(np.int32)
+                listed = pa.ListArray.from_arrays(pa.array(ends), pa.array(ids))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[a:b], pa.array(np.diff(ends).astype(np.int64)), listed, pa.array(same, pa.bool_()), *(batch.column(i + 2)[a:b] for i in range(len(keep)))], names)
+
+    names = ["doc_id", "n_tokens", "token_ids", "round_trip", *keep]
+    schema = "doc_id long, n_tokens long, token_ids array<int>, round_trip boolean" + "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *(docs[c] for c in keep))
+    with short_batches(docs.sparkSession):
+        return picked.mapInArrow(kernel, schema)
 
 
 def decode(tokens: DataFrame, model_path: str, id_col: str = "doc_id", ids_col: str = "token_ids") -> DataFrame:

@@ -21,11 +21,11 @@ from pyspark.sql import functions as F
 from glyphlake.llm.common import written
 
 #: Width of a quantised level in component values; rows in an indexed chunk.
-LEVEL, CHUNK = 16, 4096
+LEVEL, CHUNK = 4, 4096
 #: Queries in a block and blocks in a pass: a pass broadcasts at most BLOCK * PER_PASS queries.
 BLOCK, PER_PASS = 512, 16
 #: Steps in which a query's segments are processed, and the share of rows at which rescoring takes over.
-STEPS, LEFT = 4, 1 / 16
+STEPS, LEFT = 12, 1 / 16
 #: A usable vector with a component beyond this magnitude fails the query: its scores might not fit 64 bits.
 RANGE = float(1 << 20)
 
@@ -49,6 +49,7 @@ class Chunk:
 
     def __init__(self, ids: np.ndarray, rows: np.ndarray):
         self.ids, self.rows = ids, rows
+        self.largest = float(np.abs(rows).max(initial=0))
         levels = rows // LEVEL
         low = levels.min(0)
         self.spans = levels.max(0) - low + 1
@@ -70,20 +71,25 @@ class Chunk:
         base = np.minimum.reduceat(least, self.first[:-1])
         gain = np.maximum(near, far) - base[self.dims]  # over the dimension's smallest contribution
         order = self.filled[np.argsort(-gain[self.filled], kind="stable")]
-        slack = int(np.abs(query).sum()) * (LEVEL - 1)
-        lower, seen = np.full(n, float(base.sum())), np.zeros(n)
+        # A level's width for every component, and what sums of doubles may be off by.
+        slack = float(int(np.abs(query).sum()) * (LEVEL - 1) + 1) + float(np.abs(query).sum()) * self.largest * 2.0**-44
+        lower, waiting = np.full(n, float(base.sum())), np.ones((n, len(query)), bool)
         possible = np.arange(n)
+        done = np.zeros(len(gain), bool)
         for part in np.array_split(order, STEPS):
             if not len(part):
                 continue
             rows = np.concatenate([self.posted[self.starts[s] : self.starts[s + 1]] for s in part])
             lengths = self.starts[part + 1] - self.starts[part]
+            waiting[rows, np.repeat(self.dims[part], lengths)] = False
+            done[part] = True
             lower += np.bincount(rows, np.repeat((least[part] - base[self.dims[part]]).astype(float), lengths), n)
-            seen += np.bincount(rows, minlength=n)
             if n <= k + 1:
                 continue
-            # What is unprocessed adds no more than the last processed impact, dimension by dimension.
-            upper = lower + slack + (len(query) - seen) * float(gain[part[-1]])
+            # In each dimension that a row still waits for it gains no more than the largest impact left there.
+            rest = np.zeros(len(query))
+            np.maximum.at(rest, self.dims[left := self.filled[~done[self.filled]]], gain[left])
+            upper = lower + slack + waiting @ rest
             line = np.partition(lower, n - k - 1)[n - k - 1]  # k + 1 rows reach it, one of them may be the query's own
             possible = np.flatnonzero(upper >= line)
             if len(possible) <= max(4 * k, n * LEFT):

@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,8 +21,8 @@ from pyspark.sql import functions as F
 
 from glyphlake.llm.common import written
 
-#: Bound of the labelled rows that are learned from, and of the lexicon's terms.
-MOST_ROWS, MOST_TERMS = 20_000, 2_000
+#: Bound of the labelled rows that are learned from.
+MOST_ROWS = 20_000
 #: A term is in at least this share of the toxic rows (and three to five of them) and this much likelier there.
 LEAST_SHARE, LEAST_LOG_ODDS = 0.006, 4.0
 STEM_LENGTHS, STEM_WORDS = (4, 5, 6), 3
@@ -234,7 +233,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     enough = summed.where(F.col("pos") >= least).withColumn("neg", F.col("n") - F.col("pos"))
     odds = F.log((F.col("pos") + 0.5) / F.lit(positives + 1.0)) - F.log((F.col("neg") + 0.5) / F.lit(negatives + 1.0))
     bar = min(LEAST_LOG_ODDS, max(1.0, math.log(negatives + 1) - 2.0))
-    rows = enough.withColumn("odds", odds).where(F.col("odds") >= bar).where(~F.col("stem") | ((F.col("several") >= STEM_WORDS) & (F.col("pos") >= 2 * least))).orderBy(F.desc("odds"), "term").limit(MOST_TERMS).collect()
+    rows = enough.withColumn("odds", odds).where(F.col("odds") >= bar).where(~F.col("stem") | ((F.col("several") >= STEM_WORDS) & (F.col("pos") >= 2 * least))).orderBy("term").collect()  # LEAST_SHARE of the toxic rows hold each: bounded by the sample
     found_words = {r["term"]: min(r["odds"], 8.0) for r in rows if not r["stem"] and len(r["term"]) >= 3}
     found_stems = {r["term"]: min(r["odds"], 8.0) for r in rows if r["stem"]}
     # A stem that begins with another stem says nothing new.
@@ -249,16 +248,22 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 out.append((label, n, [f[0] for f in found], [f[1] for f in found], [f[2] for f in found], [f[3] for f in found]))
             yield pd.DataFrame(out, columns=["label", "n", "words", "weights", "edits", "factors"])
 
-    # One row per sampled document, at most most_rows.
-    seen = texts.mapInPandas(measured, "label int, n long, words array<string>, weights array<double>, edits array<int>, factors array<double>").collect()
-    looks = {0: Counter(), 1: Counter()}
-    for r in seen:
-        looks[1 if r["label"] else 0].update({w for w, e in zip(r["words"], r["edits"], strict=True) if e})
-    ignored = frozenset(w for w, n in looks[0].items() if n * (positives + 1) >= looks[1][w] * (negatives + 1) / 4)
+    # Hits stay on the executors; what comes back is bounded by the sample of labelled rows.
+    seen = written(texts.mapInPandas(measured, "label int, n long, words array<string>, weights array<double>, edits array<int>, factors array<double>"), "hits")
+    looks = seen.select("label", F.explode(F.expr("array_distinct(transform(filter(arrays_zip(words, edits), h -> h.edits > 0), h -> h.words))")).alias("word"))
+    looks = looks.groupBy("word").agg(F.sum((F.col("label") == 0).cast("int")).alias("clean"), F.sum((F.col("label") > 0).cast("int")).alias("toxic"))
+    common = looks.where((F.col("clean") > 0) & (F.col("clean") * (positives + 1) >= F.col("toxic") * (negatives + 1) / 4))
+    ignored = frozenset(r["word"] for r in common.select("word").collect())
     if not positives or not negatives:
         return Model(lexicon, ignored, [-4.0 if not positives else 0.0, 1.0, 0.0, 0.0])
-    x = np.array([_features(list(zip(r["words"], r["weights"], r["edits"], r["factors"], strict=True)), r["n"], ignored) for r in seen])
-    y = np.array([float(r["label"] > 0) for r in seen])
+
+    def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [_features(list(zip(*h, strict=True)), n, ignored) for n, *h in zip(batch["n"], batch["words"], batch["weights"], batch["edits"], batch["factors"], strict=True)]
+            yield pd.DataFrame({"x": rows, "y": (batch["label"] > 0).astype(float)})
+
+    rows = seen.mapInPandas(features, "x array<double>, y double").collect()
+    x, y = np.array([r["x"] for r in rows]), np.array([r["y"] for r in rows])
     return Model(lexicon, ignored, _logistic(x, y).tolist())
 
 

@@ -160,7 +160,10 @@ def test_mix_keeps_every_row_in_its_window(spark):
         taken = {(r._slot, r._row) for r in rows}
         assert len(taken) == len(rows)
     assert mixing.mixed_order(d.limit(0)).count() == 0
-    assert sorted(map(str, mixing.mix(d).collect())) == sorted(map(str, d.collect()))
+    mixed = mixing.mix(d)
+    assert mixed.columns == [*d.columns, "_slot", "_row"] and sorted(map(str, mixed.select(*d.columns).collect())) == sorted(map(str, d.collect()))
+    clash = mixing.mixed_order(d.selectExpr("*", "1 as _part", "2 as _k", "3 as _q", "4 as _slot")).collect()
+    assert sorted((r._slot, r._row) for r in clash) == sorted((r._slot, r._row) for r in mixing.mixed_order(d).collect()) and all(r._part == 1 and r._q == 3 for r in clash)
 
 
 PAGES = [

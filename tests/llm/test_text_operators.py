@@ -156,3 +156,34 @@ def test_pieces_are_the_librarys(spark):
         assert r.token_ids == library.encode(texts[r.doc_id]) and r.n_tokens == len(r.token_ids) and r.round_trip == ("▁" not in texts[r.doc_id])
     for r in pieces.decode(encoded, TOKENIZER_MODEL).collect():
         assert r.text == texts[r.doc_id].replace("▁", " ")
+
+
+def test_damaged_containers_are_null(spark):
+    """Sample counts beyond the file, and boxes nested without end."""
+    whole = media.packed(media.padded("some text")[0])
+    at = whole.index(b"stsz")
+    many = whole[: at + 8] + (1).to_bytes(4, "big") + (2**32 - 1).to_bytes(4, "big") + whole[at + 16 :]
+    deep = b"".join((8 * (3000 - i)).to_bytes(4, "big") + b"moov" for i in range(3000))
+    rows = media.media_columns(spark.createDataFrame([(1, many), (2, deep), (3, whole[:-300]), (4, None), (5, whole)], "id long, content binary"), "id", "content").collect()
+    got = {r.id: r for r in rows}
+    assert all(got[i].codec is None and got[i].n_samples == 0 for i in (1, 2, 4)) and got[5].n_samples > 0
+
+
+def test_template_markup_of_published_licenses():
+    a = licenses.Automaton('Copyright <<var;name="c";original="x > y";match=".{0,100}">> all <<beginOptional;name="t">>rights <<endOptional>>reserved')
+    words = licenses.words_of
+    assert a.end(words("copyright all reserved"), 0) == 3 and a.end(words("copyright 2020 a b all rights reserved x"), 0) == 7
+    any_ = licenses.Automaton('a <<var;name="x";original="";match=".+">> b')
+    assert any_.end(words("a b"), 0) == -1 and any_.end(words("a " + "w " * 900 + "b"), 0) == 902
+    for broken in ("<<endOptional>>", "<<beginOptional>> a"):
+        with pytest.raises(ValueError):
+            licenses.Automaton(broken)
+
+
+def test_declarations_end_no_page():
+    assert html.main_text("<![foo[x]]>t") == "t" and html.main_text("<p>a<!foo>b") == "ab" and html.main_text("<![") in ("", "<![")
+
+
+def test_ids_outside_the_model_fail(spark):
+    with pytest.raises(Exception, match="outside the model"):
+        pieces.decode(spark.createDataFrame([(1, [10**6])], "doc_id long, token_ids array<int>"), TOKENIZER_MODEL).collect()
