@@ -1,10 +1,10 @@
 """Main text of web pages by composite text density.
 
-A page becomes a tree of its elements. Every element's density is its characters per tag, adjusted
-by how much of its text stands in links; the sum of its children's densities tells how much running
-text hangs under it. The element of the largest sum marks the content; the smallest density on its
-path to the body is the threshold, and the article is the nearest semantic container on that path
-or, without one, the marked element with those neighbours that pass the threshold.
+A page becomes a tree of its elements, menus, adverts, forms and other furniture pruned. Every
+element's density is its characters per tag, adjusted by how much of its text stands in links; the
+sum of its children's densities tells how much running text hangs under it. The block of the largest
+sum is where the text is; from it the way leads towards the body as long as elements are at least as
+dense as the body, the threshold. No element counts as the text for its name.
 """
 
 from __future__ import annotations
@@ -27,7 +27,6 @@ BLOCK = frozenset(
     "header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 ENDS_PARAGRAPH = BLOCK - {"br", "body", "html", "caption", "legend", "summary", "td", "th", "tr", "tbody", "thead", "tfoot"}
-ARTICLE = frozenset(["article", "main"])
 #: Words of class, id and role that name furniture.
 MARKS = frozenset(
     "ad ads advert advertisement advertisements advertising adverts banner breadcrumb breadcrumbs comment comments commentlist cookie cookies consent disqus footer "
@@ -103,19 +102,22 @@ class Tree(HTMLParser):
         self.at.parts.append(data)
 
 
-def _dropped(node: Node, inside: bool) -> bool:
-    return node.marked or node.tag in SILENT or (node.tag in FURNITURE and not (inside and node.tag == "header"))
+def _dropped(node: Node) -> bool:
+    """Whether an element is furniture; a header is where it heads the page, in the page's body or its first element."""
+    if node.tag == "header" and not node.marked:
+        above = node.up
+        return above.tag in ("body", "html", "#root") or any(not isinstance(x, str) and x.tag == "nav" for x in node.parts)
+    return node.marked or node.tag in SILENT or node.tag in FURNITURE
 
 
 def _measured(root: Node) -> list[Node]:
     """Prune furniture, then count characters, tags and link text bottom-up; nodes in page order."""
-    order, todo = [], [(root, False)]
+    order, todo = [], [root]
     while todo:
-        node, inside = todo.pop()
+        node = todo.pop()
         order.append(node)
-        inside = inside or node.tag in ARTICLE
-        node.parts = [x for x in node.parts if isinstance(x, str) or not _dropped(x, inside)]
-        todo.extend((x, inside) for x in reversed(node.parts) if not isinstance(x, str))
+        node.parts = [x for x in node.parts if isinstance(x, str) or not _dropped(x)]
+        todo.extend(x for x in reversed(node.parts) if not isinstance(x, str))
     for node in reversed(order):
         node.chars = node.tags = node.link_chars = node.link_tags = 0
         for x in node.parts:
@@ -135,25 +137,26 @@ def _measured(root: Node) -> list[Node]:
             c, t, lc, lt = node.chars, max(1, node.tags), max(1, node.link_chars), max(1, node.link_tags)
             base = math.log(c / max(1, c - node.link_chars) * node.link_chars + share * c + math.e)
             node.density = c / t * math.log(max(1.0, c / lc * t / lt)) / math.log(max(base, 1.0 + 1e-9) + 1)
-        node.total = sum(x.density for x in node.parts if not isinstance(x, str))
+        # Inline elements are text of their block: what is bold throughout is no container.
+        node.total = sum(x.density if x.tag in BLOCK else x.total for x in node.parts if not isinstance(x, str))
     return order
 
 
-def _chosen(order: list[Node]) -> list[Node]:
+def _chosen(order: list[Node]) -> Node:
+    """The element that holds the main text.
+
+    From the block of the largest sum the way leads up towards the body, as long as the next element
+    is no sparser than the body as a whole: titles, leads and further sections of the text join,
+    columns of short or linked text would make it sparser.
+    """
     body = next((n for n in order if n.tag == "body"), order[0])
-    best = max(order, key=lambda n: n.total)
-    if not best.chars:
-        best = body
-    path = [best]
-    while path[-1] is not body and path[-1].up is not None:
-        path.append(path[-1].up)
-    held = [n for n in path if n.tag in ARTICLE]
-    if held:
-        return held[-1:]
-    if best.total == 0 or best is body or best.up is None:
-        return [best if best.total else body]
-    threshold = min(n.density for n in path[:-1])
-    return [x for x in best.up.parts if not isinstance(x, str) and (x is best or x.density >= threshold)]
+    best = max((n for n in order if n.tag in BLOCK or n is body), key=lambda n: n.total, default=body)
+    if not best.total:
+        return body
+    threshold = body.density
+    while best is not body and best.up is not None and best.up is not body and best.up.density >= threshold:
+        best = best.up
+    return best
 
 
 def _blocks(node: Node) -> Iterator[str]:
@@ -179,14 +182,13 @@ def main_text(html: str | None) -> str:
     tree.feed(html)
     tree.close()
     out, block = [], []
-    for node in _chosen(_measured(tree.root)):
-        for x in (*_blocks(node), None):
-            if x is not None:
-                block.append(x)
-            elif block:
-                if text := " ".join("".join(block).split()):
-                    out.append(text)
-                block = []
+    for x in (*_blocks(_chosen(_measured(tree.root))), None):
+        if x is not None:
+            block.append(x)
+        elif block:
+            if text := " ".join("".join(block).split()):
+                out.append(text)
+            block = []
     return " ".join(out)
 
 

@@ -187,3 +187,14 @@ def test_declarations_end_no_page():
 def test_ids_outside_the_model_fail(spark):
     with pytest.raises(Exception, match="outside the model"):
         pieces.decode(spark.createDataFrame([(1, [10**6])], "doc_id long, token_ids array<int>"), TOKENIZER_MODEL).collect()
+
+
+def test_density_decides_not_the_name_of_an_element():
+    rows = "<tr><td>1</td><td>2</td></tr>" * 3
+    page = (
+        "<html><body><nav><a href=x>Menu</a></nav><div class=ad>Buy</div>{open}<header><h1>A title</h1></header><p><b>" + "All of it is bold. " * 20 + "</b></p>"
+        "<section><h2>More</h2><p>" + "A second part of some length. " * 9 + f"</p></section><table>{rows}</table><p>Short end.</p>" + "{close}<aside>Other <a href=y>links</a></aside><footer>End</footer></body></html>"
+    )
+    texts = {html.main_text(page.format(open=a, close=b)) for a, b in (("<article>", "</article>"), ("<main>", "</main>"), ("<div>", "</div>"), ("<div><div>", "</div></div>"))}
+    (text,) = texts
+    assert text.startswith("A title All of it") and text.endswith("1 2 1 2 1 2 Short end.") and "Menu" not in text and "links" not in text
