@@ -2,25 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glyphlake.operators.raster import runs
-
-
-def kept(df: DataFrame, name: str) -> DataFrame:
-    """Written to the folder of spark.checkpoint.dir and read back: a loop's lineage ends there."""
-    spark = df.sparkSession
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="glyphlake-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    path = f"{where.rstrip('/')}/glyphlake-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from glyphlake.sources.durable import written as kept
 
 
 def smallest_reachable(nodes: DataFrame, edges: DataFrame, most_rounds: int = 200) -> DataFrame:
