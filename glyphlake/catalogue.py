@@ -207,13 +207,17 @@ def debris_filter(spark, d):
     return bx.without_debris(_chunks(spark, d))
 
 
+FAR = "far AS (SELECT page_id, box_id, x0, x1, y0 * 8 AS y0, y0 * 8 + (y1 - y0) AS y1, area FROM v_boxes)"
+
+
 @query(
-    "baseline_filter", v.BOXES,
-    sql="""SELECT b.* FROM v_boxes b JOIN (SELECT page_id, list_sort(list((y0 + y1) / 2.0))[count(*) // 2 + 1] AS centre, greatest(12.0, list_sort(list(y1 - y0 + 1))[count(*) // 2 + 1] * 0.5) AS reach FROM v_boxes GROUP BY 1) m
- ON b.page_id = m.page_id WHERE abs((y0 + y1) / 2.0 - centre) <= 100 AND abs((y0 + y1) / 2.0 - centre) <= greatest(100.0, reach * 6)""",
+    "baseline_filter", v.BOXES, FAR,
+    sql="""SELECT b.* FROM far b JOIN (SELECT page_id, list_sort(list((y0 + y1) / 2.0))[count(*) // 2 + 1] AS centre, greatest(100.0, 3.0 * list_sort(list(y1 - y0 + 1))[count(*) // 2 + 1]) AS reach FROM far GROUP BY 1) m
+ ON b.page_id = m.page_id WHERE abs((y0 + y1) / 2.0 - centre) <= reach""",
 )
 def baseline_filter(spark, d):
-    return bx.on_baseline(v.boxes(spark, d))
+    """Boxes near their page's baseline, on pages whose boxes stand far apart."""
+    return bx.on_baseline(v.boxes(spark, d).withColumn("y1", F.expr("y0 * 8 + (y1 - y0)")).withColumn("y0", F.col("y0") * 8))
 
 
 @query("border_reject", v.BOXES, sql="SELECT * FROM v_boxes WHERE x1 - x0 + 1 >= 4 AND y1 - y0 + 1 >= 4 AND x0 > 1 AND y0 > 1 AND x1 < 238 AND y1 < 78")
@@ -405,7 +409,7 @@ ZIP = "z AS (SELECT b.page_id, b.box_id, ch FROM (SELECT *, row_number() OVER (P
 
 
 def _zip(spark, d):
-    return text.zipped(v.boxes(spark, d).select("page_id", "box_id"), v.chars(spark, d))
+    return text.zipped(v.boxes(spark, d).select("page_id", "box_id"), v.texts(spark, d))
 
 
 @query("zip_labels", v.BOXES, v.CHARS, ZIP, sql="SELECT * FROM z")
@@ -415,7 +419,7 @@ def zip_labels(spark, d):
 
 @query("first_wins", v.CHARS, sql="SELECT page_id, ordinal, ch FROM (SELECT *, row_number() OVER (PARTITION BY page_id, ch ORDER BY ordinal) AS rn FROM v_chars) a WHERE rn = 1")
 def first_wins(spark, d):
-    return text.first_uses(v.chars(spark, d), "ordinal")
+    return text.first_characters(v.texts(spark, d))
 
 
 BANDED = [(c, lo, hi) for cs, lo, hi in dims.BANDS for c in cs]
@@ -424,13 +428,13 @@ CHARSET = [(c,) for c in dims.SPANISH]
 
 @query("absent_chars", v.CHARS, sql=f"SELECT DISTINCT ch FROM v_chars WHERE ch NOT IN (SELECT ch FROM {dims.values(CHARSET, 'ch')})")
 def absent_chars(spark, d):
-    return text.absent(v.chars(spark, d), spark.createDataFrame(CHARSET, "ch string"))
+    return text.absent(text.first_characters(v.texts(spark, d)), spark.createDataFrame(CHARSET, "ch string"))
 
 
 @query("missing_letters", v.CHARS, sql=f"SELECT page_id, ch FROM (SELECT DISTINCT page_id FROM v_chars) p, {dims.values([(c,) for c in dims.MINIMAL], 'ch')} EXCEPT SELECT page_id, ch FROM v_chars")
 def missing_letters(spark, d):
     """Characters of the minimal set, a fixed 79, that a document lacks."""
-    chars = v.chars(spark, d).select("page_id", "ch").distinct()
+    chars = text.first_characters(v.texts(spark, d)).select("page_id", "ch")
     wanted = chars.select("page_id").distinct().select("page_id", F.explode(F.split(F.lit(dims.MINIMAL), "")).alias("ch")).where("ch <> ''")
     return wanted.join(chars, ["page_id", "ch"], "left_anti")
 
@@ -534,13 +538,17 @@ def hangul_compose_bbox(spark, d):
     return parts.groupBy("codepoint").agg(F.min("bx0").alias("x0"), F.min("by0").alias("y0"), F.max("bx1").alias("x1"), F.max("by1").alias("y1"), F.count(F.lit(1)).alias("parts"))
 
 
+NEEDED = "FROM sy WHERE codepoint % 28 < 20 AND codepoint < 50000"
+
+
 @query(
     "missing_parts", v.SYLL, SYL,
-    sql=f"SELECT item, role, ch, key FROM {dims.values([(i, r, c, f'{r}:{c}') for i, (r, c) in enumerate([('L', x) for x in dims.LEADS] + [('V', x) for x in dims.VOWELS] + [('T', x) for x in dims.FINALS])], 'item, role, ch, key')} WHERE key NOT IN (SELECT 'L:' || lead FROM sy WHERE row_id % 97 = 0 UNION SELECT 'V:' || vowel FROM sy WHERE row_id % 97 = 0 UNION SELECT 'T:' || final FROM sy WHERE row_id % 97 = 0)",
+    sql=f"SELECT item, role, ch, key FROM {dims.values([(i, r, c, f'{r}:{c}') for i, (r, c) in enumerate([('L', x) for x in dims.LEADS] + [('V', x) for x in dims.VOWELS] + [('T', x) for x in dims.FINALS])], 'item, role, ch, key')} WHERE key NOT IN (SELECT 'L:' || lead {NEEDED} UNION SELECT 'V:' || vowel {NEEDED} UNION SELECT 'T:' || final {NEEDED})",
 )
 def missing_parts(spark, d):
-    """Letters that the syllables of no order need. The SQL twin still reads one order in 97."""
-    seen = compose.layouts(v.syllables(spark, d)).select(F.explode(F.array(F.struct(F.lit("L").alias("role"), F.col("lead").alias("jamo")), F.struct(F.lit("V").alias("role"), F.col("vowel").alias("jamo")), F.struct(F.lit("T").alias("role"), F.col("final").alias("jamo")))).alias("p"))
+    """Letters that no syllable of any order needs, among the syllables of a smaller repertoire."""
+    needed = v.syllables(spark, d).where("codepoint % 28 < 20 and codepoint < 50000")
+    seen = compose.layouts(needed).select(F.explode(F.array(F.struct(F.lit("L").alias("role"), F.col("lead").alias("jamo")), F.struct(F.lit("V").alias("role"), F.col("vowel").alias("jamo")), F.struct(F.lit("T").alias("role"), F.col("final").alias("jamo")))).alias("p"))
     return compose.missing_parts(dims.letters(spark).where("role <> 'X'"), seen.select("p.role", "p.jamo").distinct())
 
 

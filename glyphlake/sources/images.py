@@ -38,10 +38,11 @@ BLOBS = T.StructType(
 
 
 def photos(spark: SparkSession, path: str) -> DataFrame:
-    """(photo, width, height, channels, data) of the images under a path; those below 16 pixels a side are an error."""
-    read = spark.read.format("image").option("dropInvalid", "true").load(path).select("image.*")
+    """(photo, width, height, channels, data) of the images under a path; one that cannot be decoded, or is below 16 pixels a side, is an error."""
+    read = spark.read.format("image").option("dropInvalid", "false").load(path).select("image.*")
+    broken = (F.col("width") < 0) | (F.col("height") < 0)
     small = (F.col("width") < LEAST_SIDE) | (F.col("height") < LEAST_SIDE)
-    width = F.when(small, F.raise_error(F.concat(F.lit("image too small: "), F.col("origin"))).cast("int")).otherwise(F.col("width"))
+    width = F.when(broken, F.raise_error(F.concat(F.lit("cannot decode: "), F.col("origin"))).cast("int")).when(small, F.raise_error(F.concat(F.lit("image too small: "), F.col("origin"))).cast("int")).otherwise(F.col("width"))
     return read.select(F.col("origin").alias("photo"), width.alias("width"), "height", F.col("nChannels").alias("channels"), "data")
 
 
@@ -52,12 +53,14 @@ def _median3(g: np.ndarray) -> np.ndarray:
 
 
 def _shrunk(g: np.ndarray, most: int) -> np.ndarray:
-    """Means of equal blocks until no side exceeds ``most``; never enlarged."""
-    step = -(-max(g.shape) // most)
-    if step <= 1:
+    """Means of blocks as even as whole pixels allow, so that the longer side is ``most``; never enlarged, no pixel left out."""
+    longest = max(g.shape)
+    if longest <= most:
         return g
-    h, w = g.shape[0] // step * step, g.shape[1] // step * step
-    return np.floor(g[:h, :w].reshape(h // step, step, w // step, step).mean((1, 3)) + 0.5).astype(g.dtype)
+    rows, columns = (np.arange(n) * side // n for side in g.shape for n in (max(1, (2 * side * most + longest) // (2 * longest)),))
+    sums = np.add.reduceat(np.add.reduceat(g.astype(np.int64), rows, 0), columns, 1)
+    counts = np.diff(np.r_[rows, g.shape[0]])[:, None] * np.diff(np.r_[columns, g.shape[1]])[None, :]
+    return ((2 * sums + counts) // (2 * counts)).astype(g.dtype)
 
 
 def gray_pixels(images: DataFrame, median: bool = True, most: int = MOST_SIDE) -> DataFrame:

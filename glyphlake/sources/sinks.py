@@ -89,18 +89,3 @@ def crops(pixels: DataFrame, boxes: DataFrame, pad: int = 8) -> DataFrame:
             yield pd.DataFrame(out, columns=["page_id", "box_id", "png"])
 
     return joined.mapInPandas(kernel, "page_id long, box_id int, png binary")
-
-
-def woff(sfnt: bytes) -> bytes:
-    """A WOFF file of an SFNT font: each table compressed where that makes it smaller."""
-    (flavor, n) = struct.unpack_from(">4sH", sfnt)
-    tables = [struct.unpack_from(">4sIII", sfnt, 12 + 16 * i) for i in range(n)]
-    at, directory, body = 44 + 20 * n, b"", b""
-    for tag, check, offset, length in tables:
-        raw = sfnt[offset : offset + length]
-        packed = zlib.compress(raw, 9)
-        data = packed if len(packed) < length else raw
-        directory += struct.pack(">4sIIII", tag, at + len(body), len(data), length, check)
-        body += data + b"\0" * (-len(data) % 4)
-    total = 12 + 16 * n + sum((t[3] + 3) & ~3 for t in tables)
-    return struct.pack(">4s4sIHHIHHIIIII", b"wOFF", flavor, at + len(body), n, 0, total, 1, 0, 0, 0, 0, 0, 0) + directory + body

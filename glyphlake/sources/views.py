@@ -60,6 +60,12 @@ def ink(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pixels(spark, sf_dir).where(F.col("gray") < INK).select("page_id", "y", "x")
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page_id, chars): the non-blank characters of every document, as an array."""
+    bare = F.regexp_replace("text", r"[ \t\r\n]", "")
+    return read(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"), F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, "")).alias("chars"))
+
+
 def chars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(page_id, ordinal, ch): every non-blank character of every document."""
     text = F.regexp_replace("text", r"[ \t\r\n]", "")
