@@ -163,7 +163,9 @@ def test_sinks(spark):
 
 def test_missing_parts_reads_every_order(spark):
     d = "/root/testdata/sf0.001"
-    seen = compose.layouts(views.syllables(spark, d)).select("lead", "vowel", "final").distinct().collect()
+    smaller = views.syllables(spark, d).where("codepoint % 28 < 20 and codepoint < 50000")  # every order, a smaller repertoire
+    seen = compose.layouts(smaller).select("lead", "vowel", "final").distinct().collect()
     needed = {f"{role}:{r[i]}" for r in seen for i, role in enumerate("LVT")}
     want = {f"{role}:{c}" for role, cs in (("L", dims.LEADS), ("V", dims.VOWELS), ("T", dims.FINALS)) for c in cs} - needed
-    assert {r.key for r in catalogue.QUERIES["missing_parts"](spark, d).collect()} == want
+    got = {r.key for r in catalogue.QUERIES["missing_parts"](spark, d).collect()}
+    assert got == want and len(got) >= 16
