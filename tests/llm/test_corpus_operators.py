@@ -149,6 +149,41 @@ def test_schedule_is_edf_and_deviates_by_less_than_a_block(spark):
         assert all(abs(got[:t].count(s) - t * q / 64) < 1 for s, q in ticks.items())
 
 
+def test_shares_deviate_from_the_weights_by_less_than_a_block(spark):
+    sizes = {"a": 900, "b": 1700, **{f"s{i:02}": 40 for i in range(18)}}
+    data = [(n * 10_000 + i, s) for n, (s, size) in enumerate(sizes.items()) for i in range(size)]
+    d = spark.createDataFrame(data, "doc_id long, source string")
+    for weights in ({"a": 0.3, "b": 0.52}, {"a": 0.05, "b": 0.55}, {"a": 0.9, "b": 0.1}):
+        rest = 1_000_000 - round(1_000_000 * sum(weights.values()))
+        whole = {s: round(1_000_000 * weights[s]) if s in weights else rest // 18 for s in sizes}
+        total = sum(whole.values())
+        rows = mixing.mixed_order(d, weights=weights, block=4).select("_source", "_block", "_slot").distinct().collect()
+        assert {r._source for r in rows if r._slot is None} == {s for s in sizes if not whole[s]}
+        placed = sorted((r._slot, r._source) for r in rows if r._slot is not None)
+        assert len({t for t, _ in placed}) == len(placed)
+        done = dict.fromkeys(sizes, 0)
+        # Until the first source runs out every slot is filled.
+        for t, (slot, source) in enumerate(placed):
+            done[source] += 1
+            if slot != t or done[source] * 4 > sizes[source]:
+                break
+            assert all(abs(n * total - (t + 1) * whole[s]) < total for s, n in done.items())
+        else:
+            raise AssertionError("no source ran out")
+        assert t > 20
+
+
+def test_mixing_matches_its_sql(spark, tmp_path):
+    import duckdb
+
+    data = [(i * 7, s) for s, n in (("x", 700), ("y", 90), (None, 33), ("z", 1)) for i in range(n)]
+    spark.createDataFrame(data, "doc_id long, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    duckdb.sql(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    twin = duckdb.sql(mixing.oracle_sql())
+    got = queries.op5_source_mixing(spark, str(tmp_path)).select(*twin.columns).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(twin.fetchall(), key=str)
+
+
 def test_mix_keeps_every_row_in_its_window(spark):
     random.seed(3)
     data = [(random.randrange(10**6), random.choice(["big"] * 8 + ["mid", "small", None])) for _ in range(900)] + [(None, "mid"), (7, "mid"), (7, "mid")]
