@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from glyphlake.functions.scalars import css_escape, font_id, glyph_name, half_up, xml_escape
 from glyphlake.operators import boxes as bx
-from glyphlake.operators import compose, dims, graph, layout, outline, ownership, raster, text
+from glyphlake.operators import compose, dims, graph, layout, outline, ownership, raster, records, text
 from glyphlake.plans import kernels, pages, refine
 from glyphlake.sources import views as v
 
@@ -616,3 +616,105 @@ def svg_font_rows(spark, d):
 @query("font_face_css", sql=r"""SELECT p_partkey, coalesce(nullif(regexp_replace(p_name, '[^A-Za-z0-9_-]', '', 'g'), ''), 'MyHand') AS font_id, '@font-face { font-family: ''' || regexp_replace(p_name, '([\\''])', '\\\1', 'g') || '''; font-display: swap; }' AS css FROM part""")
 def font_face_css(spark, d):
     return v.read(spark, d, "part").select("p_partkey", font_id(F.col("p_name")).alias("font_id"), F.format_string("@font-face { font-family: '%s'; font-display: swap; }", css_escape(F.col("p_name"))).alias("css"))
+
+
+# Records of a run
+
+@query("running_ids", v.BOXES, sql="SELECT page_id, box_id, CAST(row_number() OVER (ORDER BY page_id, box_id) - 1 AS BIGINT) AS id FROM v_boxes")
+def running_ids(spark, d):
+    return records.running_ids(v.boxes(spark, d)).select("page_id", "box_id", "id")
+
+
+LABELS = """lb AS (SELECT page_id, box_id, nfc_normalize(CASE box_id % 4 WHEN 0 THEN '' WHEN 1 THEN l_returnflag || chr(769) WHEN 2 THEN l_linestatus ELSE l_returnflag || l_linestatus END) AS ch FROM
+ (SELECT l_orderkey AS page_id, l_linenumber AS box_id, min(l_returnflag) AS l_returnflag, min(l_linestatus) AS l_linestatus FROM lineitem GROUP BY 1, 2) a)"""
+
+
+@query(
+    "labelled_by_id", v.BOXES, LABELS,
+    sql=f"""SELECT page_id, box_id, x0, x1, ch FROM (SELECT b.page_id, b.box_id, x0, x1, ch, row_number() OVER (PARTITION BY b.page_id, ch ORDER BY b.box_id) AS rn FROM v_boxes b JOIN lb ON b.page_id = lb.page_id AND b.box_id = lb.box_id
+ WHERE length(ch) = 1 AND ch IN (SELECT ch FROM {dims.values(CHARSET, 'ch')})) c WHERE rn = 1""",
+)
+def labelled_by_id(spark, d):
+    """Boxes with their labels by id: composed, of one code point, of the Spanish set, the first of each on its page."""
+    flags = v.read(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("page_id"), F.col("l_linenumber").alias("box_id")).agg(F.min("l_returnflag").alias("r"), F.min("l_linestatus").alias("s"))
+    labels = flags.select("page_id", "box_id", F.expr("case box_id % 4 when 0 then '' when 1 then r || '\u0301' when 2 then s else r || s end").alias("label"))
+    return records.labelled_boxes(v.boxes(spark, d), labels, spark.createDataFrame(CHARSET, "ch string")).select("page_id", "box_id", "x0", "x1", "ch")
+
+
+@query(
+    "merge_overrides", v.BOXES,
+    sql="""SELECT page_id, box_id, x0 + s AS x0, y0 AS y0, x1 + s AS x1, y1, box_id % 2 = 1 AND (s > 0 OR box_id % 3 <> 1) AS changed
+ FROM (SELECT *, CASE WHEN box_id % 2 = 1 THEN CAST(page_id % 2 AS INT) ELSE 0 END AS s FROM v_boxes WHERE box_id % 3 = 1 OR box_id % 2 = 1) a""",
+)
+def merge_overrides(spark, d):
+    """Overrides of every third box, then of every second one, moved by a pixel on odd pages."""
+    boxes = v.boxes(spark, d)
+    later = boxes.where("box_id % 2 = 1").withColumn("x0", F.expr("int(x0 + page_id % 2)")).withColumn("x1", F.expr("int(x1 + page_id % 2)"))
+    return records.merged_overrides(boxes.where("box_id % 3 = 1"), later)
+
+
+@query(
+    "override_ink", v.BOXES, v.SMALL, v.PIXELS,
+    sql="""SELECT b.page_id, b.box_id, count(i.x) AS area FROM (SELECT page_id, box_id, CASE WHEN o THEN greatest(0, x0 - 2) ELSE x0 END AS x0, CASE WHEN o THEN least(7, x1 + 1) ELSE x1 END AS x1, y0, y1
+ FROM (SELECT *, box_id % 3 = 1 AS o FROM v_small) a) b LEFT JOIN v_ink i ON b.page_id = i.page_id AND x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1 GROUP BY 1, 2""",
+)
+def override_ink(spark, d):
+    small = _small(spark, d)
+    given = small.where("box_id % 3 = 1").select("page_id", "box_id", F.expr("x1 + 1").alias("ox0"), F.col("y0").alias("oy0"), F.expr("x0 - 2").alias("ox1"), F.col("y1").alias("oy1"))
+    return records.recounted(v.ink(spark, d), bx.overridden(small, given, SIDE, SIDE), 4)
+
+
+@query("component_extents", v.BOXES, v.SMALL, v.PIXELS, ROWS, TALLY, sql="SELECT page_id, root, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1 FROM lab WHERE (page_id, root) IN (SELECT (page_id, root) FROM ta) GROUP BY 1, 2")
+def component_extents(spark, d):
+    """Extents of the components that some box of their page holds a part of."""
+    labelled = _labelled(spark, d)
+    return records.extents(labelled, ownership.tallies(labelled, _small(spark, d), 4))
+
+
+TENTHS = "CASE WHEN {1} > 0 THEN lpad(CAST((2000 * {0} + {1}) // (2 * {1}) // 10 AS VARCHAR) || '.' || CAST((2000 * {0} + {1}) // (2 * {1}) % 10 AS VARCHAR), 5, ' ') ELSE '  0.0' END"
+
+
+@query(
+    "audit_lines", v.BOXES, v.SMALL, v.PIXELS, ROWS, TALLY, OWNER, KEEP, AUDIT,
+    sql=f"""SELECT page_id, box_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY CASE WHEN owned > 0 THEN missing / owned ELSE 0 END DESC, box_id) AS INT) AS place,
+ '  ' || lpad(CAST(box_id AS VARCHAR), 2, ' ') || '  clipped ' || {TENTHS.format('missing', 'owned')} || '%  foreign ' || {TENTHS.format('kept_foreign', 'kept')} || '%' ||
+ CASE WHEN missing * 1000 <= 20 * owned THEN '' WHEN box_id % 2 = 0 THEN '  (pinned by hand)' ELSE '  <- clipped' END AS line
+ FROM (SELECT *, owned - kept_own AS missing, kept_own + kept_foreign AS kept FROM au) a WHERE owned > 0 AND missing * 1000 >= 5 * owned OR kept > 0 AND kept_foreign * 1000 >= 100 * kept""",
+)
+def audit_lines(spark, d):
+    """The audit's lines in their order; boxes of even numbers count as set by hand."""
+    small = _small(spark, d)
+    return records.report_lines(ownership.audit(_labelled(spark, d), small, 4), small.where("box_id % 2 = 0"))
+
+
+@query(
+    "glyph_by_crop", v.BOXES,
+    sql="""SELECT g.page_id, g.source, b.box_id, b.x0, b.x1 FROM (SELECT o_orderkey AS page_id, 'crops/' || CAST(o_orderkey AS VARCHAR) || '-' || CAST(o_orderkey % 5 + 1 AS VARCHAR) || '.png' AS source FROM orders) g
+ LEFT JOIN (SELECT *, 'crops/' || CAST(page_id AS VARCHAR) || '-' || CAST(box_id AS VARCHAR) || '.png' AS crop FROM v_boxes) b ON g.source = b.crop""",
+)
+def glyph_by_crop(spark, d):
+    """One glyph an order, its source a crop that a box may have."""
+    glyphs = v.read(spark, d, "orders").select(F.col("o_orderkey").alias("page_id"), F.expr("'crops/' || o_orderkey || '-' || (o_orderkey % 5 + 1) || '.png'").alias("source"))
+    blobs = v.boxes(spark, d).select("box_id", "x0", "x1", F.expr("'crops/' || page_id || '-' || box_id || '.png'").alias("crop"))
+    return records.by_crop(glyphs, blobs).select("page_id", "source", "box_id", "x0", "x1")
+
+
+@query(
+    "glyph_sheet", v.CHARS,
+    sql="""SELECT page_id, ch, CAST(cx AS INT) AS cx, CAST(cy AS INT) AS cy, '<line x1="' || cx || '" y1="' || (cy + 88) || '" x2="' || (cx + 100) || '" y2="' || (cy + 88) || '" stroke="#bbe"/><text x="' || cx || '" y="' || (cy + 112) || '" font-size="12">'
+ || replace(replace(ch, '&', '&amp;'), '<', '&lt;') || '</text>' AS caption FROM (SELECT page_id, ch, i % 10 * 120 + 10 AS cx, i // 10 * 120 AS cy FROM (SELECT page_id, ch, row_number() OVER (PARTITION BY page_id ORDER BY min(ordinal)) - 1 AS i FROM v_chars GROUP BY 1, 2) a) b""",
+)
+def glyph_sheet(spark, d):
+    return records.glyph_sheet(text.first_characters(v.texts(spark, d)), "ordinal")
+
+
+@query("guide_box", sql="SELECT p_partkey, CAST(p_size AS DOUBLE) + (p_partkey % 50 - h) / 2 AS y, h FROM (SELECT *, least(CAST(p_partkey % 50 AS DOUBLE), 2 * p_size / CAST(4.05 AS DOUBLE)) AS h FROM part) a")
+def guide_box(spark, d):
+    y, h = records.guide_box(F.col("p_size") * 2, (F.col("p_partkey") % 50).cast("double"), F.col("p_size").cast("double"))
+    return v.read(spark, d, "part").select("p_partkey", y.alias("y"), h.alias("h"))
+
+
+@query("map_file", sql="SELECT s_suppkey, 'out.d/' || replace(s_name, '#', '.') || '-map.txt' AS path FROM supplier")
+def map_file(spark, d):
+    """The map file of a worksheet for every supplier, whose names have dots of their own."""
+    return v.read(spark, d, "supplier").select("s_suppkey", records.map_file(F.expr("'out.d/' || replace(s_name, '#', '.') || '.pdf'")).alias("path"))
