@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphlake.sources.durable import discard, setting, written  # noqa: F401
 
-#: Bytes of texts in an Arrow batch; a longer text is a batch of its own.
+#: Bytes of small Arrow batches that are handled together.
 BATCH_BYTES = 8 << 20
 
 
@@ -21,6 +22,19 @@ def short_batches(spark: SparkSession, rows: int = 500) -> Iterator[None]:
         yield
 
 
+def gathered(batches: Iterator[pa.RecordBatch], least: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of ``least`` bytes or a little more: what is held is that and one batch as it comes."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= least:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -19,25 +19,31 @@ import os
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from glyphlake.llm.common import discard, setting, written
+from glyphlake.llm.common import discard, gathered, setting, written
 from glyphlake.sources.durable import shared_dir
 from glyphlake.sources.files import read_files, write_files
 
 MAGIC, VERSION, HEAD = b"GLID", 1, struct.Struct("<4sIIQQQ")
 #: Ids in a block, in a file (more only if one document has more) and in a task that writes files.
 BLOCK_IDS, FILE_IDS, TASK_IDS = 1 << 18, 16 << 20, 64 << 20
-#: Texts in a batch, and words that a worker remembers.
-BATCH, WORDS = 256, 200_000
+#: Texts in a batch, and words that a worker remembers, up to twice.
+BATCH, WORDS = 256, 300_000
+#: Words that are encoded as one text where their tokens tell them apart.
+TOGETHER = 200
+#: Marks that may stand after a word's letters, and the first character beyond the Latin ones.
+MARKS, LATIN = ".,;:!?$&*#%()[]-", "\u0250"
 RANKS = "ranks.bin"
 
 #: The four lengths of every control byte; which of four bytes are there at each length.
@@ -97,36 +103,111 @@ def unpacked(content: bytes) -> tuple[list, np.ndarray, np.ndarray]:
     return [int(d) if t else None for d, t in zip(own, there, strict=True)], counts, ranks
 
 
-_TOKENIZERS: dict = {}
+class Recent(dict):
+    """What is known of words, for those that were met lately: twice ``most`` at most, and a word that is met again stays."""
 
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.old = most, {}
 
-def _tokenizer(path: str):
-    if path not in _TOKENIZERS:
+    def turn(self) -> None:
+        """Where too many words are known, those of the time before last are forgotten."""
+        if len(self) > self.most:
+            self.old = dict(self)
+            self.clear()
+
+    def unknown(self, wanted: set[str]) -> list[str]:
+        """The wanted words that nothing is known of; the others are at hand until the next turn."""
+        new = wanted.difference(self)
+        again = new & self.old.keys()
+        self.update((w, self.old[w]) for w in again)
+        return list(new - again)
+
+
+class Words:
+    """A tokenizer and what is known of words and their pieces, for one worker."""
+
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel ones
-        _TOKENIZERS[path] = (Tokenizer.from_file(path), {})
-    return _TOKENIZERS[path]
+        self.tokenizer, self.words, self.pieces = Tokenizer.from_file(path), Recent(WORDS), Recent(WORDS)
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if suffix and t.endswith(suffix)]] = True
+
+    def encoded(self, texts: list[str]) -> Iterator[list[int]]:
+        return (e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False))
+
+    def learn(self, parts: list[str], code: str) -> None:
+        """Encode pieces, those of letters alone many to a text: a token that ends a word tells where the next one begins."""
+        plain = [p for p in parts if p.isalpha()] if self.ends.any() else []
+        rest = list(set(parts).difference(plain))
+        groups = [plain[i : i + TOGETHER] for i in range(0, len(plain), TOGETHER)]
+        for group, ids in zip(groups, self.encoded([" ".join(g) for g in groups]), strict=True):
+            upto = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            if len(upto) != len(group) or upto[-1] != len(ids):
+                rest += group
+                continue
+            data, size = array(code, ids).tobytes(), array(code).itemsize
+            at = 0
+            for piece, end in zip(group, upto, strict=True):
+                self.pieces[piece] = data[at : end * size]
+                at = end * size
+        for piece, ids in zip(rest, self.encoded(rest), strict=True):
+            self.pieces[piece] = array(code, ids).tobytes()
+
+
+_WORDS: dict[str, Words] = {}
+
+
+def _words(path: str) -> Words:
+    if path not in _WORDS:
+        _WORDS[path] = Words(path)
+    return _WORDS[path]
 
 
 def id_type(path: str, end_id: int) -> str:
     """The narrowest of numpy's kinds that holds all ids of a tokenizer."""
-    return "<u2" if max(_tokenizer(path)[0].get_vocab_size(with_added_tokens=True), end_id + 1) <= 1 << 16 else "<u4"
+    return "<u2" if max(_words(path).tokenizer.get_vocab_size(with_added_tokens=True), end_id + 1) <= 1 << 16 else "<u4"
 
 
-def encoded_texts(texts: list, path: str, kind: str, by_words: bool) -> list[bytes]:
-    """Ids of each text (None: empty), as bytes; ``by_words`` encodes words between spaces and line ends once, whatever their number."""
-    tokenizer, known = _tokenizer(path)
+def _apart(word: str) -> tuple[str, str]:
+    """A word's letters and the marks after them, where it is Latin letters and plain marks, else all of it and nothing.
+
+    Letters and marks are never one token, and the tokenizer makes letters small itself.
+    """
+    letters = word.rstrip(MARKS)
+    small = letters.lower()
+    if small.isalpha() and (letters.isascii() or max(letters) < LATIN):  # small letters may bring marks of their own
+        return small, word[len(letters) :]
+    return word, ""
+
+
+def encoded_texts(texts: pa.Array | list, path: str, kind: str, by_words: bool) -> list[bytes]:
+    """Ids of each text (null: empty), as bytes; ``by_words`` looks each different word between spaces and line ends up once."""
+    at_hand = _words(path)
+    code = {"<u2": "H", "<u4": "I"}[kind]
+    texts = pc.fill_null(pa.array(texts, pa.string()) if isinstance(texts, list) else texts, "")
     if not by_words:
-        found = tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)
-        return [np.array(e.ids, kind).tobytes() for e in found]
-    cut = [(t or "").replace("\n", " ").split(" ") for t in texts]
-    if len(known) > WORDS:
-        known.clear()
-    new = list(set(chain.from_iterable(cut)).difference(known))
-    for word, e in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-        known[word] = np.array(e.ids, kind).tobytes()
-    return [b"".join(map(known.__getitem__, words)) for words in cut]
+        return [array(code, ids).tobytes() for ids in at_hand.encoded(texts.to_pylist())]
+    cut = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+    places = cut.flatten().dictionary_encode()
+    own = places.dictionary.to_pylist()
+    words, pieces = at_hand.words, at_hand.pieces
+    words.turn()
+    new = {w: _apart(w) for w in words.unknown(set(own))}
+    pieces.turn()
+    at_hand.learn(pieces.unknown(set(chain.from_iterable(new.values()))), code)
+    words.update((w, pieces[a] + pieces[b]) for w, (a, b) in new.items())
+    ids = pa.array(map(words.__getitem__, own), pa.large_binary()).take(places.indices)  # all words' ids, one after another
+    _, ends, data = ids.buffers()
+    if data is None:
+        return [b""] * len(texts)
+    ends = np.frombuffer(ends, np.int64)[cut.offsets.to_numpy() - cut.offsets[0].as_py()].tolist()
+    view = memoryview(data)
+    return [bytes(view[a:b]) for a, b in zip(ends, ends[1:])]
 
 
 def encode(docs: DataFrame, tokenizer_path: str, end_id: int, by_words: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -140,8 +221,8 @@ def encode(docs: DataFrame, tokenizer_path: str, end_id: int, by_words: bool = F
     end = np.array([end_id], kind).tobytes()
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = [b + end for b in encoded_texts(batch.column("text").to_pylist(), tokenizer_path, kind, by_words)]
+        for batch in gathered(batches):
+            ids = [b + end for b in encoded_texts(batch.column("text"), tokenizer_path, kind, by_words)]
             n = pa.array([len(b) // len(end) for b in ids], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), n, pa.array(ids, pa.binary())], ["doc_id", "n", "ids"])
 

@@ -8,10 +8,12 @@ from hashlib import sha256
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
 from glyphlake.llm import centroids, idfiles, queries, resampling
+from glyphlake.llm.common import gathered
 
 
 def clustered(rows, k, rounds, scale, salt):
@@ -85,10 +87,25 @@ def test_words_encode_as_whole_texts_do():
     random.seed(4)
     texts = TEXTS + ["".join(random.choice(" \n'abÄß́ſ1٣,。가가 <|>é") for _ in range(80)) for _ in range(300)]
     whole = [e.ids for e in Tokenizer.from_file(WORDS).encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    texts += [chr(c) + m for c in range(0x21, 0x250) for m in ("", ".", "a", "!?", "Z-", "'s", "s'")] * 2  # letters and marks are looked up apart
+    whole += [e.ids for e in Tokenizer.from_file(WORDS).encode_batch(texts[len(whole) :], add_special_tokens=False)]
     for by_words in (True, False):
         assert [np.frombuffer(b, "<u2").tolist() for b in idfiles.encoded_texts(texts, WORDS, "<u2", by_words)] == whole
 
 
+def test_what_is_known_is_bounded():
+    known = idfiles.Recent(10)
+    for i in range(100):
+        known.turn()
+        assert i < 12 or not known.unknown({"often"})
+        for w in known.unknown({"often", f"w{i}"}):
+            known[w] = i
+        assert len(known) + len(known.old) <= 24
+    batches = [pa.record_batch([pa.array(["x" * 100] * n, pa.string())], ["t"]) for n in (1, 5, 0, 3, 200, 2)]
+    merged = list(gathered(iter(batches), 700))
+    assert [b.num_rows for b in merged] == [9, 200, 2] and list(gathered(iter([]))) == []
+
+
 def test_blocks_round_trip():
     rng = np.random.default_rng(1)
     for n in (0, 1, 2, 3, 4, 5, 1000, idfiles.BLOCK_IDS):
