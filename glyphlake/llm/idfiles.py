@@ -39,9 +39,9 @@ MAGIC, VERSION, HEAD = b"GLID", 1, struct.Struct("<4sIIQQQ")
 #: Ids in a block, in a file (more only if one document has more) and in a task that writes files.
 BLOCK_IDS, FILE_IDS, TASK_IDS = 1 << 18, 16 << 20, 64 << 20
 #: Texts in a batch, and words that a worker remembers, up to twice.
-BATCH, WORDS = 256, 300_000
-#: Words that are encoded as one text where their tokens tell them apart.
-TOGETHER = 200
+BATCH, WORDS = 256, 100_000
+#: Words that are encoded as one text where their tokens tell them apart, and texts that the library has at once.
+TOGETHER, AT_ONCE = 200, 50
 #: Marks that may stand after a word's letters, and the first character beyond the Latin ones.
 MARKS, LATIN = ".,;:!?$&*#%()[]-", "\u0250"
 RANKS = "ranks.bin"
@@ -138,7 +138,10 @@ class Words:
         self.ends[[i for t, i in vocabulary.items() if suffix and t.endswith(suffix)]] = True
 
     def encoded(self, texts: list[str]) -> Iterator[list[int]]:
-        return (e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False))
+        """Ids of the texts, some at a time: the library keeps far more of a text than its ids."""
+        for i in range(0, len(texts), AT_ONCE):
+            for e in self.tokenizer.encode_batch_fast(texts[i : i + AT_ONCE], add_special_tokens=False):
+                yield e.ids
 
     def learn(self, parts: list[str], code: str) -> None:
         """Encode pieces, those of letters alone many to a text: a token that ends a word tells where the next one begins."""
@@ -234,6 +237,7 @@ def id_counts(encoded: DataFrame, kind: str) -> DataFrame:
     """(id, n): how often each token id stands in all documents; a task hands on no more rows than there are ids."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _WORDS.clear()
         total = np.zeros(0, np.int64)
         for batch in batches:
             got = np.bincount(np.frombuffer(b"".join(batch.column("ids").to_pylist()), kind))
@@ -264,6 +268,7 @@ def write_ids(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int, by
         rank_of[by_rank] = np.arange(len(by_rank))
 
         def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            _WORDS.clear()  # a worker that has encoded texts before needs its room now
             part, k, own, ranks, size = TaskContext.get().partitionId(), 0, [], [], 0
 
             def file() -> pa.RecordBatch:
