@@ -30,10 +30,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from glyphlake.llm.common import discard, gathered, setting, written
 from glyphlake.sources.durable import shared_dir
-from glyphlake.sources.files import read_files, write_files
+from glyphlake.sources.files import Attempt, Files, FilesWriter, read_files, write_files
 
 MAGIC, VERSION, HEAD = b"GLID", 1, struct.Struct("<4sIIQQQ")
 #: Ids in a block, in a file (more only if one document has more) and in a task that writes files.
@@ -249,50 +250,75 @@ def id_counts(encoded: DataFrame, kind: str) -> DataFrame:
     return encoded.select("ids").mapInArrow(kernel, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
+def packed_files(batches: Iterator[pa.RecordBatch], rank_of: np.ndarray, kind: str) -> Iterator[pa.RecordBatch]:
+    """Files (name, content) of documents (doc_id, ids) that come in order, named by the task and their place in it."""
+    part, k, own, ranks, size = TaskContext.get().partitionId(), 0, [], [], 0
+
+    def file() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([f"{part:08d}-{k:06d}.ids"]), pa.array([packed(own, ranks)], pa.binary())], ["name", "content"])
+
+    for batch in batches:
+        for doc_id, ids in zip(batch.column("doc_id").to_pylist(), batch.column("ids"), strict=True):
+            got = rank_of[np.frombuffer(ids.as_buffer(), kind)]
+            if own and size + len(got) > FILE_IDS:
+                yield file()
+                k, own, ranks, size = k + 1, [], [], 0
+            own.append(doc_id)
+            ranks.append(got)
+            size += len(got)
+    if own:
+        yield file()
+
+
+class IdFilesWriter(FilesWriter):
+    """Packs rows (doc_id, ids) into files where they are written, so that a task has one Python worker."""
+
+    def __init__(self, path: str, overwrite: bool, kind: str):
+        super().__init__(path, overwrite)
+        self.kind = kind
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Attempt:
+        _WORDS.clear()  # a worker that has encoded texts before needs its room now
+        store, root, _ = self._area()
+        with store.open_input_file(f"{root}/{RANKS}") as f:
+            by_rank = np.frombuffer(f.read(), "<u4")
+        rank_of = np.zeros(int(by_rank.max(initial=0)) + 1, "<u4")
+        rank_of[by_rank] = np.arange(len(by_rank))
+        return super().write(packed_files(iterator, rank_of, self.kind))
+
+
+class IdFiles(Files):
+    """The data source ``glyphlake_ids``; its options are path, a folder with a file of ranks, and kind, see ``id_type``."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "glyphlake_ids"
+
+    def writer(self, schema: StructType, overwrite: bool) -> IdFilesWriter:
+        return IdFilesWriter(self.options["path"], overwrite, self.options["kind"])
+
+
 def write_ids(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int, by_words: bool = False) -> None:
     """Encode all texts of (doc_id, text) and write files of token ids under the folder, in ascending doc_id order.
 
     Documents without an id come first, repeated ids in the order of a hash of their token ids. File
     names in alphabetical order are the documents' order. Ranks need the counts of all documents, so
     encoded texts are kept in between. An empty table writes ranks of no ids and no other file. The
-    files appear together once all are written.
+    ranks are written first, the files of ids then appear together once all are written.
     """
     spark = docs.sparkSession
     kind = id_type(tokenizer_path, end_id)
     with setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH)):
         encoded = written(encode(docs, tokenizer_path, end_id, by_words), "ids")
         counts = id_counts(encoded, kind).orderBy(F.desc("n"), "id").collect()  # a row for each id of the vocabulary at most
-        total = sum(r.n for r in counts)
         by_rank = np.array([r.id for r in counts], "<u4")
-        rank_of = np.zeros(int(by_rank.max(initial=0)) + 1, "<u4")
-        rank_of[by_rank] = np.arange(len(by_rank))
-
-        def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            _WORDS.clear()  # a worker that has encoded texts before needs its room now
-            part, k, own, ranks, size = TaskContext.get().partitionId(), 0, [], [], 0
-
-            def file() -> pa.RecordBatch:
-                return pa.RecordBatch.from_arrays([pa.array([f"{part:08d}-{k:06d}.ids"]), pa.array([packed(own, ranks)], pa.binary())], ["name", "content"])
-
-            for batch in batches:
-                for doc_id, ids in zip(batch.column("doc_id").to_pylist(), batch.column("ids"), strict=True):
-                    got = rank_of[np.frombuffer(ids.as_buffer(), kind)]
-                    if own and size + len(got) > FILE_IDS:
-                        yield file()
-                        k, own, ranks, size = k + 1, [], [], 0
-                    own.append(doc_id)
-                    ranks.append(got)
-                    size += len(got)
-            if own:
-                yield file()
-
-        n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_IDS))
+        write_files(spark.createDataFrame([(RANKS, bytearray(by_rank.tobytes()))], "name string, content binary"), folder)
+        n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-sum(r.n for r in counts) // TASK_IDS))
         mark = F.xxhash64("ids")
         placed = encoded.select("doc_id", "ids", mark.alias("mark")).repartitionByRange(n, F.asc_nulls_first("doc_id"), "mark").sortWithinPartitions(F.asc_nulls_first("doc_id"), "mark", "ids")
-        files = placed.select("doc_id", "ids").mapInArrow(pack, "name string, content binary")
-        ranks = spark.createDataFrame([(RANKS, bytearray(by_rank.tobytes()))], "name string, content binary")
+        spark.dataSource.register(IdFiles)
         with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
-            write_files(files.unionByName(ranks), folder)
+            placed.select("doc_id", "ids").write.format(IdFiles.name()).option("kind", kind).mode("append").save(folder)
     discard(encoded)
 
 
