@@ -9,6 +9,7 @@ from glyphlake.functions.scalars import css_escape, font_id, glyph_name, half_up
 from glyphlake.operators import boxes as bx
 from glyphlake.operators import compose, dims, graph, layout, outline, ownership, raster, records, text
 from glyphlake.plans import kernels, pages, refine
+from glyphlake.sources import sinks
 from glyphlake.sources import views as v
 
 QUERIES: dict = {}
@@ -140,9 +141,23 @@ def tile_background(spark, d):
     return raster.tile_background(v.pixels(spark, d), 4)
 
 
-@query("adaptive_ink", v.PIXELS, TILES, sql="SELECT p.page_id, y, x FROM v_pixels p JOIN ti ON p.page_id = ti.page_id AND y // 4 = ty AND x // 4 = tx WHERE gray < 165 AND gray < background - 10")
+# The twin works every tile's and every pixel's level out from all pairs, without sums along the axes and without neighbourhoods.
+BLUR = """pr AS (SELECT a.page_id, a.ty, a.tx, b.background AS level, CAST(floor(1024 * exp(-((a.ty - b.ty) * (a.ty - b.ty)) / CAST(8 AS DOUBLE)) + 0.5) AS BIGINT) * CAST(floor(1024 * exp(-((a.tx - b.tx) * (a.tx - b.tx)) / CAST(8 AS DOUBLE)) + 0.5) AS BIGINT) AS w
+ FROM ti a JOIN ti b ON a.page_id = b.page_id AND abs(a.ty - b.ty) <= 6 AND abs(a.tx - b.tx) <= 6),
+ bt AS (SELECT page_id, ty, tx, CAST(floor(CAST(sum(level * w) AS DOUBLE) / CAST(sum(w) AS DOUBLE) + 0.5) AS BIGINT) AS b FROM pr GROUP BY 1, 2, 3),
+ bg AS (SELECT p.page_id, p.y, p.x, p.gray, CAST(floor(sum(b * greatest(0, 1 - abs(least(greatest((y + 0.5) / 2 - 0.5, 0), 3) - ty)) * greatest(0, 1 - abs(least(greatest((x + 0.5) / 2 - 0.5, 0), 3) - tx))) + 0.5) AS INT) AS background
+  FROM v_pixels p JOIN bt ON p.page_id = bt.page_id GROUP BY 1, 2, 3, 4)"""
+FINE = TILES.replace("// 4", "// 2")
+
+
+@query("local_background", v.PIXELS, FINE, BLUR, sql="SELECT page_id, y, x, gray, background FROM bg")
+def local_background(spark, d):
+    return raster.with_background(v.pixels(spark, d), 2)
+
+
+@query("adaptive_ink", v.PIXELS, FINE, BLUR, sql="SELECT page_id, y, x FROM bg WHERE gray < 165 AND gray < background - 10")
 def adaptive_ink(spark, d):
-    return raster.adaptive_ink(v.pixels(spark, d), 4, delta=10)
+    return raster.adaptive_ink(v.pixels(spark, d), 2, delta=10)
 
 
 @query("ink_runs", v.PIXELS, sql="SELECT page_id, y, min(x) AS x0, max(x) AS x1 FROM (SELECT *, x - row_number() OVER (PARTITION BY page_id, y ORDER BY x) AS g FROM v_ink) a GROUP BY page_id, y, g")
@@ -170,6 +185,47 @@ def column_profile(spark, d):
     return raster.column_profile(v.ink(spark, d))
 
 
+@query(
+    "dominant_components", REACH,
+    sql="""SELECT c.page_id, c.cell, least(c.x0, coalesce(e.ex0, c.x0)) AS x0, least(c.y0, coalesce(e.ey0, c.y0)) AS y0, greatest(c.x1, coalesce(e.ex1, c.x1)) AS x1, greatest(c.y1, coalesce(e.ey1, c.y1)) AS y1, c.area,
+ c.x0 AS core_x0, c.y0 AS core_y0, c.x1 AS core_x1, c.y1 AS core_y1 FROM (SELECT page_id, CAST(x // 3 AS INT) AS cell, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1, count(*) AS area FROM comp WHERE y BETWEEN 2 AND 5 GROUP BY 1, 2) c
+ LEFT JOIN (SELECT page_id, cell, root FROM (SELECT *, sum(here) OVER (PARTITION BY page_id, root) AS total, row_number() OVER (PARTITION BY page_id, cell ORDER BY here DESC, met) AS rn FROM
+  (SELECT page_id, CAST(x // 3 AS INT) AS cell, root, count(*) AS here, min(min((x // 3) * 10000 + y * 100 + x)) OVER (PARTITION BY page_id, root) AS met FROM comp WHERE y BETWEEN 2 AND 5 GROUP BY 1, 2, 3) s) t WHERE rn = 1 AND here >= total * CAST(0.6 AS DOUBLE)) m
+  ON c.page_id = m.page_id AND c.cell = m.cell LEFT JOIN (SELECT page_id, root, min(x) AS ex0, min(y) AS ey0, max(x) AS ex1, max(y) AS ey1 FROM comp GROUP BY 1, 2) e ON m.page_id = e.page_id AND m.root = e.root""",
+)
+def dominant_components(spark, d):
+    """Cells of three columns of each raster's middle rows, grown over their dominant component."""
+    runs = graph.kept(graph.labelled_runs(v.ink(spark, d)), "labels")
+    reach = runs.groupBy("page_id", "root").agg(F.min("x0").alias("ex0"), F.min("y").alias("ey0"), F.max("x1").alias("ex1"), F.max("y").alias("ey1"))
+    pixels = runs.select("page_id", "y", F.explode(F.sequence("x0", "x1")).alias("x"), "root").where("y between 2 and 5").withColumn("cell", F.expr("int(x div 3)"))
+    cells = pixels.groupBy("page_id", "cell").agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1"), F.count(F.lit(1)).alias("area"))
+    grown = ownership.extended(cells, ownership.dominant(ownership.cell_shares(pixels)), reach)
+    return grown.select("page_id", "cell", "x0", "y0", "x1", "y1", "area", *(F.col(f"core.{c}").alias(f"core_{c}") for c in ("x0", "y0", "x1", "y1")))
+
+
+VALLEYS = """cn AS (SELECT page_id, page_id % 3 + 2 AS n, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1, count(*) AS area FROM v_ink GROUP BY 1),
+ co AS (SELECT page_id, x, count(*) AS ink, min(y) AS low, max(y) AS high FROM v_ink GROUP BY 1, 2),
+ ev AS (SELECT page_id, x0, x1 - x0 + 1 AS w, n, k, CAST(floor(k * ((x1 - x0 + 1) / CAST(n AS DOUBLE)) + 0.5) AS INT) AS even, CAST(greatest(2, floor((x1 - x0 + 1) / CAST(n AS DOUBLE) * CAST(0.38 AS DOUBLE) + 0.5)) AS INT) AS near FROM cn, range(1, 5) r(k) WHERE k < n),
+ ca AS (SELECT ev.*, a AS spot FROM ev, range(0, 8) s(a) WHERE a BETWEEN greatest(1, even - near) AND least(w - 2, even + near)),
+ pk AS (SELECT page_id, k, spot FROM (SELECT ca.page_id, k, spot, row_number() OVER (PARTITION BY ca.page_id, k ORDER BY coalesce(ink, 0) * 1000 + abs(spot - even), spot) AS rn FROM ca LEFT JOIN co ON ca.page_id = co.page_id AND co.x = ca.x0 + spot) z WHERE rn = 1),
+ cb AS (SELECT ev.page_id, ev.k, coalesce(pk.spot, even) AS spot FROM ev LEFT JOIN pk ON ev.page_id = pk.page_id AND ev.k = pk.k UNION ALL SELECT page_id, 0, 0 FROM cn UNION ALL SELECT page_id, n, x1 - x0 + 1 FROM cn),
+ sl AS (SELECT f.page_id, f.k AS i, cn.x0 + f.spot AS a, cn.x0 + t.spot - 1 AS b FROM cb f JOIN cb t ON f.page_id = t.page_id AND t.k = f.k + 1 JOIN cn ON cn.page_id = f.page_id)"""
+
+
+@query("valley_slices", v.PIXELS, VALLEYS, sql="SELECT sl.page_id, CAST(i AS INT) AS i, min(x) AS x0, min(low) AS y0, max(x) AS x1, max(high) AS y1, CAST(sum(ink) AS BIGINT) AS area FROM sl JOIN co ON sl.page_id = co.page_id AND x BETWEEN a AND b GROUP BY 1, 2")
+def valley_slices(spark, d):
+    """Each raster's ink cut into two to four slices where little of it stands."""
+    ink = v.ink(spark, d)
+    chunks = ink.groupBy("page_id").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"), F.count(F.lit(1)).alias("area")).withColumn("chunk", F.lit(0))
+    return bx.valley_slices(chunks, chunks.select("page_id", "chunk", F.expr("int(page_id % 3 + 2)").alias("n")), ink, 4).drop("chunk")
+
+
+@query("coverage_profile", v.BOXES, sql="SELECT s.page_id, CAST(s.x AS INT) AS x, count(b.page_id) AS n FROM (SELECT page_id, unnest(range(min(x0), max(x1) + 1)) AS x FROM v_boxes GROUP BY 1) s LEFT JOIN v_boxes b ON s.page_id = b.page_id AND s.x BETWEEN b.x0 AND b.x1 GROUP BY 1, 2")
+def coverage_profile(spark, d):
+    """How many of an order's boxes stand over every column."""
+    return raster.coverage_profile(v.boxes(spark, d))
+
+
 # Boxes
 
 CHUNKS = """fl AS (SELECT *, CASE WHEN x0 <= max(x1) OVER (PARTITION BY page_id ORDER BY x0, box_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS opens FROM v_boxes),
@@ -329,9 +385,19 @@ def character_cells(spark, d):
     return pages.character_cells(boxes, lines, v.ink(spark, d))
 
 
-# Ownership. The pixel's raster row stands in for its component, which keeps the twins plain SQL.
+@query("freehand_page_cells")
+def freehand_page_cells(spark, d):
+    """Rasters side by side as pages of 64 by 64 pixels, cut on the thin mask into their document's lines, read from the full one."""
+    pixels = v.pixels(spark, d).select(F.expr("page_id div 64").alias("page_id"), F.expr("int(page_id % 64 div 8 * 8 + y)").alias("y"), F.expr("int(page_id % 8 * 8 + x)").alias("x"), "gray")
+    thin, full = (pixels.where(F.col("gray") < most).drop("gray") for most in (85, v.INK))
+    lines = text.expected_lines(v.read(spark, d, "documents"), "doc_id", "text").select(F.col("id").alias("page_id"), "line", "chars")
+    cells = pages.character_cells(graph.components(thin, 2), lines, thin, full)
+    return cells.select("page_id", "line", "cell", "x0", "y0", "x1", "y1", "area", "seam_y0", *(F.col(f"core.{c}").alias(f"core_{c}") for c in ("x0", "y0", "x1", "y1")))
+
+
+# Ownership, over the components of the rasters' ink.
 
-ROWS = "lab AS (SELECT page_id, y, x, CAST(y AS BIGINT) AS root FROM v_ink)"
+LAB = "lab AS (SELECT page_id, y, x, root FROM comp)"
 TALLY = "ta AS (SELECT l.page_id, root, box_id, count(*) AS here FROM lab l JOIN v_small b ON l.page_id = b.page_id AND x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1 GROUP BY 1, 2, 3)"
 OWNER = "ow AS (SELECT page_id, root, box_id AS owner FROM (SELECT *, row_number() OVER (PARTITION BY page_id, root ORDER BY here DESC, box_id) AS rn FROM ta) x WHERE rn = 1), ar AS (SELECT page_id, root, count(*) AS area FROM lab GROUP BY 1, 2)"
 KEEP = """ke AS (SELECT ta.page_id, ta.root, ta.box_id, here, area, owner, here >= 0.005 * max(here) OVER (PARTITION BY ta.page_id, ta.box_id) AND (owner = ta.box_id OR here >= 0.25 * area) AS kept
@@ -342,7 +408,7 @@ AUDIT = """ob AS (SELECT ar.page_id, owner AS box_id, CAST(sum(area) AS BIGINT)
 
 
 def _labelled(spark, d):
-    return v.ink(spark, d).withColumn("root", F.col("y").cast("long"))
+    return graph.labelled_pixels(v.ink(spark, d))
 
 
 def _small(spark, d):
@@ -354,42 +420,42 @@ def pixel_in_box(spark, d):
     return ownership.pixels_in_boxes(v.ink(spark, d), _small(spark, d), 4).select("page_id", "box_id", "y", "x")
 
 
-@query("component_tally", v.BOXES, v.SMALL, v.PIXELS, ROWS, TALLY, sql="SELECT * FROM ta")
+@query("component_tally", REACH, v.BOXES, v.SMALL, LAB, TALLY, sql="SELECT * FROM ta")
 def component_tally(spark, d):
     return ownership.tallies(_labelled(spark, d), _small(spark, d), 4)
 
 
-@query("assign_owner", v.BOXES, v.SMALL, v.PIXELS, ROWS, TALLY, OWNER, sql="SELECT page_id, root, owner FROM ow")
+@query("assign_owner", REACH, v.BOXES, v.SMALL, LAB, TALLY, OWNER, sql="SELECT page_id, root, owner FROM ow")
 def assign_owner(spark, d):
     return ownership.owners(ownership.tallies(_labelled(spark, d), _small(spark, d), 4))
 
 
-@query("crop_keep", v.BOXES, v.SMALL, v.PIXELS, ROWS, TALLY, OWNER, KEEP, sql="SELECT page_id, root, box_id, here, area, kept FROM ke")
+@query("crop_keep", REACH, v.BOXES, v.SMALL, LAB, TALLY, OWNER, KEEP, sql="SELECT page_id, root, box_id, here, area, kept FROM ke")
 def crop_keep(spark, d):
     labelled = _labelled(spark, d)
     return ownership.keep_rule(ownership.tallies(labelled, _small(spark, d), 4), labelled)
 
 
-@query("crop_pixels", v.BOXES, v.SMALL, v.PIXELS, ROWS, TALLY, OWNER, KEEP, sql="SELECT l.page_id, k.box_id, l.y, l.x, l.root FROM lab l JOIN ke k ON l.page_id = k.page_id AND l.root = k.root AND kept JOIN v_small b ON b.page_id = l.page_id AND b.box_id = k.box_id AND x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1")
+@query("crop_pixels", REACH, v.BOXES, v.SMALL, LAB, TALLY, OWNER, KEEP, sql="SELECT l.page_id, k.box_id, l.y, l.x, l.root FROM lab l JOIN ke k ON l.page_id = k.page_id AND l.root = k.root AND kept JOIN v_small b ON b.page_id = l.page_id AND b.box_id = k.box_id AND x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1")
 def crop_pixels(spark, d):
     return ownership.crop_pixels(_labelled(spark, d), _small(spark, d), 4)
 
 
 @query(
-    "audit_report", v.BOXES, v.SMALL, v.PIXELS, ROWS, TALLY, OWNER, KEEP, AUDIT,
+    "audit_report", REACH, v.BOXES, v.SMALL, LAB, TALLY, OWNER, KEEP, AUDIT,
     sql="SELECT *, owned - kept_own AS missing, CASE WHEN owned > 0 THEN (owned - kept_own) / owned ELSE 0.0 END AS clipped, CASE WHEN kept_own + kept_foreign > 0 THEN kept_foreign / (kept_own + kept_foreign) ELSE 0.0 END AS foreign FROM au",
 )
 def audit_report(spark, d):
     return ownership.audit(_labelled(spark, d), _small(spark, d), 4)
 
 
-@query("orphan_share", v.BOXES, v.SMALL, v.PIXELS, ROWS, TALLY, OWNER, sql="SELECT page_id, CAST(sum(CASE WHEN owner IS NULL THEN area ELSE 0 END) AS BIGINT) AS orphan, CAST(sum(area) AS BIGINT) AS total, sum(CASE WHEN owner IS NULL THEN area ELSE 0 END) / sum(area) AS share FROM ar LEFT JOIN ow USING (page_id, root) GROUP BY 1")
+@query("orphan_share", REACH, v.BOXES, v.SMALL, LAB, TALLY, OWNER, sql="SELECT page_id, CAST(sum(CASE WHEN owner IS NULL THEN area ELSE 0 END) AS BIGINT) AS orphan, CAST(sum(area) AS BIGINT) AS total, sum(CASE WHEN owner IS NULL THEN area ELSE 0 END) / sum(area) AS share FROM ar LEFT JOIN ow USING (page_id, root) GROUP BY 1")
 def orphan_share(spark, d):
     return ownership.orphans(_labelled(spark, d), _small(spark, d), 4)
 
 
 @query(
-    "propose_boxes", v.BOXES, v.SMALL, v.PIXELS, ROWS, TALLY, OWNER,
+    "propose_boxes", REACH, v.BOXES, v.SMALL, LAB, TALLY, OWNER,
     sql="""SELECT b.page_id, b.box_id, least(x0, ex0) AS x0, least(y0, ey0) AS y0, greatest(x1, ex1) AS x1, greatest(y1, ey1) AS y1 FROM v_small b JOIN
  (SELECT l.page_id, owner AS box_id, min(x) AS ex0, min(y) AS ey0, max(x) AS ex1, max(y) AS ey1 FROM lab l JOIN ow ON l.page_id = ow.page_id AND l.root = ow.root GROUP BY 1, 2) e ON b.page_id = e.page_id AND b.box_id = e.box_id
  WHERE ex0 < x0 OR ey0 < y0 OR ex1 > x1 OR ey1 > y1""",
@@ -487,12 +553,51 @@ def text_layout(spark, d):
     return layout.pen_positions(turns, spark.createDataFrame(sorted(ADVANCES.items()), "ch string, advance int"))
 
 
-@query("word_wrap")
+WORDS = r"""wd AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '') AS ws FROM conversations),
+ ww AS (SELECT conv_id, turn, i, ws[i] AS word FROM (SELECT *, unnest(range(1, len(ws) + 1)) AS i FROM wd) a),
+ cw AS (SELECT word, CAST(sum(coalesce(advance, 500)) AS INT) AS width FROM (SELECT word, unnest(string_split(word, '')) AS ch FROM (SELECT DISTINCT word FROM ww) b) c LEFT JOIN ad USING (ch) WHERE ch <> '' GROUP BY 1),
+ wo AS MATERIALIZED (SELECT conv_id, turn, i, word, width FROM ww JOIN cw USING (word)),
+ fit AS (SELECT conv_id, turn, n, size, i, CAST(0 AS INT) AS line, width AS w FROM wo, sz WHERE i = 1 UNION ALL
+  SELECT f.conv_id, f.turn, f.n, f.size, o.i, CASE WHEN f.w + 300 + o.width <= {0} THEN f.line ELSE f.line + 1 END, CASE WHEN f.w + 300 + o.width <= {0} THEN f.w + 300 + o.width ELSE o.width END
+  FROM fit f JOIN wo o ON f.conv_id = o.conv_id AND f.turn = o.turn AND o.i = f.i + 1)"""
+
+
+@query("word_wrap", f"RECURSIVE {ADV}", "sz AS (SELECT 0 AS n, 0 AS size)", WORDS.format(30_000), sql="SELECT conv_id, turn, line, CAST(count(*) AS INT) AS words, max(w) AS width FROM fit GROUP BY 1, 2, 3")
 def word_wrap(spark, d):
     turns = v.read(spark, d, "conversations").select("conv_id", "turn", layout.word_widths(F.col("text"), ADVANCES).alias("words"))
     return turns.select("conv_id", "turn", F.explode(layout.wrapped(F.col("words"), 30_000)).alias("l")).select("conv_id", "turn", "l.line", "l.words", "l.width")
 
 
+# A letter of the preview is the rectangle of its band; every third advance has no outline.
+DRAWN = [(c, "" if ADVANCES[c] % 3 == 0 else f"M0 {lo}L{ADVANCES[c] - 100} {lo}L{ADVANCES[c] - 100} {hi}L0 {hi}Z", ADVANCES[c]) for c, lo, hi in {c: (c, lo, hi) for c, lo, hi in BANDED}.values()]
+PREVIEW = """li AS (SELECT f.conv_id, f.turn, n, size, line, string_agg(word, ' ' ORDER BY f.i) AS t FROM fit f JOIN wo o ON f.conv_id = o.conv_id AND f.turn = o.turn AND f.i = o.i GROUP BY 1, 2, 3, 4, 5),
+ hs AS (SELECT conv_id, turn, n, CAST(size * (15 + 14 * count(*)) AS BIGINT) AS h FROM li GROUP BY conv_id, turn, n, size),
+ ys AS (SELECT conv_id, turn, n, CAST(400 + sum(h) OVER (PARTITION BY conv_id, turn ORDER BY n) - h AS BIGINT) AS top, CAST(400 + sum(h) OVER (PARTITION BY conv_id, turn) AS BIGINT) AS bottom FROM hs),
+ pe AS (SELECT conv_id, turn, n, size, line, o, ch, CAST(coalesce(sum(coalesce(advance, CASE WHEN ch = ' ' THEN 300 ELSE 500 END)) OVER (PARTITION BY conv_id, turn, n, line ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS pen
+  FROM (SELECT conv_id, turn, n, size, line, o, cs[o] AS ch FROM (SELECT *, string_split(t, '') AS cs, unnest(range(1, len(string_split(t, '')) + 1)) AS o FROM li) q) r LEFT JOIN ad USING (ch)),
+ mk AS (SELECT p.conv_id, p.turn, p.n, line, o, '<path transform="translate(' || (40000 + pen * size + 50) // 100 // 10 || '.' || (40000 + pen * size + 50) // 100 % 10 || ',' || (top + size * (11 + 14 * line)) // 10 || '.' || (top + size * (11 + 14 * line)) % 10 ||
+  ') scale(0.' || lpad(CAST(size * 10 AS VARCHAR), 4, '0') || ',-0.' || lpad(CAST(size * 10 AS VARCHAR), 4, '0') || ')" d="' || d || '" fill="#111" fill-rule="evenodd"/>' AS mark
+  FROM pe p JOIN dr USING (ch) JOIN ys y ON p.conv_id = y.conv_id AND p.turn = y.turn AND p.n = y.n WHERE d <> '')"""
+
+
+@query(
+    "preview_waterfall", f"RECURSIVE {ADV}", f"dr AS (SELECT ch, d FROM {dims.values(DRAWN, 'ch, d, advance')})", f"sz AS (SELECT * FROM {dims.values(list(enumerate(layout.SIZES)), 'n, size')})", WORDS.format("1200000 // f.size"), PREVIEW,
+    sql="""SELECT y.conv_id * 1000 + y.turn AS page_id, '<svg width="1280" height="' || (max(bottom) + 409) // 10 || '" xmlns="http://www.w3.org/2000/svg"><rect width="100%" height="100%" fill="#fff"/>' || coalesce(string_agg(mark, '' ORDER BY y.n, line, o), '') || '</svg>' AS svg
+ FROM ys y LEFT JOIN mk ON y.conv_id = mk.conv_id AND y.turn = mk.turn AND y.n = mk.n GROUP BY y.conv_id, y.turn""",
+)
+def preview_waterfall(spark, d):
+    """Every turn of a conversation as outlines in four sizes."""
+    texts = v.read(spark, d, "conversations").select(F.expr("conv_id * 1000 + turn").alias("page_id"), "text")
+    return layout.waterfall(texts, spark.createDataFrame(DRAWN, "ch string, d string, advance int"))
+
+
+@query("uncovered_chars", sql=r"SELECT DISTINCT ch FROM (SELECT unnest(string_split(regexp_replace(upper(replace(regexp_replace(t, '<[^>]+>', '', 'g'), 'ß', 'SS')), '\s', '', 'g'), '')) AS ch FROM (SELECT unnest(regexp_extract_all(html, '(?s)<h1[^>]*>(.*?)</h1>', 1)) AS t FROM pages) a) b WHERE ch <> '' AND ch NOT IN (SELECT ch FROM " + dims.values([(c,) for c in dims.MINIMAL], "ch") + ")")
+def uncovered_chars(spark, d):
+    """Characters that the headings of all pages need and the minimal set does not cover."""
+    needed = text.display_chars(v.read(spark, d, "pages"), "page_id", "html", r"(?s)<h1[^>]*>(.*?)</h1>")
+    return text.absent(needed, spark.createDataFrame([(c,) for c in dims.MINIMAL], "ch string"))
+
+
 @query("html_needed_chars", sql=r"SELECT DISTINCT id, ch FROM (SELECT id, unnest(string_split(regexp_replace(upper(replace(regexp_replace(t, '<[^>]+>', '', 'g'), 'ß', 'SS')), '\s', '', 'g'), '')) AS ch FROM (SELECT page_id AS id, unnest(regexp_extract_all(html, '(?s)<h1[^>]*>(.*?)</h1>', 1)) AS t FROM pages) a) b WHERE ch <> ''")
 def html_needed_chars(spark, d):
     return text.display_chars(v.read(spark, d, "pages"), "page_id", "html", r"(?s)<h1[^>]*>(.*?)</h1>")
@@ -605,6 +710,53 @@ def winding_depth(spark, d):
     return outline.winding(polygons, polygons.select("poly_id").distinct().withColumn("group_id", F.expr("poly_id div 4")))
 
 
+POINTS = "transform(sequence(0, size(embedding) div 2 - 1), i -> struct(bigint(floor(double(embedding[2 * i]) * 1000D)) as x, bigint(floor(double(embedding[2 * i + 1]) * 1000D)) as y))"
+STEPS = """transform(sequence(0, size(p) - 1), i -> case when i = 0 then concat('m', p[i].x, ' ', p[i].y) when i % 5 = 1 then concat('l', p[i].x - p[i - 1].x, ',', p[i].y - p[i - 1].y)
+ when i % 5 = 2 then concat(' ', p[i].x - p[i - 1].x, ' ', p[i].y - p[i - 1].y) when i % 5 = 3 then concat('V', p[i].y, 'h', p[i].x - p[i - 1].x) when i % 5 = 4 then concat('L', p[i].x, ' ', p[i].y) else concat('l', p[i].x - p[i - 1].x, ' ', p[i].y - p[i - 1].y) end)"""
+
+
+@query(
+    "path_grammar", v.POLY,
+    sql="""SELECT poly_id, CAST(row_number() OVER (PARTITION BY poly_id ORDER BY i, half) - 1 AS INT) AS place, cmd, x, y FROM (SELECT poly_id, i, 1 AS half, CASE WHEN i = 0 THEN 'M' ELSE 'L' END AS cmd, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y FROM v_poly
+ UNION ALL SELECT poly_id, i, 0, 'L', CAST(before AS DOUBLE), CAST(y AS DOUBLE) FROM (SELECT *, lag(x) OVER (PARTITION BY poly_id ORDER BY i) AS before FROM v_poly) a WHERE i % 5 = 3
+ UNION ALL SELECT DISTINCT poly_id, 32, 1, 'Z', CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE) FROM v_poly) b""",
+)
+def path_grammar(spark, d):
+    """Polygons written as relative, repeated, horizontal and vertical steps, read back as absolute segments."""
+    steps = v.read(spark, d, "embeddings").select(F.col("vec_id").alias("poly_id"), F.expr(POINTS).alias("p")).select("poly_id", F.concat(F.array_join(F.expr(STEPS), ""), F.lit("z")).alias("d"))
+    return steps.select("poly_id", F.posexplode(outline.parsed(F.col("d"))).alias("place", "s")).select("poly_id", "place", "s.cmd", "s.x", "s.y")
+
+
+SUBS = """su AS (SELECT poly_id, 0 AS sub, i, CASE WHEN i IN (1, 2) THEN 3000 ELSE -3000 END AS x, CASE WHEN i > 1 THEN 3000 ELSE -3000 END AS y FROM (SELECT DISTINCT poly_id FROM v_poly) p, range(4) r(i)
+ UNION ALL SELECT poly_id, 1, i, x, y FROM v_poly UNION ALL SELECT poly_id, 2, i, CAST(floor(x / 2.0) AS BIGINT), CAST(floor(y / 2.0) AS BIGINT) FROM v_poly WHERE i < 5),
+ se AS (SELECT *, coalesce(lead(x) OVER w, first_value(x) OVER w) AS nx, coalesce(lead(y) OVER w, first_value(y) OVER w) AS ny FROM su WINDOW w AS (PARTITION BY poly_id, sub ORDER BY i)),
+ sd AS (SELECT s.poly_id, s.sub, count(*) FILTER (WHERE (e.y > s.y) <> (e.ny > s.y) AND s.x < CAST((e.nx - e.x) * (s.y - e.y) AS DOUBLE) / nullif(e.ny - e.y, 0) + e.x) % 2 AS inn FROM su s JOIN se e ON s.poly_id = e.poly_id AND s.sub <> e.sub WHERE s.i = 0 GROUP BY s.poly_id, s.sub, e.sub),
+ sr AS (SELECT a.poly_id, a.sub, (area2 > 0) <> (depth % 2 = 1) AS turn FROM (SELECT poly_id, sub, sum(x * ny - nx * y) AS area2 FROM se GROUP BY 1, 2) a JOIN (SELECT poly_id, sub, sum(inn) AS depth FROM sd GROUP BY 1, 2) b ON a.poly_id = b.poly_id AND a.sub = b.sub)"""
+
+
+@query(
+    "wound_paths", v.POLY, SUBS,
+    sql="""SELECT poly_id, string_agg('M' || t || 'Z', '' ORDER BY sub) AS d FROM (SELECT s.poly_id, s.sub, string_agg(x || ' ' || y, 'L' ORDER BY CASE WHEN turn THEN -i ELSE i END) AS t FROM su s JOIN sr ON s.poly_id = sr.poly_id AND s.sub = sr.sub GROUP BY 1, 2) a GROUP BY 1""",
+)
+def wound_paths(spark, d):
+    """A square, each polygon and half a corner of it as one path, every part turned as the nonzero rule wants it."""
+    own = F.expr("concat('M', array_join(transform(p, q -> concat(q.x, ' ', q.y)), 'L'), 'Z')")
+    half = F.expr("concat('M', array_join(transform(slice(p, 1, 5), q -> concat(floor(q.x / 2), ' ', floor(q.y / 2))), 'L'), 'Z')")
+    paths = v.read(spark, d, "embeddings").select(F.col("vec_id").alias("poly_id"), F.expr(POINTS).alias("p")).select("poly_id", F.concat(F.lit("M-3000 -3000L3000 -3000L3000 3000L-3000 3000Z"), own, half).alias("d"))
+    return outline.wound(paths, "poly_id", "d")
+
+
+@query(
+    "glyph_fragments", v.POLY,
+    sql="""SELECT poly_id, '<path transform="translate(26.4,201.6) scale(0.1872,-0.1872)" d="M' || string_agg(x || ' ' || y, 'L' ORDER BY i) || 'Z" fill="#111" fill-rule="evenodd"/>' AS svg FROM v_poly WHERE poly_id % 4 <> 0 AND i < 6 GROUP BY 1""",
+)
+def glyph_fragments(spark, d):
+    """The tile of every glyph that traced to something; every fourth polygon has traced to nothing."""
+    points = v.polygons(spark, d).where("i < 6").groupBy("poly_id").agg(F.array_sort(F.collect_list(F.struct("i", "x", "y"))).alias("p"))
+    glyphs = points.select("poly_id", F.expr("case when poly_id % 8 = 0 then '' when poly_id % 4 = 0 then null else concat('M', array_join(transform(p, q -> concat(q.x, ' ', q.y)), 'L'), 'Z') end").alias("d"))
+    return records.with_outline(glyphs).select("poly_id", records.glyph_fragment(F.col("d"), 240).alias("svg"))
+
+
 # Sinks as text
 
 @query("svg_font_rows", v.SYLL, sql="SELECT row_id, codepoint, '<glyph glyph-name=\"uni' || upper(hex(codepoint)) || '\" unicode=\"&#x' || upper(hex(codepoint)) || ';\" horiz-adv-x=\"1000\"/>' AS xml FROM v_syll")
@@ -618,6 +770,47 @@ def font_face_css(spark, d):
     return v.read(spark, d, "part").select("p_partkey", font_id(F.col("p_name")).alias("font_id"), F.format_string("@font-face { font-family: '%s'; font-display: swap; }", css_escape(F.col("p_name"))).alias("css"))
 
 
+@query(
+    "svg_font_lines", v.SYLL,
+    sql=f"""SELECT CAST(ordinal AS BIGINT) AS ordinal, line FROM (SELECT codepoint AS ordinal, '<glyph glyph-name="uni' || upper(hex(codepoint)) || '" unicode="&#x' || upper(hex(codepoint)) || ';" horiz-adv-x="1000" d="M0 0L' || (codepoint % 900 + 50) || ' 0Z"/>' AS line FROM (SELECT DISTINCT codepoint FROM v_syll) a
+ UNION ALL SELECT * FROM {dims.values(sinks.svg_font_frame("Order Hand"), 'ordinal, line')}) b""",
+)
+def svg_font_lines(spark, d):
+    """The SVG font of all orders' syllables, line by line."""
+    glyphs = v.syllables(spark, d).select("codepoint").distinct().select("codepoint", compose.decomposed(F.col("codepoint"))[0], F.expr("'M0 0L' || (codepoint % 900 + 50) || ' 0Z'").alias("d"), F.lit(dims.UPM).alias("advance"))
+    return sinks.svg_font(glyphs, "Order Hand")
+
+
+FACE = r"""'@font-face {' || n || '  font-family: ''' || regexp_replace(family, '([\\''])', '\\\1', 'g') || ''';' || n || '  src: url(''' || base || '.woff2'') format(''woff2''),' || n || '       url(''' || base || '.woff'') format(''woff''),' || n
+ || '       url(''' || base || '.ttf'') format(''truetype'');' || n || '  font-weight: normal;' || n || '  font-style: normal;' || n || '  font-display: swap;' || n || '}'"""
+
+
+@query("font_stylesheet", sql=f"SELECT family, {FACE} AS css FROM (SELECT p_name || '''s' || chr(92) AS family, coalesce(nullif(regexp_replace(p_name, '[^A-Za-z0-9_-]', '', 'g'), ''), 'MyHand') AS base, chr(10) AS n FROM part) a")
+def font_stylesheet(spark, d):
+    """The stylesheet of a font for every part."""
+    return sinks.stylesheet(v.read(spark, d, "part").select(F.concat("p_name", F.lit("'s\\")).alias("family"), font_id(F.col("p_name")).alias("base")))
+
+
+QUOTED = "replace(replace(ch, chr(92), chr(92) || chr(92)), '\"', chr(92) || '\"')"
+
+
+@query(
+    "font_manifest", v.BOXES, v.CHARS, ZIP,
+    sql=f"""SELECT page_id AS font, '{{"name":' || page_id || ',"unitsPerEm":1000,"glyphs":{{' || string_agg('"' || {QUOTED} || '":{{"d":"M' || box_id || ' 0Z","advance":' || (500 + box_id) || '}}', ',' ORDER BY encode(ch)) || '}}}}' AS json
+ FROM (SELECT page_id, ch, min(box_id) AS box_id FROM z WHERE ch > ' ' GROUP BY 1, 2) a GROUP BY 1""",
+)
+def font_manifest(spark, d):
+    """The manifest of a font for every page, its first boxes' characters for glyphs."""
+    glyphs = text.first_uses(_zip(spark, d), "box_id").where("ch > ' '")
+    return sinks.font_manifest(glyphs.select(F.col("page_id").alias("font"), "ch", F.format_string("M%d 0Z", "box_id").alias("d"), (F.col("box_id") + 500).alias("advance")))
+
+
+@query("label_manifest", v.BOXES, v.CHARS, ZIP, sql=f"""SELECT page_id, '{{' || string_agg('"' || box_id || '":"' || {QUOTED} || '"', ',' ORDER BY box_id) || '}}' AS json FROM z WHERE ch > ' ' GROUP BY 1""")
+def label_manifest(spark, d):
+    """The labels of every page by box."""
+    return sinks.label_manifest(_zip(spark, d).where("ch > ' '"))
+
+
 # Records of a run
 
 @query("running_ids", v.BOXES, sql="SELECT page_id, box_id, CAST(row_number() OVER (ORDER BY page_id, box_id) - 1 AS BIGINT) AS id FROM v_boxes")
@@ -664,7 +857,7 @@ def override_ink(spark, d):
     return records.recounted(v.ink(spark, d), bx.overridden(small, given, SIDE, SIDE), 4)
 
 
-@query("component_extents", v.BOXES, v.SMALL, v.PIXELS, ROWS, TALLY, sql="SELECT page_id, root, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1 FROM lab WHERE (page_id, root) IN (SELECT (page_id, root) FROM ta) GROUP BY 1, 2")
+@query("component_extents", REACH, v.BOXES, v.SMALL, LAB, TALLY, sql="SELECT page_id, root, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1 FROM lab WHERE (page_id, root) IN (SELECT (page_id, root) FROM ta) GROUP BY 1, 2")
 def component_extents(spark, d):
     """Extents of the components that some box of their page holds a part of."""
     labelled = _labelled(spark, d)
@@ -675,7 +868,7 @@ TENTHS = "CASE WHEN {1} > 0 THEN lpad(CAST((2000 * {0} + {1}) // (2 * {1}) // 10
 
 
 @query(
-    "audit_lines", v.BOXES, v.SMALL, v.PIXELS, ROWS, TALLY, OWNER, KEEP, AUDIT,
+    "audit_lines", REACH, v.BOXES, v.SMALL, LAB, TALLY, OWNER, KEEP, AUDIT,
     sql=f"""SELECT page_id, box_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY CASE WHEN owned > 0 THEN missing / owned ELSE 0 END DESC, box_id) AS INT) AS place,
  '  ' || lpad(CAST(box_id AS VARCHAR), 2, ' ') || '  clipped ' || {TENTHS.format('missing', 'owned')} || '%  foreign ' || {TENTHS.format('kept_foreign', 'kept')} || '%' ||
  CASE WHEN missing * 1000 <= 20 * owned THEN '' WHEN box_id % 2 = 0 THEN '  (pinned by hand)' ELSE '  <- clipped' END AS line
@@ -718,3 +911,19 @@ def guide_box(spark, d):
 def map_file(spark, d):
     """The map file of a worksheet for every supplier, whose names have dots of their own."""
     return v.read(spark, d, "supplier").select("s_suppkey", records.map_file(F.expr("'out.d/' || replace(s_name, '#', '.') || '.pdf'")).alias("path"))
+
+
+@query(
+    "audit_heads", REACH, v.BOXES, v.SMALL, LAB, TALLY, OWNER, KEEP, AUDIT, v.CHARS,
+    sql="""SELECT page_id, n || ' glyphs | clipped ' || bad || ' | orphan ink ' || orphan || 'px (' || share // 100 || '.' || lpad(CAST(share % 100 AS VARCHAR), 2, '0') || '%)' || coalesce(' | MISSING FROM FONT: ' || lacks, '') AS line, bad = 0 AND orphan * 50 <= total AND lacks IS NULL AS clean
+ FROM (SELECT a.page_id, n, bad, coalesce(orphan, 0) AS orphan, coalesce(total, 0) AS total, CASE WHEN total > 0 THEN (20000 * orphan + total) // (2 * total) ELSE 0 END AS share, lacks
+  FROM (SELECT page_id, count(*) AS n, count(*) FILTER (WHERE (owned - kept_own) * 1000 > 20 * owned AND box_id % 2 = 1) AS bad FROM au GROUP BY 1) a
+  LEFT JOIN (SELECT page_id, CAST(sum(CASE WHEN owner IS NULL THEN area ELSE 0 END) AS BIGINT) AS orphan, CAST(sum(area) AS BIGINT) AS total FROM ar LEFT JOIN ow USING (page_id, root) GROUP BY 1) o ON a.page_id = o.page_id
+  LEFT JOIN (SELECT page_id, string_agg(ch, ' ' ORDER BY ch) AS lacks FROM (SELECT page_id, ch FROM (SELECT DISTINCT page_id FROM v_chars) p, (VALUES ('j'), ('q'), ('x')) t(ch) EXCEPT SELECT page_id, ch FROM v_chars) e GROUP BY 1) l ON a.page_id = l.page_id) b""",
+)
+def audit_heads(spark, d):
+    """The audit's first line of every page; even boxes count as set by hand, three letters are wanted of each document."""
+    small, labelled = _small(spark, d), graph.kept(_labelled(spark, d), "labelled")
+    chars = text.first_characters(v.texts(spark, d)).select("page_id", "ch")
+    wanted = chars.select("page_id").distinct().select("page_id", F.explode(F.array(*map(F.lit, "jqx"))).alias("ch"))
+    return records.report_head(ownership.audit(labelled, small, 4), ownership.orphans(labelled, small, 4), small.where("box_id % 2 = 0"), wanted.join(chars, ["page_id", "ch"], "left_anti"))

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from glyphlake.functions.scalars import upper_median, upper_quartile
+from glyphlake.functions.scalars import half_up, upper_median, upper_quartile
 from glyphlake.operators.graph import smallest_reachable
+from glyphlake.operators.ownership import pixels_in_boxes
 
 
 def _page():
@@ -71,24 +72,50 @@ def allocated(chunks: DataFrame, totals: DataFrame) -> DataFrame:
     return ranked.groupBy("page_id", "chunk").agg((1 + F.sum(won)).cast("int").alias("n"))
 
 
-def _pairs(boxes: DataFrame) -> DataFrame:
-    right = boxes.select("page_id", *(F.col(c).alias(f"b_{c}") for c in ("box_id", "x0", "x1", "y0", "y1")))
-    return boxes.join(right, "page_id").where("box_id < b_box_id")
+def valley_slices(chunks: DataFrame, counts: DataFrame, ink: DataFrame, tile: int = 64) -> DataFrame:
+    """(page_id, chunk, i, x0, y0, x1, y1, area): chunks of several characters cut where the least ink stands, near even places.
 
+    ``counts`` (page_id, chunk, n) tells into how many. A cut is the column with the least ink of its
+    chunk within 0.38 widths (2 columns at least) of its even place, the nearest and then the leftmost
+    of equal ones. Slices are as large as their ink; those without ink go, but for a chunk of which
+    nothing is left. Ink is looked at by columns, so that a chunk's pixels never come together.
+    """
+    many = chunks.join(counts, ["page_id", "chunk"]).where("n > 1").withColumn("width", F.col("x1") - F.col("x0") + 1)
+    columns = pixels_in_boxes(ink, many.select("page_id", "chunk", "x0", "y0", "x1", "y1"), tile).groupBy("page_id", "chunk", "x").agg(F.count(F.lit(1)).alias("ink"), F.min("y").alias("low"), F.max("y").alias("high"))
+    even = half_up(F.col("k") * (F.col("width") / F.col("n"))).cast("int")
+    cuts = many.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("n") - 1))).withColumn("even", even)
+    around = F.greatest(F.lit(2), half_up(F.col("width") / F.col("n") * F.lit(0.38)).cast("int"))
+    first, last = F.greatest(F.lit(1), F.col("even") - around), F.least(F.col("width") - 2, F.col("even") + around)
+    tried = cuts.select("page_id", "chunk", "k", "even", "x0", F.when(first <= last, F.sequence(first, last)).otherwise(F.array("even")).alias("at")).withColumn("at", F.explode("at"))
+    inked = tried.withColumn("x", F.col("x0") + F.col("at")).join(columns, ["page_id", "chunk", "x"], "left")
+    cost = F.struct(F.coalesce("ink", F.lit(0)) * 1000 + F.abs(F.col("at") - F.col("even")), F.col("at"))
+    best = inked.groupBy("page_id", "chunk", "k").agg(F.min_by("at", cost).alias("at"))
+    bounds = best.groupBy("page_id", "chunk").agg(F.array_sort(F.collect_list(F.struct("k", "at"))).alias("cuts"))
+    whole = many.join(bounds, ["page_id", "chunk"]).withColumn("edges", F.concat(F.array(F.lit(0)), F.col("cuts.at"), F.array("width")))
+    slices = whole.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select("page_id", "chunk", "i", (F.col("x0") + F.get("edges", F.col("i"))).alias("a"), (F.col("x0") + F.get("edges", F.col("i") + 1) - 1).alias("b"))
+    filled = columns.join(slices, ["page_id", "chunk"]).where("x between a and b").groupBy("page_id", "chunk", "i").agg(F.min("x").cast("int").alias("x0"), F.min("low").alias("y0"), F.max("x").cast("int").alias("x1"), F.max("high").alias("y1"), F.sum("ink").alias("area"))
+    bare = many.join(filled.select("page_id", "chunk").distinct(), ["page_id", "chunk"], "left_anti")
+    return filled.unionByName(bare.select("page_id", "chunk", F.lit(0).alias("i"), "x0", "y0", "x1", "y1", "area"))
+
+
+def _near_pairs(boxes: DataFrame, apart: str) -> DataFrame:
+    """Pairs of boxes of a page, the second's columns named b_, that overlap along x or stand ``apart`` (a column of theirs) at most.
+
+    Boxes are dealt to tiles along x as wide as the page's widest box and what may lie between, so that
+    a box meets those of its own tile and the next one only: a full page is no square of its boxes.
+    """
+    widest = boxes.groupBy("page_id").agg(F.max(F.col("x1") - F.col("x0") + 1).alias("widest"))
+    placed = boxes.join(widest, "page_id").withColumn("tile", F.floor(F.col("x0") / (F.col("widest") + F.col(apart) + 1)).cast("int")).drop("widest")
+    right = placed.select("page_id", *(F.col(c).alias(f"b_{c}") for c in ("box_id", "x0", "x1", "y0", "y1")), F.explode(F.array(F.col("tile") - 1, "tile", F.col("tile") + 1)).alias("tile"))
+    return placed.join(right, ["page_id", "tile"]).where("box_id < b_box_id").drop("tile")
 
-def proximity_groups(boxes: DataFrame) -> DataFrame:
-    """(page_id, group_id, x0, y0, x1, y1, area, n): boxes that meet once each is grown by 0.36 median heights (4 at least).
 
-    Pairs are compared on their page and, along x, only within neighbouring tiles of the page's
-    reach, so a page of many boxes is no square of them.
-    """
-    median = boxes.groupBy("page_id").agg(upper_median(F.collect_list(F.col("y1") - F.col("y0") + 1)).alias("m"), F.max(F.col("x1") - F.col("x0") + 1).alias("w"))
-    grown = boxes.join(median, "page_id").withColumn("grow", F.greatest(F.lit(4.0), F.col("m") * 0.36)).withColumn("tile", F.floor(F.col("x0") / (F.col("w") + 2 * F.col("grow"))).cast("int"))
-    left = grown.withColumn("tile", F.explode(F.array("tile", F.col("tile") + 1)))
-    right = grown.select("page_id", "tile", *(F.col(c).alias(f"b_{c}") for c in ("box_id", "x0", "x1", "y0", "y1")))
-    right = right.withColumn("own", F.col("tile")).withColumn("tile", F.explode(F.array("tile", F.col("tile") + 1)))
+def proximity_groups(boxes: DataFrame) -> DataFrame:
+    """(page_id, group_id, x0, y0, x1, y1, area, n): boxes that meet once each is grown by 0.36 median heights (4 at least)."""
+    median = boxes.groupBy("page_id").agg(upper_median(F.collect_list(F.col("y1") - F.col("y0") + 1)).alias("m"))
+    grown = boxes.join(median, "page_id").withColumn("grow", F.greatest(F.lit(4.0), F.col("m") * 0.36)).withColumn("apart", F.col("grow") * 2)
     meets = "least(x1, b_x1) - greatest(x0, b_x0) + 2 * grow >= 0 and least(y1, b_y1) - greatest(y0, b_y0) + 2 * grow >= 0"
-    edges = left.join(right, ["page_id", "tile"]).where("box_id < b_box_id").where(meets).select("page_id", F.col("box_id").alias("a"), F.col("b_box_id").alias("b")).distinct()
+    edges = _near_pairs(grown, "apart").where(meets).select("page_id", F.col("box_id").alias("a"), F.col("b_box_id").alias("b"))
     roots = smallest_reachable(boxes.select("page_id", F.col("box_id").alias("node")), edges).withColumnsRenamed({"node": "box_id", "root": "group_id"})
     return boxes.join(roots, ["page_id", "box_id"]).groupBy("page_id", "group_id").agg(
         F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.sum("area").alias("area"), F.count(F.lit(1)).alias("n")
@@ -108,10 +135,12 @@ def merge_candidates(boxes: DataFrame) -> DataFrame:
     """(page_id, a, b, dist): the closest pair of boxes of each page that are parts of one glyph.
 
     Parts are stacked (one of them small), or tiny marks side by side, or strokes whose boxes meet
-    and whose union is letter-sized; the first pair in box order wins among equally close ones.
+    and whose union is letter-sized; the first pair in box order wins among equally close ones. Parts of
+    one glyph stand no further apart along x than 0.3 median heights, so only near pairs are looked at.
     """
     gaps = "greatest(0, greatest(y0, b_y0) - least(y1, b_y1) - 1) + greatest(0, greatest(x0, b_x0) - least(x1, b_x1) - 1)"
-    found = _pairs(boxes).join(median_heights(boxes), "page_id").where(MERGE_RULES).withColumn("dist", F.expr(gaps))
+    sized = boxes.join(median_heights(boxes), "page_id").withColumn("apart", F.col("median_height") * 0.3)
+    found = _near_pairs(sized, "apart").where(MERGE_RULES).withColumn("dist", F.expr(gaps))
     rank = F.row_number().over(_page().orderBy("dist", "box_id", "b_box_id"))
     return found.withColumn("rn", rank).where("rn = 1").select("page_id", F.col("box_id").alias("a"), F.col("b_box_id").alias("b"), "dist")
 
@@ -128,16 +157,20 @@ def overridden(boxes: DataFrame, overrides: DataFrame, width: int, height: int)
     )
 
 
-def hit(points: DataFrame, boxes: DataFrame) -> DataFrame:
+def hit(points: DataFrame, boxes: DataFrame, tile: int = 64) -> DataFrame:
     """(page_id, px, py, box_id): the smallest box of a page that holds a point, the first of equal ones."""
-    held = points.join(boxes, "page_id").where("px between x0 and x1 and py between y0 and y1")
-    size = (F.col("x1") - F.col("x0") + 1) * (F.col("y1") - F.col("y0") + 1)
-    rank = F.row_number().over(W.partitionBy("page_id", "px", "py").orderBy(size, "box_id"))
-    return held.withColumn("rn", rank).where("rn = 1").select("page_id", "px", "py", "box_id")
+    sized = boxes.select("page_id", "box_id", "x0", "y0", "x1", "y1", ((F.col("x1") - F.col("x0") + 1) * (F.col("y1") - F.col("y0") + 1)).alias("size"))
+    held = pixels_in_boxes(points.select("page_id", F.col("px").alias("x"), F.col("py").alias("y")).distinct(), sized, tile)
+    return held.groupBy("page_id", F.col("x").alias("px"), F.col("y").alias("py")).agg(F.min_by("box_id", F.struct("size", "box_id")).alias("box_id"))
 
 
 def grabbed_corner(points: DataFrame, boxes: DataFrame, radius: int) -> DataFrame:
-    """(page_id, px, py, box_id, corner): corners nw, ne, sw, se of boxes within ``radius`` of a point along both axes."""
+    """(page_id, px, py, box_id, corner): corners nw, ne, sw, se of boxes within ``radius`` of a point along both axes.
+
+    A corner is a small box around itself, so points find it by tiles of the radius's size.
+    """
     corners = F.array(*(F.struct(F.lit(n).alias("corner"), F.col(x).alias("cx"), F.col(y).alias("cy")) for n, x, y in (("nw", "x0", "y0"), ("ne", "x1", "y0"), ("sw", "x0", "y1"), ("se", "x1", "y1"))))
-    near = points.join(boxes.select("page_id", "box_id", F.explode(corners).alias("c")), "page_id").where((F.abs(F.col("px") - F.col("c.cx")) <= radius) & (F.abs(F.col("py") - F.col("c.cy")) <= radius))
-    return near.select("page_id", "px", "py", "box_id", "c.corner")
+    around = boxes.select("page_id", "box_id", F.explode(corners).alias("c")).select("page_id", "box_id", "c.corner", *((F.col(f"c.c{a}") + d * radius).alias(f"{a}{n}") for a in "xy" for n, d in ((0, -1), (1, 1))))
+    placed = points.select("page_id", F.col("px").alias("x"), F.col("py").alias("y"))
+    near = pixels_in_boxes(placed, around, 2 * radius + 1)
+    return near.select("page_id", F.col("x").alias("px"), F.col("y").alias("py"), "box_id", "corner")

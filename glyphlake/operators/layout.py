@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from glyphlake.functions.scalars import half_up, is_hangul
 from glyphlake.operators import dims
+from glyphlake.operators.graph import kept
 
 WORD_SPACE, UNKNOWN_ADVANCE, BEARING = 300, 500, 50
 
@@ -32,14 +33,14 @@ def captured_cells(ink: DataFrame, photos: DataFrame, items: DataFrame) -> DataF
     photos is (page, width, height), items (item), ink (page, y, x). A pixel's cell is computed from
     where it lies, so the join is on equal keys. Cells without ink have null boxes.
     """
-    cells = cell_rectangles(items.select("item", *sheet_places(F.col("item"))).join(F.broadcast(photos), "page"))
+    cells = cell_rectangles(items.select("item", *sheet_places(F.col("item"))).join(photos, "page"))
     cells = cells.withColumnsRenamed({"x0": "cx0", "y0": "cy0", "x1": "cx1", "y1": "cy1"})
     cw, ch = (dims.A4_WIDTH - 2 * dims.MARGIN) / dims.COLUMNS, (dims.A4_HEIGHT - 2 * dims.MARGIN - dims.HEADER) / dims.ROWS
-    keyed = ink.join(F.broadcast(photos), "page")
+    keyed = ink.join(photos, "page")
     near_col, near_row = (F.col("x") * dims.A4_WIDTH / F.col("width") - dims.MARGIN) / cw, (F.col("y") * dims.A4_HEIGHT / F.col("height") - dims.MARGIN - dims.HEADER) / ch
     around = F.array(*(F.struct(F.floor(near_row + dr).cast("int").alias("row"), F.floor(near_col + dc).cast("int").alias("col")) for dr in (-0.02, 0.02) for dc in (-0.02, 0.02)))
     keyed = keyed.select("page", "y", "x", F.explode(F.array_distinct(around)).alias("p")).select("page", "y", "x", "p.row", "p.col")
-    held = keyed.join(F.broadcast(cells.drop("width", "height")), ["page", "row", "col"]).where("x >= cx0 and x < cx1 and y >= cy0 and y < cy1")
+    held = keyed.join(cells.drop("width", "height"), ["page", "row", "col"]).where("x >= cx0 and x < cx1 and y >= cy0 and y < cy1")
     found = held.groupBy("item").agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1"), F.count(F.lit(1)).alias("area"))
     joined = cells.join(found, "item", "left")
     touched = F.array(F.when(F.expr("y0 - cy0 <= 2"), "top"), F.when(F.expr("cy1 - 1 - y1 <= 2"), "bottom"), F.when(F.expr("x0 - cx0 <= 2"), "left"), F.when(F.expr("cx1 - 1 - x1 <= 2"), "right"))
@@ -74,7 +75,7 @@ def placement(banded: DataFrame) -> DataFrame:
 
 def pen_positions(chars: DataFrame, advances: DataFrame) -> DataFrame:
     """(line_id, ordinal, ch, pen): where each character of a line starts, in font units."""
-    known = chars.join(F.broadcast(advances), "ch", "left")
+    known = chars.join(advances, "ch", "left")
     step = F.coalesce("advance", F.when(F.col("ch") == " ", WORD_SPACE).otherwise(UNKNOWN_ADVANCE))
     before = W.partitionBy("line_id").orderBy("ordinal").rowsBetween(W.unboundedPreceding, -1)
     return known.select("line_id", "ordinal", "ch", F.coalesce(F.sum(step).over(before), F.lit(0)).alias("pen"))
@@ -87,7 +88,7 @@ def word_widths(text: Column, advances: dict[str, int]) -> Column:
     return F.transform(words, lambda w: F.struct(w.alias("word"), F.aggregate(F.filter(F.split(w, ""), lambda c: c != ""), F.lit(0), lambda s, c: s + F.coalesce(F.element_at(table, c), F.lit(UNKNOWN_ADVANCE))).alias("width")))
 
 
-def wrapped(words: Column, most: int) -> Column:
+def wrapped(words: Column, most: int | Column) -> Column:
     """Array of (line, words, width): words set greedily into lines of at most ``most`` units, one word at least."""
     start = F.expr("cast(array() as array<struct<line: int, words: int, width: int>>)")
 
@@ -103,3 +104,57 @@ def wrapped(words: Column, most: int) -> Column:
 
 def sheet_of_review(place: Column, per_sheet: int = 7) -> Column:
     return F.floor(place / per_sheet).cast("int")
+
+
+#: The preview's sizes in pixels, its width and margin; the line's feed before, between and after lines, in tenths of the size.
+SIZES, SHEET_WIDTH, MARGIN = (64, 40, 28, 18), 1280, 40
+BEFORE, FEED, AFTER = 11, 14, 4
+
+
+def waterfall_lines(texts: DataFrame, glyphs: DataFrame, sizes: tuple[int, ...] = SIZES) -> DataFrame:
+    """(page_id, size_no, size, line, words, y, bottom): texts (page_id, text) set in every size, one row a line.
+
+    Words are set greedily within the sheet's width, by the advances of ``glyphs`` (ch, advance); y is
+    the base line and bottom the end of the page's last line, in tenths of a pixel. Pages without words
+    have no lines. A page's words come together as a list, and nothing larger.
+    """
+    each = texts.select("page_id", F.posexplode(F.filter(F.split("text", r"\s+"), lambda w: w != "")).alias("i", "word"))
+    # A word's characters are looked up once, however often it stands in the texts.
+    chars = each.select("word").distinct().select("word", F.explode(F.split("word", "")).alias("ch")).where("ch <> ''")
+    widths = chars.join(glyphs.select("ch", "advance"), "ch", "left").groupBy("word").agg(F.sum(F.coalesce("advance", F.lit(UNKNOWN_ADVANCE))).cast("int").alias("width"))
+    listed = each.join(widths, "word").groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("i", "word", "width"))).alias("words"))
+    table = F.array(*(F.struct(F.lit(n).alias("size_no"), F.lit(s).alias("size"), F.lit((SHEET_WIDTH - 2 * MARGIN) * dims.UPM // s).alias("most")) for n, s in enumerate(sizes)))
+    sized = listed.withColumn("s", F.explode(table)).select("page_id", "s.size_no", "s.size", "words", wrapped(F.col("words"), F.col("s.most")).alias("lines"))
+    height = F.col("size") * (BEFORE + AFTER + FEED * F.size("lines"))
+    page = W.partitionBy("page_id")
+    placed = sized.withColumn("upto", F.sum(height).over(page.orderBy("size_no").rowsBetween(W.unboundedPreceding, 0))).withColumn("bottom", 10 * MARGIN + F.sum(height).over(page)).withColumn("top", 10 * MARGIN + F.col("upto") - height)
+    lines = placed.select("page_id", "size_no", "size", "words", "bottom", "top", F.explode("lines").alias("l"))
+    first = F.sum("l.words").over(W.partitionBy("page_id", "size_no").orderBy("l.line").rowsBetween(W.unboundedPreceding, 0)) - F.col("l.words")
+    cut = F.transform(F.slice("words", (first + 1).cast("int"), F.col("l.words")), lambda w: w["word"])
+    return lines.select("page_id", "size_no", "size", F.col("l.line").alias("line"), F.array_join(cut, " ").alias("words"), (F.col("top") + F.col("size") * (BEFORE + FEED * F.col("l.line"))).alias("y"), "bottom")
+
+
+def fixed(value: Column, decimals: int) -> Column:
+    """A whole number of tenths, hundredths and so on, with so many decimals."""
+    unit = 10**decimals
+    return F.concat(F.when(value < 0, "-").otherwise(""), F.floor(F.abs(value) / unit).cast("string"), F.lit("."), F.lpad((F.abs(value) % unit).cast("string"), decimals, "0"))
+
+
+def waterfall(texts: DataFrame, glyphs: DataFrame, sizes: tuple[int, ...] = SIZES) -> DataFrame:
+    """(page_id, svg): every page's text as outlines in every size, for glyphs (ch, d, advance).
+
+    Characters without a glyph leave their room, glyphs without an outline theirs. Outlines are placed
+    and put together by page; a text takes as much room as it has characters, times the sizes.
+    """
+    lines = kept(waterfall_lines(texts, glyphs, sizes), "waterfall")
+    line_id = F.struct("page_id", "size_no", "line")
+    chars = lines.select(line_id.alias("line_id"), F.posexplode(F.split("words", "")).alias("ordinal", "ch")).where("ch <> ''")
+    drawn = pen_positions(chars, glyphs.select("ch", "advance")).join(glyphs.where("d <> ''").select("ch", "d"), "ch").select("line_id.*", "ordinal", "pen", "d").join(lines.select("page_id", "size_no", "line", "size", "y"), ["page_id", "size_no", "line"])
+    x = fixed(F.floor((F.lit(1000 * MARGIN + 50) + F.col("pen") * F.col("size")) / 100), 1)
+    k = fixed(F.col("size") * 10, 4)
+    mark = F.format_string('<path transform="translate(%s,%s) scale(%s,-%s)" d="%s" fill="#111" fill-rule="evenodd"/>', x, fixed(F.col("y"), 1), k, k, "d")
+    parts = drawn.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("size_no", "line", "ordinal", mark.alias("mark")))).alias("marks"))
+    sheets = lines.groupBy("page_id").agg(F.max("bottom").alias("bottom")).join(parts, "page_id", "left")
+    body = F.coalesce(F.array_join(F.transform("marks", lambda m: m["mark"]), ""), F.lit(""))
+    head = F.format_string('<svg width="%d" height="%d" xmlns="http://www.w3.org/2000/svg"><rect width="100%%" height="100%%" fill="#fff"/>', F.lit(SHEET_WIDTH), F.ceil((F.col("bottom") + 10 * MARGIN) / 10))
+    return sheets.select("page_id", F.concat(head, body, F.lit("</svg>")).alias("svg"))

@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from glyphlake.functions.pathtext import read_paths
 from glyphlake.functions.scalars import half_up
+from glyphlake.operators.graph import kept
 
 NUMBER = r"-?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?"
 
@@ -53,13 +55,23 @@ def winding(polygons: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def parsed(d: Column) -> Column:
-    """Segments of a path text with absolute M, L, Q, C and Z; other commands raise an error."""
-    cleaned = F.when(d.rlike("[^MLQCZz0-9eE.,+\\s-]"), F.raise_error(F.lit("unsupported path command")).cast("string")).otherwise(d)
-    pieces = F.regexp_extract_all(cleaned, F.lit(r"([MLQCZz][^MLQCZz]*)"), F.lit(1))
+    """Segments of a path text with absolute points: M, L, Q, C and Z.
+
+    Texts that have only these commands, each with all its numbers, are read by expressions; any
+    other text of the grammar (relative or repeated commands, H, V, S, T, A) with the pen's state, arcs
+    and short curves written out. A text with anything that cannot be read is an error.
+    """
+    pieces = F.regexp_extract_all(d, F.lit(r"([MLQCZz][^MLQCZz]*)"), F.lit(1))
+    cmd_of = lambda p: F.upper(F.substring(p, 1, 1))
+    texts_of = lambda p: F.regexp_extract_all(p, F.lit(f"({NUMBER})"), F.lit(1))
+    takes = lambda c: F.when(c == "C", 6).when(c == "Q", 4).when(c == "Z", 0).otherwise(2)
+    bare = lambda p: F.regexp_replace(F.substring(p, F.lit(2), F.length(p)), NUMBER, " ").rlike(r"^[\s,]*$")
+    plain = d.rlike(r"^[\s,]*M") & ~d.rlike("[^MLQCZz0-9eE.,+\\s-]") & F.forall(pieces, lambda p: (F.size(texts_of(p)) == takes(cmd_of(p))) & bare(p))
+    plain = F.coalesce(plain | (F.trim(d) == ""), F.lit(True))
 
     def segment(piece: Column) -> Column:
-        cmd = F.upper(F.substring(piece, 1, 1))
-        v = F.transform(F.regexp_extract_all(piece, F.lit(f"({NUMBER})"), F.lit(1)), lambda t: t.cast("double"))
+        cmd = cmd_of(piece)
+        v = F.transform(texts_of(piece), lambda t: t.cast("double"))
         at = [F.get(v, F.lit(k)) for k in range(6)]
         long, mid = cmd == "C", cmd == "Q"
         return F.struct(
@@ -67,7 +79,42 @@ def parsed(d: Column) -> Column:
             F.when(long, at[4]).when(mid, at[2]).otherwise(at[0]).alias("x"), F.when(long, at[5]).when(mid, at[3]).otherwise(at[1]).alias("y"),
         )
 
-    return F.transform(pieces, segment)
+    return F.when(plain, F.transform(pieces, segment)).otherwise(read_paths(F.when(~plain, d)))
+
+
+def subpaths(path: Column) -> Column:
+    """A path as an array of paths that each begin with a move."""
+    places = F.filter(F.sequence(F.lit(1), F.greatest(F.size(path), F.lit(1))), lambda i: F.get(path, i - 1)["cmd"] == "M")
+    upto = lambda k: F.coalesce(F.get(places, k + 1), F.size(path) + 1)
+    return F.transform(places, lambda at, k: F.slice(path, at, upto(k) - at))
+
+
+def sampled(path: Column) -> Column:
+    """Points (x, y) of one subpath as a polygon: ends of segments, and the middle of a cubic curve."""
+
+    def points(s: Column, i: Column) -> Column:
+        before = F.get(path, i - 1)
+        middle = F.struct(*((F.lit(0.125) * before[c] + F.lit(0.375) * s[f"{c}1"] + F.lit(0.375) * s[f"{c}2"] + F.lit(0.125) * s[c]).alias(c) for c in ("x", "y")))
+        end = F.struct(s["x"].alias("x"), s["y"].alias("y"))
+        return F.when(s["cmd"] == "C", F.array(middle, end)).when(s["cmd"] != "Z", F.array(end)).otherwise(F.slice(F.array(end), 1, 0))
+
+    return F.flatten(F.transform(path, points))
+
+
+def wound(glyphs: DataFrame, id_col: str = "glyph_id", d_col: str = "d") -> DataFrame:
+    """(id, d): path texts whose subpaths run as the nonzero rule wants them, outer ones clockwise with y upwards and holes against it.
+
+    A path is cut into subpaths within its row; their nesting is judged by ``winding`` on sampled
+    points, and those that run the wrong way are turned round. Coordinates are to tenths. A path
+    without a subpath, or null, stays as it is. Ids must differ.
+    """
+    cut = kept(glyphs.select(F.col(id_col).alias("group_id"), F.col(d_col).alias("d"), parsed(F.col(d_col)).alias("path")).select("group_id", "d", subpaths(F.col("path")).alias("subs")), "subpaths")
+    each = cut.select("group_id", F.posexplode("subs").alias("sub", "path")).withColumn("poly_id", F.struct("group_id", "sub"))
+    polygons = each.select("poly_id", F.posexplode(sampled(F.col("path"))).alias("i", "p")).select("poly_id", "i", "p.x", "p.y")
+    judged = winding(kept(polygons, "polygons"), each.select("group_id", "poly_id")).select("poly_id", "reverse")
+    turned = each.join(judged, "poly_id").select("group_id", "sub", F.when(F.col("reverse"), path_text(reversed_path(F.col("path")))).otherwise(path_text(F.col("path"))).alias("text"))
+    texts = turned.groupBy("group_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sub", "text"))), lambda s: s["text"]), "").alias("turned"))
+    return cut.join(texts, "group_id", "left").select(F.col("group_id").alias(id_col), F.coalesce("turned", "d").alias(d_col))
 
 
 def mapped(path: Column, kx: Column, ky: Column, dx: Column, dy: Column) -> Column:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from glyphlake.sources.durable import written
+
 
 def pixels_in_boxes(pixels: DataFrame, boxes: DataFrame, tile: int) -> DataFrame:
     """Every pixel with every box that holds it: boxes are dealt to the tiles they touch, so the join has an equal key.
@@ -13,10 +15,9 @@ def pixels_in_boxes(pixels: DataFrame, boxes: DataFrame, tile: int) -> DataFrame
     Both sides need page_id; pixels y and x, boxes x0, y0, x1 and y1. A pixel lies in one tile and a
     box is listed once a tile, so no pair comes twice.
     """
-    across = F.sequence((F.col("x0") / tile).cast("int"), (F.col("x1") / tile).cast("int"))
-    down = F.sequence((F.col("y0") / tile).cast("int"), (F.col("y1") / tile).cast("int"))
+    across, down = (F.sequence(F.floor(F.col(f"{a}0") / tile).cast("int"), F.floor(F.col(f"{a}1") / tile).cast("int")) for a in "xy")
     dealt = boxes.withColumn("tx", F.explode(across)).withColumn("ty", F.explode(down))
-    placed = pixels.withColumn("tx", F.expr(f"int(x div {tile})")).withColumn("ty", F.expr(f"int(y div {tile})"))
+    placed = pixels.withColumn("tx", F.floor(F.col("x") / tile).cast("int")).withColumn("ty", F.floor(F.col("y") / tile).cast("int"))
     return placed.join(dealt, ["page_id", "tx", "ty"]).where("x between x0 and x1 and y between y0 and y1").drop("tx", "ty")
 
 
@@ -60,6 +61,34 @@ def beyond_seams(x: Column, y: Column, y0: Column, left: Column, right: Column)
     return F.coalesce(x < at(left), F.lit(False)) | F.coalesce(x >= at(right), F.lit(False))
 
 
+def cell_shares(pixels: DataFrame) -> DataFrame:
+    """(page_id, cell, root, here, first): pixels of each component in each cell, and where it is first met, for (page_id, cell, y, x, root)."""
+    return pixels.groupBy("page_id", "cell", "root").agg(F.count(F.lit(1)).alias("here"), F.min(F.struct("cell", "y", "x")).alias("first"))
+
+
+def dominant(shares: DataFrame, least: float = 0.6) -> DataFrame:
+    """(page_id, cell, root): each cell's largest component, if ``least`` of what all cells of the page have of it is there.
+
+    Of equally large ones the one counts that is met first, by cells, rows and columns.
+    """
+    page = W.partitionBy("page_id", "root")
+    met = shares.withColumn("first", F.min("first").over(page)).withColumn("total", F.sum("here").over(page))
+    rank = F.row_number().over(W.partitionBy("page_id", "cell").orderBy(F.desc("here"), "first"))
+    return met.withColumn("rn", rank).where((F.col("rn") == 1) & (F.col("here") >= F.col("total") * F.lit(least))).select("page_id", "cell", "root")
+
+
+def extended(cells: DataFrame, mains: DataFrame, reach: DataFrame) -> DataFrame:
+    """Cells with their boxes grown over the whole of their dominant component, and the box before in the column core.
+
+    ``mains`` (page_id, cell, root) comes from ``dominant``, ``reach`` (page_id, root, ex0, ey0, ex1,
+    ey1) has the extents of components over their whole page. Order is to be judged on the core:
+    grown boxes of neighbouring lines overlap.
+    """
+    grown = cells.join(mains, ["page_id", "cell"], "left").join(reach, ["page_id", "root"], "left")
+    sides = {"x0": F.least("x0", "ex0"), "y0": F.least("y0", "ey0"), "x1": F.greatest("x1", "ex1"), "y1": F.greatest("y1", "ey1")}  # nulls are passed over
+    return grown.withColumn("core", F.struct("x0", "y0", "x1", "y1")).withColumns(sides).drop("root", "ex0", "ey0", "ex1", "ey1")
+
+
 def crop_pixels(labelled: DataFrame, boxes: DataFrame, tile: int, by_owner: bool = True, every: bool = False) -> DataFrame:
     """(page_id, box_id, y, x, root): the ink that each box's crop keeps.
 
@@ -79,12 +108,21 @@ def crop_pixels(labelled: DataFrame, boxes: DataFrame, tile: int, by_owner: bool
 
 
 def audit(labelled: DataFrame, boxes: DataFrame, tile: int) -> DataFrame:
-    """(page_id, box_id, owned, kept_own, kept_foreign, missing, clipped, foreign): how much of its own ink each crop keeps."""
-    own = owners(tallies(labelled, boxes, tile))
+    """(page_id, box_id, owned, kept_own, kept_foreign, missing, clipped, foreign): how much of its own ink each crop keeps.
+
+    Pixels meet boxes once, for the tally; what crops keep follows from its counts. Only where boxes
+    carry seams, which cut components, the crops' pixels are counted.
+    """
+    tally = written(tallies(labelled, boxes, tile), "tally")
+    own = owners(tally)
     sizes = areas(labelled).join(own, ["page_id", "root"]).groupBy("page_id", F.col("owner").alias("box_id")).agg(F.sum("area").alias("owned"))
-    crops = crop_pixels(labelled, boxes, tile).join(own, ["page_id", "root"])
+    if "seam_left" in boxes.columns:
+        held = crop_pixels(labelled, boxes, tile).withColumn("here", F.lit(1))
+    else:
+        held = keep_rule(tally, labelled).where("kept").select("page_id", "root", "box_id", "here")
     mine = F.col("owner") == F.col("box_id")
-    counts = crops.groupBy("page_id", "box_id").agg(F.count_if(mine).alias("kept_own"), F.count_if(~mine).alias("kept_foreign"))
+    sums = (F.sum(F.when(rule, F.col("here")).otherwise(0)).alias(n) for n, rule in (("kept_own", mine), ("kept_foreign", ~mine)))
+    counts = held.join(own, ["page_id", "root"]).groupBy("page_id", "box_id").agg(*sums)
     rows = boxes.select("page_id", "box_id").join(sizes, ["page_id", "box_id"], "left").join(counts, ["page_id", "box_id"], "left").na.fill(0)
     missing = F.col("owned") - F.col("kept_own")
     share = F.coalesce(F.try_divide(missing, F.col("owned")), F.lit(0.0))
@@ -101,15 +139,8 @@ def orphans(labelled: DataFrame, boxes: DataFrame, tile: int) -> DataFrame:
 
 def proposals(labelled: DataFrame, boxes: DataFrame, tile: int) -> DataFrame:
     """(page_id, box_id, x0, y0, x1, y1): boxes that must grow, and never shrink, to hold all ink they own."""
-    own = owners(tallies(labelled, boxes, tile))
+    own = written(owners(tallies(labelled, boxes, tile)), "owners")
     reach = labelled.join(own, ["page_id", "root"]).groupBy("page_id", F.col("owner").alias("box_id")).agg(F.min("x").alias("ex0"), F.min("y").alias("ey0"), F.max("x").alias("ex1"), F.max("y").alias("ey1"))
     grown = boxes.join(reach, ["page_id", "box_id"])
     new = grown.select("page_id", "box_id", F.least("x0", "ex0").alias("x0"), F.least("y0", "ey0").alias("y0"), F.greatest("x1", "ex1").alias("x1"), F.greatest("y1", "ey1").alias("y1"), (F.col("ex0") < F.col("x0")).alias("l"), (F.col("ey0") < F.col("y0")).alias("t"), (F.col("ex1") > F.col("x1")).alias("r"), (F.col("ey1") > F.col("y1")).alias("b"))
     return new.where("l or t or r or b").drop("l", "t", "r", "b")
-
-
-def report(audited: DataFrame) -> DataFrame:
-    """(page_id, box_id, line): a line for every box with noticeable clipping or foreign ink, to be read in that order."""
-    noticed = audited.where("clipped >= 0.005 or foreign >= 0.10")
-    text = F.format_string("box %s: %.1f%% clipped, %.1f%% foreign", F.col("box_id").cast("string"), F.col("clipped") * 100, F.col("foreign") * 100)
-    return noticed.select("page_id", "box_id", text.alias("line"))

@@ -6,6 +6,8 @@ and masks stay sparse. Running sums go over the at most 256 bins of a page.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,6 +16,8 @@ from glyphlake.functions.scalars import half_up
 
 #: Darkest share of a page that counts as ink where no threshold separates it, and the most that can be ink.
 DARKEST, MOST_INK = 0.012, 0.35
+#: Tiles that the background's blur reaches as its standard deviation.
+SIGMA = 2
 
 
 def histogram(gray: DataFrame) -> DataFrame:
@@ -89,10 +93,60 @@ def tile_background(gray: DataFrame, tile: int) -> DataFrame:
     return tiles.agg(half_up(F.sum("gray") / F.count(F.lit(1))).cast("int").alias("background"), F.count(F.lit(1)).alias("n"))
 
 
-def adaptive_ink(gray: DataFrame, tile: int, cap: int = 165, delta: int = 40) -> DataFrame:
-    """Pixels darker than the cap and by delta than their tile's background."""
+def _stencil() -> list[tuple[int, int]]:
+    """(offset, weight) of a Gaussian of SIGMA tiles, in whole 1024ths of its peak."""
+    return [(o, w) for o in range(-3 * SIGMA, 3 * SIGMA + 1) if (w := int(1024 * math.exp(-o * o / (2 * SIGMA * SIGMA)) + 0.5))]
+
+
+def blurred_tiles(tiles: DataFrame) -> DataFrame:
+    """(page_id, ty, tx, background): tile levels (page_id, ty, tx, background) under a Gaussian of SIGMA tiles, rounded half up.
+
+    Along x and then along y, as sums of whole numbers, so that the order of rows does not matter; at
+    the page's edge the weights that are there count. A page's tiles are a full rectangle.
+    """
+    weights = F.array(*(F.struct(F.lit(o).alias("o"), F.lit(w).cast("long").alias("w")) for o, w in _stencil()))
+    across = tiles.select("page_id", "ty", F.col("tx").alias("from_x"), F.col("background").cast("long").alias("level"), F.explode(weights).alias("k"))
+    there = tiles.groupBy("page_id").agg(F.max("tx").alias("last_x"), F.max("ty").alias("last_y"))
+    rows = across.join(there, "page_id").withColumn("tx", F.col("from_x") + F.col("k.o")).where("tx between 0 and last_x")
+    rows = rows.groupBy("page_id", "ty", "tx", "last_y").agg(F.sum(F.col("level") * F.col("k.w")).alias("s"), F.sum("k.w").alias("w"))
+    down = rows.withColumn("k", F.explode(weights)).withColumn("ty", F.col("ty") + F.col("k.o")).where("ty between 0 and last_y")
+    sums = down.groupBy("page_id", "ty", "tx").agg(F.sum(F.col("s") * F.col("k.w")).alias("s"), F.sum(F.col("w") * F.col("k.w")).alias("w"))
+    return sums.select("page_id", "ty", "tx", F.expr("int((2 * s + w) div (2 * w))").alias("background"))
+
+
+def _surrounded(tiles: DataFrame) -> DataFrame:
+    """(page_id, ty, tx, around): each tile with the levels of the nine tiles around and on it, by rows; beyond the page the nearest one's."""
+    steps = [(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]
+    offsets = F.array(*(F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in steps))
+    sent = tiles.withColumn("o", F.explode(offsets)).select("page_id", (F.col("ty") - F.col("o.dy")).alias("ty"), (F.col("tx") - F.col("o.dx")).alias("tx"), "o.dy", "o.dx", "background")
+    name = {step: f"n{i}" for i, step in enumerate(steps)}
+    found = sent.groupBy("page_id", "ty", "tx").agg(*(F.max(F.when((F.col("dy") == dy) & (F.col("dx") == dx), F.col("background"))).alias(name[dy, dx]) for dy, dx in steps))
+    near = [F.coalesce(name[dy, dx], name[dy, 0], name[0, dx], name[0, 0]) for dy, dx in steps]
+    return found.where(F.col(name[0, 0]).isNotNull()).select("page_id", "ty", "tx", F.array(*near).alias("around"))
+
+
+def with_background(gray: DataFrame, tile: int) -> DataFrame:
+    """Pixels with their local background: tile means, blurred, drawn out between the centres of the four nearest tiles.
+
+    A pixel's own tile brings all levels that it can need, so pixels meet tiles in one join on equal
+    keys. Shares are whole numbers of half pixels; the level is rounded half up.
+    """
     keyed = gray.withColumn("ty", F.expr(f"y div {tile}").cast("int")).withColumn("tx", F.expr(f"x div {tile}").cast("int"))
-    return keyed.join(tile_background(gray, tile), ["page_id", "ty", "tx"]).where((F.col("gray") < cap) & (F.col("gray") < F.col("background") - delta)).select("page_id", "y", "x")
+    joined = keyed.join(_surrounded(blurred_tiles(tile_background(gray, tile))), ["page_id", "ty", "tx"])
+
+    def reach(v: str) -> Column:  # half pixels from the tile's centre
+        return F.expr(f"2 * {v} + 1 - {tile} - 2 * {tile} * t{v}")
+
+    def share(d: Column, step: int) -> Column:
+        return F.when(F.signum(d) == step, F.abs(d)).otherwise(0) if step else 2 * tile - F.abs(d)
+
+    total = sum((share(reach("y"), dy) * share(reach("x"), dx) * F.col("around")[3 * (dy + 1) + dx + 1] for dy in (-1, 0, 1) for dx in (-1, 0, 1)), F.lit(0).cast("long"))
+    return joined.withColumn("total", total).withColumn("background", F.expr(f"int((total + {2 * tile * tile}) div {4 * tile * tile})")).drop("ty", "tx", "around", "total")
+
+
+def adaptive_ink(gray: DataFrame, tile: int, cap: int = 165, delta: int = 40) -> DataFrame:
+    """Pixels darker than the cap and by delta than their local background."""
+    return with_background(gray, tile).where((F.col("gray") < cap) & (F.col("gray") < F.col("background") - delta)).select("page_id", "y", "x")
 
 
 def _neighbours(ink: DataFrame) -> DataFrame:
@@ -134,3 +188,15 @@ def column_profile(ink: DataFrame) -> DataFrame:
     """(page_id, x, n, prefix): ink of every inked column and of all columns up to it."""
     cols = ink.groupBy("page_id", "x").agg(F.count(F.lit(1)).alias("n"))
     return cols.withColumn("prefix", F.sum("n").over(W.partitionBy("page_id").orderBy("x").rowsBetween(W.unboundedPreceding, 0)))
+
+
+def coverage_profile(boxes: DataFrame) -> DataFrame:
+    """(page_id, x, n): how many boxes stand over every column from a page's first to its last one, where there are no pixels to count.
+
+    Boxes are counted where they begin and end, not column by column; runs of columns are drawn out at the end.
+    """
+    ends = boxes.select("page_id", F.explode(F.array(F.struct(F.col("x0").alias("x"), F.lit(1).alias("d")), F.struct((F.col("x1") + 1).alias("x"), F.lit(-1).alias("d")))).alias("e"))
+    steps = ends.groupBy("page_id", "e.x").agg(F.sum("e.d").alias("d"))
+    page = W.partitionBy("page_id").orderBy("x")
+    spans = steps.select("page_id", "x", F.sum("d").over(page.rowsBetween(W.unboundedPreceding, 0)).alias("n"), F.lead("x").over(page).alias("upto")).where("upto is not null")
+    return spans.select("page_id", F.explode(F.sequence("x", F.col("upto") - 1)).alias("x"), "n")

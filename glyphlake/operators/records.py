@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from glyphlake.functions.scalars import nfc
+from glyphlake.operators import dims
 from glyphlake.operators.ownership import pixels_in_boxes
 from glyphlake.operators.text import first_uses
 
@@ -96,6 +97,30 @@ def report_lines(audited: DataFrame, pinned: DataFrame | None = None) -> DataFra
     return noticed.select("page_id", "box_id", place.alias("place"), line.alias("line"))
 
 
+def report_head(audited: DataFrame, orphaned: DataFrame, pinned: DataFrame | None = None, absent: DataFrame | None = None) -> DataFrame:
+    """(page_id, line, clean): the audit's first line for every page, and whether it passes.
+
+    ``audited`` and ``orphaned`` are the tables of ``ownership.audit`` and ``orphans``, ``pinned``
+    (page_id, box_id) was set by hand and is no defect, ``absent`` (page_id, ch) are characters that the
+    font lacks. A page passes with no clipped box, at most a fiftieth of its ink ownerless and nothing
+    absent. A page without ink has no orphans.
+    """
+    bad = F.col("missing") * 1000 > CLIPPED * F.col("owned")
+    if pinned is not None:
+        audited = audited.join(pinned.select("page_id", "box_id", F.lit(True).alias("by_hand")), ["page_id", "box_id"], "left")
+        bad = bad & F.col("by_hand").isNull()
+    counts = audited.groupBy("page_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(bad).alias("bad")).join(orphaned.select("page_id", "orphan", "total"), "page_id", "left").na.fill(0)
+    lacks = F.lit(None).cast("string")
+    if absent is not None:
+        listed = absent.groupBy("page_id").agg(F.array_join(F.array_sort(F.collect_set("ch")), " ").alias("lacks"))
+        counts, lacks = counts.join(listed, "page_id", "left"), F.col("lacks")
+    hundredths = F.coalesce(F.floor(F.try_divide(20_000 * F.col("orphan") + F.col("total"), 2 * F.col("total"))), F.lit(0))
+    share = F.concat(F.floor(hundredths / 100).cast("string"), F.lit("."), F.lpad((hundredths % 100).cast("string"), 2, "0"))
+    line = F.concat(F.format_string("%d glyphs | clipped %d | orphan ink %dpx (%s%%)", "n", "bad", "orphan", share), F.coalesce(F.concat(F.lit(" | MISSING FROM FONT: "), lacks), F.lit("")))
+    clean = (F.col("bad") == 0) & (F.col("orphan") * 50 <= F.col("total")) & lacks.isNull()
+    return counts.select("page_id", line.alias("line"), clean.alias("clean"))
+
+
 def glyph_sheet(glyphs: DataFrame, order: str) -> DataFrame:
     """(page_id, ch, cx, cy, caption): cells of a sheet of ten glyphs a row, the space left out, and the caption's SVG text."""
     shown = glyphs.where("ch <> ' '")
@@ -106,6 +131,18 @@ def glyph_sheet(glyphs: DataFrame, order: str) -> DataFrame:
     return placed.select("page_id", "ch", "cx", "cy", caption.alias("caption"))
 
 
+def glyph_fragment(d: Column, size: int) -> Column:
+    """The SVG text of an outline on a tile of ``size`` pixels; nothing for a null or empty outline."""
+    k, x, y = f"{size * 0.78 / dims.UPM:.4f}", f"{size * 0.11:.1f}", f"{size * 0.84:.1f}"
+    mark = F.concat(F.lit(f'<path transform="translate({x},{y}) scale({k},-{k})" d="'), d, F.lit('" fill="#111" fill-rule="evenodd"/>'))
+    return F.when(F.coalesce(d, F.lit("")) != "", mark).otherwise("")
+
+
+def with_outline(glyphs: DataFrame, d_col: str = "d") -> DataFrame:
+    """Glyphs that have an outline: what traced to nothing goes."""
+    return glyphs.where(F.coalesce(F.trim(d_col), F.lit("")) != "")
+
+
 def guide_box(w: Column, h: Column, y: Column) -> tuple[Column, Column]:
     """(y, height) of the guide for final consonants, 4.05 times as wide as high, in the middle of an area."""
     own = F.least(h, w / F.lit(4.05))

@@ -8,11 +8,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glyphlake.functions.scalars import css_escape, glyph_name, xml_escape
 from glyphlake.operators import dims
+from glyphlake.sources.files import write_files
 
 
 def blob_manifest(boxes: DataFrame) -> DataFrame:
@@ -28,21 +29,36 @@ def font_manifest(glyphs: DataFrame) -> DataFrame:
     return glyphs.groupBy("font").agg(listed.alias("l")).select("font", F.to_json(F.struct(F.col("font").alias("name"), F.lit(dims.UPM).alias("unitsPerEm"), F.map_from_entries("l").alias("glyphs"))).alias("json"))
 
 
-def svg_font(glyphs: DataFrame, name: str, word_space: int = 300) -> DataFrame:
-    """Lines (ordinal, line) of an SVG font of glyphs (codepoint, ch, d, advance), to be written in that order.
+def label_manifest(labels: DataFrame) -> DataFrame:
+    """(page_id, json): a page's labels (box_id, ch) as one JSON map by id; null labels go."""
+    entries = F.array_sort(F.collect_list(F.struct(F.col("box_id").alias("i"), "ch")))
+    each = labels.where("ch is not null").groupBy("page_id").agg(entries.alias("l"))
+    return each.select("page_id", F.to_json(F.map_from_entries(F.transform("l", lambda e: F.struct(e["i"].cast("string"), e["ch"])))).alias("json"))
 
-    Glyphs stay distributed: a line's place is its code point, so a sorted write needs no single task.
-    """
+
+#: Where the last line of a font stands: beyond all code points.
+LAST = 0x110000
+
+
+def svg_font_frame(name: str, word_space: int = 300) -> list[tuple[int, str]]:
+    """(ordinal, line) of what an SVG font has around its glyphs."""
     head = [
         '<?xml version="1.0" encoding="UTF-8"?>',
         '<svg xmlns="http://www.w3.org/2000/svg"><defs>',
-        f'<font id="{"".join(c for c in name if c.isalnum() or c in "_-") or "MyHand"}" horiz-adv-x="{word_space}">',
+        f'<font id="{"".join(c for c in name if c.isascii() and (c.isalnum() or c in "_-")) or "MyHand"}" horiz-adv-x="{word_space}">',
         f'<font-face font-family="{"".join(f"&#x{ord(c):X};" for c in name)}" units-per-em="{dims.UPM}" ascent="{dims.ASCENT}" descent="{dims.DESCENT}" x-height="{dims.X_HEIGHT}" cap-height="{dims.CAP_HEIGHT}"/>',
         f'<missing-glyph horiz-adv-x="{dims.UPM // 2}"/>',
         f'<glyph glyph-name="space" unicode="&#x20;" horiz-adv-x="{word_space}" d=""/>',
     ]
-    spark = glyphs.sparkSession
-    frame = spark.createDataFrame([(i - len(head), line) for i, line in enumerate(head)] + [(0x110000, "</font></defs></svg>")], "ordinal long, line string")
+    return [(i - len(head), line) for i, line in enumerate(head)] + [(LAST, "</font></defs></svg>")]
+
+
+def svg_font(glyphs: DataFrame, name: str, word_space: int = 300) -> DataFrame:
+    """Lines (ordinal, line) of an SVG font of glyphs (codepoint, ch, d, advance), to be written in that order.
+
+    Glyphs stay distributed: a line's place is its code point, so a sorted write needs no single task.
+    """
+    frame = glyphs.sparkSession.createDataFrame(svg_font_frame(name, word_space), "ordinal long, line string")
     line = F.format_string('<glyph glyph-name="%s" unicode="%s" horiz-adv-x="%d" d="%s"/>', glyph_name(F.col("codepoint")), xml_escape(F.col("ch")), F.col("advance").cast("int"), F.col("d"))
     return frame.unionByName(glyphs.where("ch <> ' '").select(F.col("codepoint").cast("long").alias("ordinal"), line.alias("line")))
 
@@ -88,4 +104,33 @@ def crops(pixels: DataFrame, boxes: DataFrame, pad: int = 8) -> DataFrame:
                 out.append((r.page_id, r.box_id, _png(image)))
             yield pd.DataFrame(out, columns=["page_id", "box_id", "png"])
 
-    return joined.mapInPandas(kernel, "page_id long, box_id int, png binary")
+    return joined.mapInPandas(kernel, f"page_id {boxes.schema['page_id'].dataType.simpleString()}, box_id int, png binary")
+
+
+def snapshots(gray: DataFrame) -> DataFrame:
+    """(page_id, png): the grey raster (page_id, y, x, gray) of every page; pixels that are not there are white.
+
+    A page's rows of pixels come together as a list, bounded by a page.
+    """
+    rows = gray.groupBy("page_id", "y").agg(F.collect_list(F.struct("x", F.col("gray").cast("int").alias("gray"))).alias("row"))
+    pages = rows.groupBy("page_id").agg(F.collect_list(F.struct("y", F.col("row.x").alias("x"), F.col("row.gray").alias("gray"))).alias("rows"))
+
+    def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for page, listed in zip(batch["page_id"], batch["rows"], strict=True):
+                image = np.full((max(r["y"] for r in listed) + 1, max(max(r["x"]) for r in listed) + 1), 255, np.uint8)
+                for r in listed:
+                    image[r["y"], np.asarray(r["x"])] = np.asarray(r["gray"])
+                yield pd.DataFrame({"page_id": [page], "png": [_png(image)]})
+
+    return pages.mapInPandas(kernel, f"page_id {gray.schema['page_id'].dataType.simpleString()}, png binary")
+
+
+def write_images(images: DataFrame, folder: str, name: Column, mode: str = "append") -> None:
+    """Write images (png) as files under the folder, named by a column; all of them appear, or none."""
+    write_files(images.select(name.alias("name"), F.col("png").alias("content")), folder, mode)
+
+
+def write_crops(images: DataFrame, folder: str, mode: str = "append") -> None:
+    """Write crops (page_id, box_id, png) as crops/<page>-<box>.png under the folder."""
+    write_images(images, folder, F.concat(F.lit("crops/"), F.col("page_id").cast("string"), F.lit("-"), F.col("box_id").cast("string"), F.lit(".png")), mode)
