@@ -58,9 +58,6 @@ TEMPLATES = {
     "unlicense": ["""This is free and unencumbered software released into the public domain."""],
 }
 
-#: Of replaceable regions of more characters than this the number of words is not counted.
-MOST_WORDS = 4000
-
 _WORD_BYTES = bytes(
     c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256)
 )
@@ -87,7 +84,7 @@ def _var_words(markup: str) -> tuple[int, int | None]:
     pattern = found[1] if (found := re.search(r'match="([^"]*)"', markup)) else ".+"
     if found := re.fullmatch(r"\.\{(\d*),(\d*)\}", pattern):
         least, most = int(found[1] or 0), int(found[2]) if found[2] else None
-        return int(least > 0), None if most is None or most > MOST_WORDS else max(int(least > 0), (most + 1) // 2)
+        return int(least > 0), None if most is None else max(int(least > 0), (most + 1) // 2)
     return (0, None) if pattern in (".*", "") else (1, None)
 
 
@@ -110,8 +107,9 @@ class Automaton:
                 least, most = _var_words(part)
                 for _ in range(least):
                     self._state(None, 1)
-                for _ in range((most or least) - least):
-                    self.skips[self._state(None, 1)].append(len(self.steps))
+                more = [self._state(None, 1) for _ in range((most or least) - least)]
+                for state in more:  # from each of them the region may end
+                    self.skips[state].append(len(self.steps))
                 if most is None:  # any number of words: a state that leads to itself
                     loop = self._state(None, 1)
                     self.steps[loop] = (None, loop)
@@ -157,6 +155,39 @@ class Automaton:
             states, at = moved, at + 1
         return best
 
+    def spans(self, words: list[bytes], places: dict[bytes, list[int]]) -> list[tuple[int, int]]:
+        """(start, end) of accepted stretches, for every end the longest; ``places`` lists where words that may begin one stand.
+
+        All stretches go through the text together: a state keeps the earliest start that leads to it, as
+        a later one cannot give a longer stretch. So the work is the text's words times the states that
+        are open, whatever the regions; between starts, where none is open, words are passed over.
+        """
+        anywhere = None in self.first
+        starts = range(len(words)) if anywhere else sorted(i for w in self.first for i in places.get(w, ()))
+        out: list[tuple[int, int]] = []
+        active: dict[int, int] = {}
+        at = following = 0
+        while at < len(words):
+            if not active:
+                if following == len(starts):
+                    break
+                at = starts[following]
+            if following < len(starts) and starts[following] == at:
+                following += 1
+                for s in self.closed[0]:
+                    active.setdefault(s, at)
+            moved: dict[int, int] = {}
+            for s, start in active.items():
+                wanted, to = self.steps[s]
+                if to >= 0 and (wanted is None or wanted == words[at]):
+                    for t in self.closed[to]:
+                        if moved.get(t, start) >= start:
+                            moved[t] = start
+            active, at = moved, at + 1
+            if self.final in active:
+                out.append((active[self.final], at))
+        return out
+
 
 def compiled(templates: dict[str, list[str]]) -> list[tuple[str, Automaton]]:
     return [(label, Automaton(text)) for label, texts in sorted(templates.items()) for text in texts]
@@ -185,11 +216,9 @@ def scan(words: list[bytes], phrases: list[tuple[list[bytes], str]], automata: l
         if w in first:
             starts.setdefault(w, []).append(i)
     for label, automaton in automata:
-        for w in automaton.first:
-            for i in starts.get(w, ()):
-                if (end := automaton.end(words, i)) > i:
-                    labels.add(label)
-                    spans.append((i, end))
+        if found := automaton.spans(words, starts):
+            labels.add(label)
+            spans += found
     covered, reached = 0, 0
     for a, b in sorted(spans):
         covered += max(0, b - max(a, reached))

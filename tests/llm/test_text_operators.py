@@ -198,3 +198,20 @@ def test_density_decides_not_the_name_of_an_element():
     texts = {html.main_text(page.format(open=a, close=b)) for a, b in (("<article>", "</article>"), ("<main>", "</main>"), ("<div>", "</div>"), ("<div><div>", "</div></div>"))}
     (text,) = texts
     assert text.startswith("A title All of it") and text.endswith("1 2 1 2 1 2 Short end.") and "Menu" not in text and "links" not in text
+
+
+def test_all_stretches_of_a_text_in_one_pass():
+    random.seed(12)
+    templates = ['<<var;match=".+">> b', 'a <<var;match=".*">> b', 'a <<beginOptional>>b <<endOptional>><<var;match=".{0,7}">> c', '<<beginOptional>>a <<endOptional>>b', '<<var;max=2>> c', 'a b a']
+    for template in templates:
+        a = licenses.Automaton(template)
+        for _ in range(60):
+            words = [random.choice([b"a", b"b", b"c", b"d"]) for _ in range(random.randrange(14))]
+            places = {w: [i for i, x in enumerate(words) if x == w] for w in set(words)}
+            covered = {k for s, e in a.spans(words, places) for k in range(s, e)}
+            want = {k for i in range(len(words)) for k in range(i, a.end(words, i))}
+            assert covered == want, (template, words)
+    loose = licenses.Automaton('start <<var;match=".*">> finish')
+    words = [b"start", b"x"] * 40_000  # quadratic work would not end here
+    assert loose.spans(words, {b"start": list(range(0, len(words), 2))}) == []
+    assert licenses.Automaton('a <<var;match=".{0,9000}">> b').end([b"a", *[b"w"] * 4000, b"b"], 0) == 4002
