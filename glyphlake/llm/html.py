@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -37,13 +38,33 @@ MARKS = frozenset(
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 
 
+#: Words that beside "header" tell that it heads a text, and marks of what readers wrote.
+HEADS_TEXT = frozenset("article content entry post section story title".split())
+OF_READERS = frozenset("comment comments commentlist discussion disqus replies respond".split())
+#: Elements of running text: there a mark only counts as the last word of a name, as in cookie-notice, not in social-history.
+RUNNING = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote span em strong b i".split())
+
+
 class Node:
-    __slots__ = ("tag", "up", "parts", "marked", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "up", "parts", "hidden", "marks", "chars", "tags", "link_chars", "link_tags", "density", "total", "run", "titled", "article")
 
-    def __init__(self, tag: str, up: Node | None, marked: bool):
-        self.tag, self.up, self.marked = tag, up, marked
+    def __init__(self, tag: str, up: Node | None, hidden: bool = False, marks: frozenset[str] = frozenset()):
+        self.tag, self.up, self.hidden, self.marks = tag, up, hidden, marks
         self.parts: list[Node | str] = []
         self.density = self.total = 0.0
+        self.run, self.titled, self.article = 0, tag in ("h1", "main"), tag == "article"
+
+
+def _marks(tag: str, attrs: list) -> frozenset[str]:
+    """Words of class, id and role that name furniture."""
+    found = set()
+    for k, v in attrs:
+        if k in ("class", "id", "role") and v:
+            for name in v.lower().split():
+                words = [w for w in re.split(r"[^a-z]+", name) if w]
+                own = MARKS.intersection(words[-1:] if tag in RUNNING else words)
+                found |= own - {"header"} if not HEADS_TEXT.isdisjoint(words) else own
+    return frozenset(found)
 
 
 class Tree(HTMLParser):
@@ -51,13 +72,22 @@ class Tree(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.root = self.at = Node("#root", None, False)
+        self.root = self.at = Node("#root", None)
+        self.open: Counter[str] = Counter()  # elements of every name above the place that is reached
+
+    def _leave(self, node: Node) -> None:
+        """Go on in the element that holds the node."""
+        while self.at is not node.up:
+            self.open[self.at.tag] -= 1
+            self.at = self.at.up
 
     def _close(self, wanted: set[str], within: set[str]) -> None:
+        if not any(self.open[t] for t in wanted):
+            return
         node = self.at
         while node.up is not None and node.tag not in within:
             if node.tag in wanted:
-                self.at = node.up
+                self._leave(node)
                 return
             node = node.up
 
@@ -66,12 +96,12 @@ class Tree(HTMLParser):
             self._close(*CLOSES[tag])
         elif tag in ENDS_PARAGRAPH:
             self._close({"p"}, {"table", "td", "th", "li", "button", "article", "section", "div", "main", "body"})
-        words = {w for k, v in attrs if k in ("class", "id", "role") and v for w in re.split(r"[^a-z]+", v.lower())} if attrs else ()
         hidden = any(k == "hidden" or k == "aria-hidden" and v == "true" or k == "style" and v and re.search(r"display\s*:\s*none", v, re.I) for k, v in attrs)
-        node = Node(tag, self.at, bool(hidden or (words and tag not in ("html", "body", "article", "main") and not MARKS.isdisjoint(words))))
+        node = Node(tag, self.at, hidden, _marks(tag, attrs) if attrs and tag not in ("html", "body", "article", "main") else frozenset())
         self.at.parts.append(node)
         if tag not in VOID:
             self.at = node
+            self.open[tag] += 1
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -80,9 +110,9 @@ class Tree(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         node = self.at
-        while node.up is not None:
+        while node.up is not None and self.open[tag]:
             if node.tag == tag:
-                self.at = node.up
+                self._leave(node)
                 return
             if tag not in BLOCK and node.tag in BLOCK:
                 return  # a stray inline end tag closes no block
@@ -102,21 +132,43 @@ class Tree(HTMLParser):
         self.at.parts.append(data)
 
 
-def _dropped(node: Node) -> bool:
-    """Whether an element is furniture; a header is where it heads the page, in the page's body or its first element."""
-    if node.tag == "header" and not node.marked:
-        above = node.up
-        return above.tag in ("body", "html", "#root") or any(not isinstance(x, str) and x.tag == "nav" for x in node.parts)
-    return node.marked or node.tag in SILENT or node.tag in FURNITURE
+def _furniture(node: Node) -> bool:
+    """Whether an element is furniture whatever it holds; a header is where it heads the page, in the page's body or its first element."""
+    if node.tag == "header":
+        return node.hidden or node.up.tag in ("body", "html", "#root") or any(not isinstance(x, str) and x.tag == "nav" for x in node.parts)
+    return node.hidden or node.tag in SILENT or node.tag in FURNITURE
+
+
+def _dropped(node: Node, most: int) -> bool:
+    """Whether an element goes with all that it holds.
+
+    Names are evidence only: what they call furniture stays if more than half of the page's running
+    text hangs under it together with a title or, unless readers wrote it, an article.
+    """
+    if _furniture(node) or not node.marks:
+        return _furniture(node)
+    return 2 * node.run <= most or not (node.titled or node.article and OF_READERS.isdisjoint(node.marks))
 
 
 def _measured(root: Node) -> list[Node]:
     """Prune furniture, then count characters, tags and link text bottom-up; nodes in page order."""
+    every, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        every.append(node)
+        if node.tag != "a":
+            todo.extend(x for x in node.parts if not isinstance(x, str) and not _furniture(x))
+    for node in reversed(every):
+        node.run += sum(len(x) for x in node.parts if isinstance(x, str)) if node.tag != "a" else 0
+        if node.up is not None:
+            node.up.run += node.run
+            node.up.titled |= node.titled
+            node.up.article |= node.article
     order, todo = [], [root]
     while todo:
         node = todo.pop()
         order.append(node)
-        node.parts = [x for x in node.parts if isinstance(x, str) or not _dropped(x)]
+        node.parts = [x for x in node.parts if isinstance(x, str) or not _dropped(x, root.run)]
         todo.extend(x for x in reversed(node.parts) if not isinstance(x, str))
     for node in reversed(order):
         node.chars = node.tags = node.link_chars = node.link_tags = 0

@@ -215,3 +215,29 @@ def test_all_stretches_of_a_text_in_one_pass():
     words = [b"start", b"x"] * 40_000  # quadratic work would not end here
     assert loose.spans(words, {b"start": list(range(0, len(words), 2))}) == []
     assert licenses.Automaton('a <<var;match=".{0,9000}">> b').end([b"a", *[b"w"] * 4000, b"b"], 0) == 4002
+
+
+RUNNING_TEXT = "".join(f"<p>Running words of the article, number {i}, which go on for a while so that there is enough of them.</p>" for i in range(8))
+
+
+@pytest.mark.parametrize(
+    "page, first, gone",
+    [
+        (f'<nav><a href=x>Home</a></nav><div class="with-sidebar"><article><h1>Title</h1>{RUNNING_TEXT}</article><div class="sidebar"><a href=y>More</a> aside</div></div>', "Title Running", "aside"),
+        (f'<div class="with-sidebar"><div class="post"><h1>Title</h1>{RUNNING_TEXT}</div><div class="sidebar">aside</div></div>', "Title Running", "aside"),
+        (f'<div><article><header class="entry-header"><h1>Title</h1></header>{RUNNING_TEXT}</article></div>', "Title Running", "-"),
+        (f'<div><article><div class="article-header"><h1>Title</h1></div>{RUNNING_TEXT}</article></div>', "Title Running", "-"),
+        (f'<div class="site-header"><h1>Site</h1></div><div><article><h1>Title</h1>{RUNNING_TEXT}</article></div>', "Title Running", "Site"),
+        (f'<div><article><h1>Title</h1><p class="social-history">Social history.</p>{RUNNING_TEXT}<p class="cookie-notice">Cookies.</p></article></div>', "Title Social history. Running", "Cookies"),
+        (f'<div><article><h1>Title</h1>{RUNNING_TEXT}</article><section id="comments"><h2>Comments</h2>{RUNNING_TEXT.replace("article", "reader") * 3}</section></div>', "Title Running", "reader"),
+        ('<div class="ad">An advert that has many more words than the text.</div><article><p>A short text.</p></article>', "A short text.", "advert"),
+    ],
+)
+def test_names_are_evidence_only(page, first, gone):
+    text = html.main_text(f"<html><body>{page}</body></html>")
+    assert text.startswith(first) and gone not in text
+
+
+def test_depth_takes_no_square_of_time():
+    deep = 60_000  # climbing all open elements at every tag would not end here
+    assert html.main_text("<blockquote>" * deep + "x") == "x" and html.main_text("<div>" * deep + "</q>" * deep + "x") == "x"
