@@ -56,7 +56,7 @@ class Chunk:
         self.first = np.r_[0, np.cumsum(self.spans)]
         cells = (levels - low + self.first[:-1]).ravel()
         order = np.argsort(cells, kind="stable")
-        self.posted = order // rows.shape[1]
+        self.posted, self.cells = (order // rows.shape[1]).astype(np.int32), order.astype(np.int32)  # a posting's row, and its place among all components
         self.starts = np.searchsorted(cells[order], np.arange(self.first[-1] + 1))
         self.dims = np.repeat(np.arange(rows.shape[1]), self.spans)
         self.edges = (np.arange(self.first[-1]) - self.first[self.dims] + low[self.dims]) * LEVEL
@@ -73,23 +73,23 @@ class Chunk:
         order = self.filled[np.argsort(-gain[self.filled], kind="stable")]
         # A level's width for every component, and what sums of doubles may be off by.
         slack = float(int(np.abs(query).sum()) * (LEVEL - 1) + 1) + float(np.abs(query).sum()) * self.largest * 2.0**-44
-        lower, waiting = np.full(n, float(base.sum())), np.ones((n, len(query)), bool)
+        lower, waiting = np.full(n, float(base.sum())), np.ones(n * len(query))  # doubles: their product with the gains left is one call
         possible = np.arange(n)
-        done = np.zeros(len(gain), bool)
+        done = np.diff(self.starts) == 0  # nothing stands in these
         for part in np.array_split(order, STEPS):
             if not len(part):
                 continue
-            rows = np.concatenate([self.posted[self.starts[s] : self.starts[s + 1]] for s in part])
             lengths = self.starts[part + 1] - self.starts[part]
-            waiting[rows, np.repeat(self.dims[part], lengths)] = False
+            ends = np.cumsum(lengths)
+            at = np.repeat(self.starts[part] - ends + lengths, lengths) + np.arange(ends[-1])
+            waiting[self.cells[at]] = 0.0
             done[part] = True
-            lower += np.bincount(rows, np.repeat((least[part] - base[self.dims[part]]).astype(float), lengths), n)
+            lower += np.bincount(self.posted[at], np.repeat((least[part] - base[self.dims[part]]).astype(float), lengths), n)
             if n <= k + 1:
                 continue
             # In each dimension that a row still waits for it gains no more than the largest impact left there.
-            rest = np.zeros(len(query))
-            np.maximum.at(rest, self.dims[left := self.filled[~done[self.filled]]], gain[left])
-            upper = lower + slack + waiting @ rest
+            rest = np.maximum.reduceat(np.where(done, 0, gain), self.first[:-1]).astype(float)
+            upper = lower + slack + waiting.reshape(n, -1) @ rest
             line = np.partition(lower, n - k - 1)[n - k - 1]  # k + 1 rows reach it, one of them may be the query's own
             possible = np.flatnonzero(upper >= line)
             if len(possible) <= max(4 * k, n * LEFT):
