@@ -122,13 +122,21 @@ def report_head(audited: DataFrame, orphaned: DataFrame, pinned: DataFrame | Non
 
 
 def glyph_sheet(glyphs: DataFrame, order: str) -> DataFrame:
-    """(page_id, ch, cx, cy, caption): cells of a sheet of ten glyphs a row, the space left out, and the caption's SVG text."""
+    """(page_id, ch, cx, cy, caption): cells of a sheet of ten glyphs a row, the space left out, and the caption's SVG text.
+
+    With a column d of outlines there is one more, drawing: the SVG text of the outline on the cell's
+    base line, nothing for a null or empty one.
+    """
     shown = glyphs.where("ch <> ' '")
     i = F.row_number().over(W.partitionBy("page_id").orderBy(order)) - 1
     placed = shown.withColumn("i", i).withColumn("cx", F.expr(f"i % {COLUMNS} * {SIDE} + 10")).withColumn("cy", F.expr(f"int(i div {COLUMNS}) * {SIDE}"))
     escaped = F.replace(F.replace("ch", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
     caption = F.format_string('<line x1="%d" y1="%d" x2="%d" y2="%d" stroke="#bbe"/><text x="%d" y="%d" font-size="12">%s</text>', "cx", F.col("cy") + BASELINE, F.col("cx") + SIDE - 20, F.col("cy") + BASELINE, "cx", F.col("cy") + CAPTION, escaped)
-    return placed.select("page_id", "ch", "cx", "cy", caption.alias("caption"))
+    columns = ["page_id", "ch", "cx", "cy", caption.alias("caption")]
+    if "d" in glyphs.columns:
+        drawing = F.format_string('<path transform="translate(%d,%d) scale(0.08,-0.08)" d="%s" fill="#111" fill-rule="evenodd"/>', F.col("cx") + 8, F.col("cy") + BASELINE, "d")
+        columns.append(F.when(F.coalesce("d", F.lit("")) != "", drawing).otherwise("").alias("drawing"))
+    return placed.select(*columns)
 
 
 def glyph_fragment(d: Column, size: int) -> Column:

@@ -115,3 +115,11 @@ def test_previews_match_those_made_by_hand(spark):
     texts = {i: "".join(random.choice("aab가i?  \n") for _ in range(random.randrange(200))) for i in range(12)} | {50: "", 51: "  ", 52: "b" * 60 + " a"}
     got = layout.waterfall(spark.createDataFrame(list(texts.items()), "page_id long, text string"), spark.createDataFrame([(c, d, a) for c, (d, a) in glyphs.items()], "ch string, d string, advance int"))
     assert {r.page_id: r.svg for r in got.collect()} == {i: by_hand(t, glyphs, layout.SIZES) for i, t in texts.items() if t.split()}
+
+
+def test_glyph_sheet_draws_outlines(spark):
+    glyphs = spark.createDataFrame([(1, i, c, d) for i, (c, d) in enumerate([("a", "M0 0Z"), (" ", "M9 9Z"), ("b", ""), ("c", None)] + [(chr(100 + k), f"M{k} 0Z") for k in range(9)])], "page_id long, place int, ch string, d string")
+    got = {r.ch: (r.cx, r.cy, r.drawing) for r in records.glyph_sheet(glyphs, "place").collect()}
+    assert got["a"] == (10, 0, '<path transform="translate(18,88) scale(0.08,-0.08)" d="M0 0Z" fill="#111" fill-rule="evenodd"/>')
+    assert " " not in got and got["b"] == (130, 0, "") and got["c"] == (250, 0, "")
+    assert got["k"][:2] == (10, 120) and 'translate(18,208)' in got["k"][2]
