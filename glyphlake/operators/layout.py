@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from glyphlake.functions.scalars import half_up, is_hangul
 from glyphlake.operators import dims
-from glyphlake.operators.graph import kept
 
 WORD_SPACE, UNKNOWN_ADVANCE, BEARING = 300, 500, 50
 
@@ -111,27 +110,26 @@ SIZES, SHEET_WIDTH, MARGIN = (64, 40, 28, 18), 1280, 40
 BEFORE, FEED, AFTER = 11, 14, 4
 
 
-def waterfall_lines(texts: DataFrame, glyphs: DataFrame, sizes: tuple[int, ...] = SIZES) -> DataFrame:
-    """(page_id, size_no, size, line, words, y, bottom): texts (page_id, text) set in every size, one row a line.
+def drawn_words(texts: DataFrame, glyphs: DataFrame) -> DataFrame:
+    """(page_id, words): the words (word, width, marks) of texts (page_id, text), with the pen at and the outline d of every mark.
 
-    Words are set greedily within the sheet's width, by the advances of ``glyphs`` (ch, advance); y is
-    the base line and bottom the end of the page's last line, in tenths of a pixel. Pages without words
-    have no lines. A page's words come together as a list, and nothing larger.
+    ``glyphs`` is (ch, d, advance), one row a character. Only the different characters of a page meet
+    them; its words stay together as a list, and nothing larger. Pages without words go.
     """
-    each = texts.select("page_id", F.posexplode(F.filter(F.split("text", r"\s+"), lambda w: w != "")).alias("i", "word"))
-    # A word's characters are looked up once, however often it stands in the texts.
-    chars = each.select("word").distinct().select("word", F.explode(F.split("word", "")).alias("ch")).where("ch <> ''")
-    widths = chars.join(glyphs.select("ch", "advance"), "ch", "left").groupBy("word").agg(F.sum(F.coalesce("advance", F.lit(UNKNOWN_ADVANCE))).cast("int").alias("width"))
-    listed = each.join(widths, "word").groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("i", "word", "width"))).alias("words"))
-    table = F.array(*(F.struct(F.lit(n).alias("size_no"), F.lit(s).alias("size"), F.lit((SHEET_WIDTH - 2 * MARGIN) * dims.UPM // s).alias("most")) for n, s in enumerate(sizes)))
-    sized = listed.withColumn("s", F.explode(table)).select("page_id", "s.size_no", "s.size", "words", wrapped(F.col("words"), F.col("s.most")).alias("lines"))
-    height = F.col("size") * (BEFORE + AFTER + FEED * F.size("lines"))
-    page = W.partitionBy("page_id")
-    placed = sized.withColumn("upto", F.sum(height).over(page.orderBy("size_no").rowsBetween(W.unboundedPreceding, 0))).withColumn("bottom", 10 * MARGIN + F.sum(height).over(page)).withColumn("top", 10 * MARGIN + F.col("upto") - height)
-    lines = placed.select("page_id", "size_no", "size", "words", "bottom", "top", F.explode("lines").alias("l"))
-    first = F.sum("l.words").over(W.partitionBy("page_id", "size_no").orderBy("l.line").rowsBetween(W.unboundedPreceding, 0)) - F.col("l.words")
-    cut = F.transform(F.slice("words", (first + 1).cast("int"), F.col("l.words")), lambda w: w["word"])
-    return lines.select("page_id", "size_no", "size", F.col("l.line").alias("line"), F.array_join(cut, " ").alias("words"), (F.col("top") + F.col("size") * (BEFORE + FEED * F.col("l.line"))).alias("y"), "bottom")
+    words = F.transform(F.filter(F.split("text", r"\s+"), lambda w: w != ""), lambda w, i: F.struct(i.alias("i"), w.alias("word")))
+    listed = texts.select("page_id", words.alias("words")).groupBy("page_id").agg(F.array_sort(F.flatten(F.collect_list("words"))).alias("words")).where("size(words) > 0")
+    chars = listed.select("page_id", F.explode(F.array_distinct(F.split(F.array_join("words.word", ""), ""))).alias("ch"))
+    known = chars.join(glyphs, "ch").groupBy("page_id").agg(F.map_from_entries(F.collect_list(F.struct("ch", F.struct("advance", "d")))).alias("known"))
+
+    def drawn(word: Column) -> Column:
+        met = F.transform(F.filter(F.split(word, ""), lambda c: c != ""), lambda c: F.try_element_at(F.col("known"), c))
+        begin = F.struct(word.alias("word"), F.lit(0).alias("width"), F.expr("cast(array() as array<struct<at: int, d: string>>)").alias("marks"))
+        mark = lambda s, g: F.when(g["d"] != "", F.concat(s["marks"], F.array(F.struct(s["width"].alias("at"), g["d"].alias("d"))))).otherwise(s["marks"])
+        return F.aggregate(met, begin, lambda s, g: F.struct(s["word"].alias("word"), (s["width"] + F.coalesce(g["advance"].cast("int"), F.lit(UNKNOWN_ADVANCE))).alias("width"), mark(s, g).alias("marks")))
+
+    whole = listed.join(known, "page_id", "left").select("page_id", F.transform("words", lambda w: drawn(w["word"])).alias("words"))
+    # The words are behind a generator: the optimiser would move them into the functions that read them, to be drawn for every element.
+    return whole.select("page_id", F.inline(F.array(F.struct("words"))))
 
 
 def fixed(value: Column, decimals: int) -> Column:
@@ -143,18 +141,32 @@ def fixed(value: Column, decimals: int) -> Column:
 def waterfall(texts: DataFrame, glyphs: DataFrame, sizes: tuple[int, ...] = SIZES) -> DataFrame:
     """(page_id, svg): every page's text as outlines in every size, for glyphs (ch, d, advance).
 
-    Characters without a glyph leave their room, glyphs without an outline theirs. Outlines are placed
-    and put together by page; a text takes as much room as it has characters, times the sizes.
+    Words are set greedily within the sheet's width. Characters without a glyph leave their room,
+    glyphs without an outline theirs; pages without words have no sheet. A sheet is put together in
+    its page's row: outlines, which take the room of the text's characters times the sizes, are never
+    moved.
     """
-    lines = kept(waterfall_lines(texts, glyphs, sizes), "waterfall")
-    line_id = F.struct("page_id", "size_no", "line")
-    chars = lines.select(line_id.alias("line_id"), F.posexplode(F.split("words", "")).alias("ordinal", "ch")).where("ch <> ''")
-    drawn = pen_positions(chars, glyphs.select("ch", "advance")).join(glyphs.where("d <> ''").select("ch", "d"), "ch").select("line_id.*", "ordinal", "pen", "d").join(lines.select("page_id", "size_no", "line", "size", "y"), ["page_id", "size_no", "line"])
-    x = fixed(F.floor((F.lit(1000 * MARGIN + 50) + F.col("pen") * F.col("size")) / 100), 1)
-    k = fixed(F.col("size") * 10, 4)
-    mark = F.format_string('<path transform="translate(%s,%s) scale(%s,-%s)" d="%s" fill="#111" fill-rule="evenodd"/>', x, fixed(F.col("y"), 1), k, k, "d")
-    parts = drawn.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("size_no", "line", "ordinal", mark.alias("mark")))).alias("marks"))
-    sheets = lines.groupBy("page_id").agg(F.max("bottom").alias("bottom")).join(parts, "page_id", "left")
-    body = F.coalesce(F.array_join(F.transform("marks", lambda m: m["mark"]), ""), F.lit(""))
-    head = F.format_string('<svg width="%d" height="%d" xmlns="http://www.w3.org/2000/svg"><rect width="100%%" height="100%%" fill="#fff"/>', F.lit(SHEET_WIDTH), F.ceil((F.col("bottom") + 10 * MARGIN) / 10))
-    return sheets.select("page_id", F.concat(head, body, F.lit("</svg>")).alias("svg"))
+
+    def marks(words: Column, size: int, y: Column) -> Column:
+        """The marks of a line's words, whose base line is the text y."""
+        k = f"{size / 1000:.4f}"
+        x = lambda pen: fixed(F.floor((F.lit(1000 * MARGIN + 50) + pen.cast("long") * size) / 100), 1)
+        mark = lambda pen, d: F.concat(F.lit('<path transform="translate('), x(pen), F.lit(","), y, F.lit(f') scale({k},-{k})" d="'), d, F.lit('" fill="#111" fill-rule="evenodd"/>'))
+        begin = F.struct(F.lit(0).alias("pen"), F.expr("cast(array() as array<string>)").alias("marks"))
+        add = lambda s, w: F.struct((s["pen"] + w["width"] + WORD_SPACE).alias("pen"), F.concat(s["marks"], F.transform(w["marks"], lambda m: mark(s["pen"] + m["at"], m["d"]))).alias("marks"))
+        return F.aggregate(words, begin, add, lambda s: F.array_join(s["marks"], ""))
+
+    def body(lines: Column, size: int, top: Column) -> Column:
+        """All lines of a size, the first of which begins at ``top``, in tenths of a pixel."""
+        begin = F.struct(F.lit(0).alias("first"), F.expr("cast(array() as array<string>)").alias("lines"))
+        based = F.transform(lines, lambda l: F.struct(l["words"].alias("words"), fixed(top + size * (BEFORE + FEED * l["line"]), 1).alias("y")))
+        add = lambda s, l: F.struct((s["first"] + l["words"]).alias("first"), F.concat(s["lines"], F.array(marks(F.slice("words", s["first"] + 1, l["words"]), size, l["y"]))).alias("lines"))
+        return F.aggregate(based, begin, add, lambda s: F.array_join(s["lines"], ""))
+
+    most = [(SHEET_WIDTH - 2 * MARGIN) * dims.UPM // s for s in sizes]
+    lines = drawn_words(texts, glyphs).select("page_id", F.col("words"), *(wrapped(F.col("words"), m).alias(f"lines{n}") for n, m in enumerate(most)))
+    tops = [F.lit(10 * MARGIN)]
+    for n, size in enumerate(sizes):
+        tops.append(tops[-1] + size * (BEFORE + AFTER + FEED * F.size(f"lines{n}")))
+    head = F.format_string('<svg width="%d" height="%d" xmlns="http://www.w3.org/2000/svg"><rect width="100%%" height="100%%" fill="#fff"/>', F.lit(SHEET_WIDTH), F.ceil((tops[-1] + 10 * MARGIN) / 10))
+    return lines.select("page_id", F.concat(head, *(body(F.col(f"lines{n}"), size, tops[n]) for n, size in enumerate(sizes)), F.lit("</svg>")).alias("svg"))

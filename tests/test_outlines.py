@@ -123,3 +123,9 @@ def test_glyph_sheet_draws_outlines(spark):
     assert got["a"] == (10, 0, '<path transform="translate(18,88) scale(0.08,-0.08)" d="M0 0Z" fill="#111" fill-rule="evenodd"/>')
     assert " " not in got and got["b"] == (130, 0, "") and got["c"] == (250, 0, "")
     assert got["k"][:2] == (10, 120) and 'translate(18,208)' in got["k"][2]
+
+
+def test_previews_never_move_outlines(spark):
+    texts, glyphs = spark.createDataFrame([(1, "ab ba")], "page_id long, text string"), spark.createDataFrame([("a", "M0 0Z", 431)], "ch string, d string, advance int")
+    plan = layout.waterfall(texts, glyphs)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "glyphlake-" not in plan  # neither sorted by character nor written between
