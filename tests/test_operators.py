@@ -1,5 +1,7 @@
 """Relational operators against golden cases."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from glyphlake import catalogue
@@ -171,3 +173,22 @@ def test_missing_parts_reads_every_order(spark):
     want = {f"{role}:{c}" for role, cs in (("L", dims.LEADS), ("V", dims.VOWELS), ("T", dims.FINALS)) for c in cs} - needed
     got = {r.key for r in catalogue.QUERIES["missing_parts"](spark, d).collect()}
     assert got == want and len(got) >= 16
+
+
+def test_components_of_pages_need_no_rounds(spark, monkeypatch):
+    rng = random.Random(5)
+    links = [(p, a, a + rng.randrange(1, 4)) for p in ("x", "y", "z") for a in rng.sample(range(60), 30)] + [("chain", i, i + 1) for i in range(300)]
+    nodes = spark.createDataFrame([(p, n) for p in ("x", "y", "z") for n in range(70)] + [("chain", n) for n in range(301)], "page_id string, node int")
+    edges = spark.createDataFrame(links, "page_id string, a int, b int")
+    root = {(r.page_id, r.node): r.node for r in nodes.collect()}
+    changed = True
+    while changed:
+        changed = False
+        for p, a, b in links:
+            if root[p, a] != root[p, b]:
+                root[p, a] = root[p, b] = min(root[p, a], root[p, b])
+                changed = True
+    for most in (1 << 14, 100):  # at 100 the chain takes the rounds
+        monkeypatch.setattr(graph, "MOST_LINKS", most)
+        got = graph.smallest_reachable(nodes, edges, most_rounds=0 if most > 100 else 200)
+        assert {(r.page_id, r.node): r.root for r in got.collect()} == root
