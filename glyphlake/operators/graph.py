@@ -36,6 +36,8 @@ def _by_page(links: DataFrame) -> DataFrame:
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column(1)
+            if not len(lists):
+                continue
             ends, page = lists.flatten().to_numpy(), np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
             order = np.lexsort((ends, page))
             new = np.r_[True, (np.diff(page[order]) != 0) | (np.diff(ends[order]) != 0)]
