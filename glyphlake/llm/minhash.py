@@ -8,14 +8,13 @@ confirmed on their full shingle sets.
 * Prefix: pairs that agree in ``matches`` of K coordinates share one of the first K - matches + 1
   under any common order of the pairs. The order puts frequent pairs last, so common phrases are
   hardly ever posted and posting lists stay short unless the documents really are near copies.
-* Skip merging: a posting list whose documents are already known to hang together is skipped whole.
-  In the others each document is held against a few heads of the list only, so a list of n documents
-  gives at most HEADS * n pairs a round and no large group of copies is expanded into all its pairs.
-  The first round has one head, the document whose signature agrees most with what the others have in
-  each coordinate (the base of a group of near copies); later heads differ from list to list, so that
-  a document meets many. Heads leave their lists, pairs that failed once are not compared again, and
-  rounds go on until one adds no link. Components only tell what to skip, so they are worked out
-  again when enough links have come to make that worthwhile, and once at the end.
+* One head: every posting list's documents are first held against the one whose signature agrees most
+  with what the others have in each coordinate, the base of a group of near copies, and the components
+  of these links are worked out.
+* In full: lists whose documents then hang together are skipped. In the others the signatures of all
+  pairs of different components are compared, a list at a time as arrays and long lists as pairs of
+  blocks; only pairs that agree in enough coordinates leave it. Those likely to be links are confirmed
+  first, the rest where their documents still lie apart. Nothing ends before all lists are done.
 * Texts of one shingle set are one class from the start and travel once.
 
 Missed links: a pair at similarity 0.8 agrees in fewer than 34 of 64 coordinates with a probability
@@ -25,21 +24,17 @@ of about 3e-7; more similar pairs less often.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphlake.llm.common import connected_components, discard, short_batches, written
+from glyphlake.llm.common import connected_components, discard, setting, short_batches, written
 
-#: Rounds there are at least, unless all lists are done with before.
-LEAST_ROUNDS = 3
-#: Heads of a posting list in a round, from the second round on.
-HEADS = 2
-#: Components are worked out again once there are so many new links to those at the last time.
-FRESH = 0.02
+#: Documents of a block of a long posting list; pairs whose signatures are compared at once; lists that go to Python in a batch.
+BLOCK, PAIRS, LISTS = 4096, 1 << 18, 100
 #: Up to so many document ids (8 bytes each) are broadcast to pick texts; more are joined by a shuffle.
 BROADCAST_IDS = 1 << 21
 #: Words are hashed in runs of about this many, to bound memory on very long texts.
@@ -145,21 +140,58 @@ def _wanted(texts: DataFrame, near: DataFrame) -> DataFrame:
     return texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "rep", "left_semi")
 
 
-def _confirmed(pairs: DataFrame, tried: list[DataFrame], classes: DataFrame, texts: DataFrame, shingle: int, percent: int, matches: int, name: str) -> DataFrame:
-    """Of candidate pairs (a, b) those that agree in enough coordinates and, on full sets, in percent.
+def _short(classes: DataFrame) -> DataFrame:
+    """(rep, signature) by the low bits of the values, which are enough here: they agree wherever the values do."""
+    return classes.select("rep", F.transform("signature", lambda v: v.bitwiseAND(F.lit(127)).cast("byte")).alias("signature"))
 
-    ``tried`` holds the pairs of earlier rounds that agreed in enough coordinates; they are left out,
-    and those of this round go there.
-    """
-    # The low bytes of the values are enough here: they agree wherever the values do.
-    own = classes.select("rep", F.transform("signature", lambda v: v.bitwiseAND(F.lit(127)).cast("byte")).alias("signature"))
+
+def _agreeing(pairs: DataFrame, classes: DataFrame, matches: int) -> DataFrame:
+    """Of pairs (a, b) those that agree in enough coordinates."""
+    own = _short(classes)
     sized = pairs.join(own.toDF("a", "sa"), "a").join(own.toDF("b", "sb"), "b")
     agree = F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-    near = sized.where(agree >= matches).select("a", "b")
-    if tried:
-        near = near.join(reduce(DataFrame.unionByName, tried), ["a", "b"], "left_anti")
-    near = written(near, name)
-    tried.append(near)
+    return sized.where(agree >= matches).select("a", "b")
+
+
+def _all_agreeing(postings: DataFrame, classes: DataFrame, labels: DataFrame, percent: int, matches: int) -> DataFrame:
+    """(a, b, agree) of all pairs of different components that share a posting list and agree in enough coordinates."""
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            size = lists.value_lengths().to_numpy()
+            rep, n, component, side, signature = lists.flatten().flatten()
+            rep, n, component, side = (c.to_numpy() for c in (rep, n, component, side))
+            signature = signature.flatten().to_numpy().reshape(len(rep), -1)
+            cross = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), size)
+            after = np.repeat(np.cumsum(size), size) - np.arange(len(rep)) - 1  # rows that follow in the list
+            upto = np.cumsum(after)
+            lo = 0
+            while lo < len(rep):
+                hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + PAIRS, side="right")))
+                own = after[lo:hi]
+                x = np.repeat(np.arange(lo, hi), own)
+                y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(own) - own, own)
+                ok = (component[x] != component[y]) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])) & (~cross[x] | (side[x] != side[y]))
+                x, y, lo = x[ok], y[ok], hi
+                agree = (signature[x] == signature[y]).sum(1, dtype=np.int32)
+                ok = agree >= matches
+                x, y = x[ok], y[ok]
+                if len(x):
+                    yield pa.record_batch([pa.array(np.minimum(rep[x], rep[y])), pa.array(np.maximum(rep[x], rep[y])), pa.array(agree[ok])], names=["a", "b", "agree"])
+
+    known = _short(classes).join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    mixed = postings.join(known.select("rep", "component"), "rep").groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("long")).where("lo < hi")
+    blocks = mixed.select("token", F.ceil(F.col("long") / BLOCK).cast("int").alias("blocks"))
+    dealt = postings.join(blocks, "token").join(known, "rep").withColumn("side", F.expr("cast(pmod(xxhash64(rep), blocks) as int)"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    row = F.struct("rep", "n", "component", "side", "signature")
+    keyed = dealt.groupBy("token", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j")).agg(F.collect_list(row).alias("rows"))  # bounded by two blocks
+    return keyed.select(F.expr("i <> j").alias("across"), "rows").mapInArrow(kernel, "a long, b long, agree int").distinct()
+
+
+def _confirmed(near: DataFrame, texts: DataFrame, shingle: int, percent: int, name: str) -> DataFrame:
+    """Of pairs (a, b) those that agree on full sets in percent."""
 
     def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kept: dict = {}
@@ -182,7 +214,7 @@ def _confirmed(pairs: DataFrame, tried: list[DataFrame], classes: DataFrame, tex
 
     some = written(_wanted(texts, near), "texts")
     held = near.join(some.toDF("b", "tb"), "b").join(some.toDF("a", "ta"), "a")
-    with short_batches(pairs.sparkSession):
+    with short_batches(near.sparkSession):
         links = written(held.select("a", "b", "ta", "tb").mapInPandas(kernel, "a long, b long").distinct(), name)
     discard(some)
     return links
@@ -221,44 +253,37 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     postings = written(postings, "postings")
 
     labels = written(connected_components(written(_versions(sigs, classes), "versions"), "components"), "components")
-    tried: list[DataFrame] = []
-    fresh: list[DataFrame] = []
-
-    def joined_up() -> DataFrame:
-        # What hung together before goes in as one link a document.
-        before = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
-        after = written(connected_components(reduce(DataFrame.unionByName, fresh, before), "components"), "components")
-        discard(labels, *fresh)
-        fresh.clear()
+
+    def joined(labels: DataFrame, near: DataFrame, name: str) -> DataFrame:
+        """The components once those of the pairs that are links have come to them; what hung together before goes in as one link a document."""
+        links = _confirmed(near, texts, shingle, percent, name)
+        after = written(connected_components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links), "components"), "components")
+        discard(labels, links)
         return after
 
-    near_sizes = f"100 * least(head.n, n) >= {percent} * greatest(head.n, n)"
-    turn = linked = added = 0
-    while True:
-        now = postings.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        # Posting lists whose documents all hang together are skipped.
-        orders = [(F.xxhash64("token", "rep", F.lit(i)),) for i in range(HEADS)] if turn else [(-F.col("weight"), F.xxhash64("rep"))]
-        heads = F.array_distinct(F.transform(F.array(*(F.min(F.struct(*(o.alias(f"o{i}") for i, o in enumerate(order)), "component", "rep", "n")) for order in orders)), lambda h: F.struct(h["component"].alias("component"), h["rep"].alias("rep"), h["n"].alias("n"))))
-        mixed = now.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), heads.alias("heads")).where("lo < hi").select("token", "heads")
-        left = written(now.join(mixed, "token"), "left")
-        # A head meets the other heads too and leaves the list afterwards.
-        met = left.select("rep", "n", "component", F.explode("heads").alias("head")).where("component <> head.component and rep <> head.rep").where(near_sizes)
-        pairs = met.select(F.least("head.rep", "rep").alias("a"), F.greatest("head.rep", "rep").alias("b")).distinct()
-        confirmed = _confirmed(pairs, tried, classes, texts, shingle, percent, matches, f"links-{turn}")
-        discard(postings)
-        postings = left.where("not array_contains(heads.rep, rep)").select("token", "rep", "n", "weight")
-        turn += 1
-        new = confirmed.count()
-        if new:
-            fresh.append(confirmed)
-            linked, added = linked + new, added + new
-            if added >= FRESH * linked:
-                labels, added = joined_up(), 0
-        elif turn >= LEAST_ROUNDS or not postings.limit(1).count():
-            break
-    if fresh:
-        labels = joined_up()
-    discard(postings, *tried)
+    now = postings.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    head = F.min(F.struct(-F.col("weight"), F.xxhash64("rep"), "component", "rep", "n")).alias("head")
+    mixed = now.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), head).where("lo < hi").select("token", "head")
+    left = written(now.join(mixed, "token").where("rep <> head.rep"), "left")
+    met = left.where(f"component <> head.component and 100 * least(head.n, n) >= {percent} * greatest(head.n, n)")
+    pairs = met.select(F.least("head.rep", "rep").alias("a"), F.greatest("head.rep", "rep").alias("b")).distinct()
+    first = written(_agreeing(pairs, classes, matches), "near")
+    discard(postings)
+    labels = joined(labels, first, "links-0")
+
+    with setting(docs.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch", str(LISTS)):
+        near = written(_all_agreeing(left.select("token", "rep", "n"), classes, labels, percent, matches), "near")
+    discard(left)
+    near, every = written(near.join(first, ["a", "b"], "left_anti"), "near"), near
+    discard(first, every)
+    likely = F.col("agree") * 100 >= percent * coordinates
+    labels = joined(labels, near.where(likely).select("a", "b"), "links-1")
+    ends = [labels.select(F.col("node").alias(c), F.col("component").alias(f"c{c}")) for c in "ab"]
+    apart = near.where(~likely).select("a", "b").join(ends[0], "a", "left").join(ends[1], "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
+    rest = written(apart, "near")
+    discard(near)
+    labels = joined(labels, rest, "links-2")
+    discard(rest)
     labels = labels.withColumnRenamed("node", "rep")
 
     named = classes.select("class_key", "rep").join(labels, "rep", "left").select("class_key", F.coalesce("component", "rep").alias("component_id"))

@@ -281,3 +281,28 @@ def test_pipeline_stages(spark, tmp_path):
     ids = [r.doc_id for r in now.collect()]
     assert len(ids) == len(set(ids)) and set(range(40)) <= set(ids) and 40 not in ids
     assert sorted(r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == sorted(ids)
+
+
+def test_near_duplicates_lose_no_sparse_link(spark):
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(100)]
+    texts = {}
+    for i in range(300):
+        words = list(base)
+        for k in rng.sample(range(100), 5):
+            words[k] = f"v{rng.randrange(3)}"
+        texts[i + 1] = " ".join(words)
+    sets = {i: {tuple(w[k : k + 2]) for k in range(len(w) - 1)} for i, t in texts.items() for w in [t.split()]}
+    root = {i: i for i in texts}
+
+    def find(i):
+        return i if root[i] == i else find(root[i])
+
+    for a in texts:
+        for b in range(a + 1, len(texts) + 1):
+            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    got = minhash.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), shingle=2, percent=80)
+    assert {r.doc_id: r.component_id for r in got.collect()} == {i: find(i) for i in texts}
+    assert 1 < len({find(i) for i in texts}) < len(texts)
