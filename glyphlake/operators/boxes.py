@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from glyphlake.functions.scalars import half_up, upper_median, upper_quartile
 from glyphlake.operators.graph import smallest_reachable
 from glyphlake.operators.ownership import pixels_in_boxes
+from glyphlake.sources.durable import shuffled
 
 
 def _page():
@@ -105,19 +106,19 @@ def _near_pairs(boxes: DataFrame, apart: str) -> DataFrame:
     a box meets those of its own tile and the next one only: a full page is no square of its boxes.
     """
     widest = boxes.groupBy("page_id").agg(F.max(F.col("x1") - F.col("x0") + 1).alias("widest"))
-    placed = boxes.join(widest, "page_id").withColumn("tile", F.floor(F.col("x0") / (F.col("widest") + F.col(apart) + 1)).cast("int")).drop("widest")
+    placed = boxes.join(shuffled(widest), "page_id").withColumn("tile", F.floor(F.col("x0") / (F.col("widest") + F.col(apart) + 1)).cast("int")).drop("widest")
     right = placed.select("page_id", *(F.col(c).alias(f"b_{c}") for c in ("box_id", "x0", "x1", "y0", "y1")), F.explode(F.array(F.col("tile") - 1, "tile", F.col("tile") + 1)).alias("tile"))
-    return placed.join(right, ["page_id", "tile"]).where("box_id < b_box_id").drop("tile")
+    return placed.join(shuffled(right), ["page_id", "tile"]).where("box_id < b_box_id").drop("tile")
 
 
 def proximity_groups(boxes: DataFrame) -> DataFrame:
     """(page_id, group_id, x0, y0, x1, y1, area, n): boxes that meet once each is grown by 0.36 median heights (4 at least)."""
     median = boxes.groupBy("page_id").agg(upper_median(F.collect_list(F.col("y1") - F.col("y0") + 1)).alias("m"))
-    grown = boxes.join(median, "page_id").withColumn("grow", F.greatest(F.lit(4.0), F.col("m") * 0.36)).withColumn("apart", F.col("grow") * 2)
+    grown = boxes.join(shuffled(median), "page_id").withColumn("grow", F.greatest(F.lit(4.0), F.col("m") * 0.36)).withColumn("apart", F.col("grow") * 2)
     meets = "least(x1, b_x1) - greatest(x0, b_x0) + 2 * grow >= 0 and least(y1, b_y1) - greatest(y0, b_y0) + 2 * grow >= 0"
     edges = _near_pairs(grown, "apart").where(meets).select("page_id", F.col("box_id").alias("a"), F.col("b_box_id").alias("b"))
     roots = smallest_reachable(boxes.select("page_id", F.col("box_id").alias("node")), edges).withColumnsRenamed({"node": "box_id", "root": "group_id"})
-    return boxes.join(roots, ["page_id", "box_id"]).groupBy("page_id", "group_id").agg(
+    return boxes.join(shuffled(roots), ["page_id", "box_id"]).groupBy("page_id", "group_id").agg(
         F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.sum("area").alias("area"), F.count(F.lit(1)).alias("n")
     )
 

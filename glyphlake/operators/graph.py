@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glyphlake.operators.raster import runs
-from glyphlake.sources.durable import written as kept
+from glyphlake.sources.durable import kept, shuffled
 
 
 #: Pages of more links than this are not gathered: their components are found by rounds of joins.
@@ -66,7 +66,7 @@ def smallest_reachable(nodes: DataFrame, edges: DataFrame, most_rounds: int = 20
     else:
         labels = _by_page(links)
     root = F.coalesce(F.col("root").cast(nodes.schema["node"].dataType), "node").alias("root")
-    return nodes.select("page_id", "node").join(labels, ["page_id", "node"], "left").select("page_id", "node", root)
+    return nodes.select("page_id", "node").join(shuffled(labels), ["page_id", "node"], "left").select("page_id", "node", root)
 
 
 def _by_rounds(nodes: DataFrame, edges: DataFrame, most_rounds: int) -> DataFrame:

@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphlake.operators.graph import kept
 from glyphlake.operators.ownership import audit, proposals
-from glyphlake.sources.durable import discard
+from glyphlake.sources.durable import discard, kept, shuffled
 
 #: A box that misses more than this share of its own ink is clipped; while a run has one, its repair goes on.
 CLIPPED, MOST_ROUNDS = 0.02, 8
@@ -61,6 +60,6 @@ def refined(labelled: DataFrame, boxes: DataFrame, tile: int, pinned: DataFrame
     for t, s in zip(tried[1:], scores[1:], strict=True):
         every, all_scores = every.unionByName(t), all_scores.unionByName(s)
     best = all_scores.groupBy("run_id").agg(F.min(F.struct("missing", "round")).alias("best")).select("run_id", "best.*")
-    result = kept(every.join(best, ["run_id", "round"]).select("page_id", "box_id", *SIDES, "round", "missing"), "refined")
+    result = kept(every.join(shuffled(best), ["run_id", "round"]).select("page_id", "box_id", *SIDES, "round", "missing"), "refined")
     discard(of_run, ink, *{id(t): t for t in (*tried, *scores)}.values())
     return result

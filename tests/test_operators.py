@@ -192,3 +192,15 @@ def test_components_of_pages_need_no_rounds(spark, monkeypatch):
         monkeypatch.setattr(graph, "MOST_LINKS", most)
         got = graph.smallest_reachable(nodes, edges, most_rounds=0 if most > 100 else 200)
         assert {(r.page_id, r.node): r.root for r in got.collect()} == root
+
+
+def test_components_and_owners_send_no_table_through_the_driver(spark):
+    from glyphlake.operators import graph, ownership
+
+    ink = spark.createDataFrame([(p, y, x) for p in range(3) for y in range(4) for x in range(4) if (x + y + p) % 3], "page_id long, y int, x int")
+    boxes = spark.createDataFrame([(p, 1, 0, 0, 2, 2) for p in range(3)], "page_id long, box_id int, x0 int, y0 int, x1 int, y1 int")
+    labelled = graph.labelled_pixels(ink)
+    tally = ownership.tallies(labelled, boxes, 4)
+    for df in (labelled, graph.components(ink), tally, ownership.keep_rule(tally, labelled), ownership.crop_pixels(labelled, boxes, 4), ownership.audit(labelled, boxes, 4), ownership.orphans(labelled, boxes, 4), ownership.proposals(labelled, boxes, 4)):
+        df.collect()
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
