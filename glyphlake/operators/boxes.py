@@ -59,6 +59,21 @@ def widest_gaps(chunks: DataFrame) -> DataFrame:
     return gaps.withColumn("rn", F.row_number().over(_page().orderBy(F.desc("gap"), "chunk"))).where("rn = 1").select("page_id", "chunk", "gap")
 
 
+def _quotients(chunks: DataFrame, totals: DataFrame) -> DataFrame:
+    """(page_id, chunk, width, spare, k): the quotients width / k that may win one of the ``spare`` further characters of a page, one a chunk at least.
+
+    With c chunks of W columns and t characters, quotients of at least W / (t + c) number t or more,
+    as a chunk has less than one fewer of them than its share of t + c. Smaller ones cannot win, so a
+    page lists t + 2c quotients at most and not t for each chunk.
+    """
+    sized = chunks.join(totals, "page_id").select("page_id", "chunk", (F.col("x1") - F.col("x0") + 1).alias("width"), "total")
+    page = {"chunks": F.count(F.lit(1)), "all": F.sum("width"), "least": F.min("width")}
+    sized = sized.select("*", *(total.over(_page()).alias(name) for name, total in page.items()))
+    most = F.expr("if(least > 0, least(total - chunks, width * total div all), total - chunks)").cast("int")
+    k = F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), most)))
+    return sized.select("page_id", "chunk", "width", (F.col("total") - F.col("chunks")).alias("spare"), k.alias("k"))
+
+
 def allocated(chunks: DataFrame, totals: DataFrame) -> DataFrame:
     """(page_id, chunk, n): the page's ``total`` characters over its chunks.
 
@@ -66,10 +81,8 @@ def allocated(chunks: DataFrame, totals: DataFrame) -> DataFrame:
     leftmost of equal ones. As a chunk of width w wins its k-th further character at w / k, the
     largest quotients of all chunks are what is handed out: one ranking in place of a loop.
     """
-    sized = chunks.join(totals, "page_id").withColumn("width", F.col("x1") - F.col("x0") + 1).withColumn("chunks", F.count(F.lit(1)).over(_page()))
-    bids = sized.withColumn("k", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.col("total") - F.col("chunks")))))
-    ranked = bids.withColumn("rn", F.row_number().over(_page().orderBy(F.desc(F.col("width") / F.col("k")), "chunk", "k")))
-    won = (F.col("rn") <= F.col("total") - F.col("chunks")).cast("int")
+    ranked = _quotients(chunks, totals).withColumn("rn", F.row_number().over(_page().orderBy(F.desc(F.col("width") / F.col("k")), "chunk", "k")))
+    won = (F.col("rn") <= F.col("spare")).cast("int")
     return ranked.groupBy("page_id", "chunk").agg((1 + F.sum(won)).cast("int").alias("n"))
 
 

@@ -204,3 +204,14 @@ def test_components_and_owners_send_no_table_through_the_driver(spark):
     for df in (labelled, graph.components(ink), tally, ownership.keep_rule(tally, labelled), ownership.crop_pixels(labelled, boxes, 4), ownership.audit(labelled, boxes, 4), ownership.orphans(labelled, boxes, 4), ownership.proposals(labelled, boxes, 4)):
         df.collect()
         assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_only_quotients_that_can_win_are_ranked(spark):
+    # 40 chunks share 400 further characters: 16,000 quotients, of which at most 480 are listed.
+    chunks = spark.createDataFrame([(1, c, 100 * c, 100 * c + (c * 37) % 90) for c in range(40)], "page_id long, chunk int, x0 int, x1 int")
+    totals = spark.createDataFrame([(1, 440)], "page_id long, total int")
+    n = dict.fromkeys(range(40), 1)
+    for _ in range(400):
+        n[min(n, key=lambda c: (-((c * 37) % 90 + 1) / n[c], c))] += 1
+    assert {r.chunk: r.n for r in boxes.allocated(chunks, totals).collect()} == n
+    assert boxes._quotients(chunks, totals).count() <= 480
