@@ -215,3 +215,9 @@ def test_only_quotients_that_can_win_are_ranked(spark):
         n[min(n, key=lambda c: (-((c * 37) % 90 + 1) / n[c], c))] += 1
     assert {r.chunk: r.n for r in boxes.allocated(chunks, totals).collect()} == n
     assert boxes._quotients(chunks, totals).count() <= 480
+
+
+def test_boxes_meet_texts_with_what_they_carry(spark):
+    placed = spark.createDataFrame([(1, 2, 20), (1, 1, 10), (1, 3, 30), (2, 1, 5), (3, 1, 7)], "page_id long, box_id int, w int")
+    texts = spark.createDataFrame([(1, "é𝄞"), (2, "abc"), (3, ""), (4, "x"), (5, None)], "page_id long, text string")
+    assert sorted(map(tuple, text.zipped_text(placed, texts).collect())) == [(1, 1, 10, "é"), (1, 2, 20, "𝄞"), (2, 1, 5, "a")]
