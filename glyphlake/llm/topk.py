@@ -2,10 +2,12 @@
 
 Components are whole numbers. Vectors are indexed in chunks: for every dimension and every quantised
 level (LEVEL component values wide) a posting segment lists the chunk's rows with that level. A
-segment adds at most a known product to a query's scores, its impact; segments are processed by
-descending impact, and every row keeps bounds of its score. Processing stops only on proof: once so
-few rows can still be among the k best that rescoring them exactly is cheaper, or all segments are
-done. The rows that remain possible are rescored from their full vectors, so results are exact.
+segment's impact is how far it moves a score of some query from the middle of its dimension; the
+segments are read by descending impact, each once for all queries of a block, and every row keeps
+bounds of its score for every query: a dimension that a row still waits for adds something between
+the outermost levels left there. A query stops only on proof: once so few rows can still be among its
+k best that rescoring them exactly is cheaper, or all segments are done. The rows that remain
+possible are rescored from their full vectors, so results are exact.
 """
 
 from __future__ import annotations
@@ -24,8 +26,8 @@ from glyphlake.llm.common import written
 LEVEL, CHUNK = 4, 4096
 #: Queries in a block and blocks in a pass: a pass broadcasts at most BLOCK * PER_PASS queries.
 BLOCK, PER_PASS = 512, 16
-#: Steps in which a query's segments are processed, and the share of rows at which rescoring takes over.
-STEPS, LEFT = 12, 1 / 16
+#: Queries whose bounds are held at once; shares of the postings after which they are looked at, and the share of rows at which rescoring takes over.
+TOGETHER, SHARES, LEFT = 128, (1 / 2, 3 / 4, 7 / 8, 15 / 16, 1), 1 / 16
 #: A usable vector with a component beyond this magnitude fails the query: its scores might not fit 64 bits.
 RANGE = float(1 << 20)
 
@@ -49,55 +51,65 @@ class Chunk:
 
     def __init__(self, ids: np.ndarray, rows: np.ndarray):
         self.ids, self.rows = ids, rows
-        self.largest = float(np.abs(rows).max(initial=0))
+        self.largest = float(np.abs(rows).max(initial=0)) + LEVEL
         levels = rows // LEVEL
         low = levels.min(0)
-        self.spans = levels.max(0) - low + 1
-        self.first = np.r_[0, np.cumsum(self.spans)]
-        cells = (levels - low + self.first[:-1]).ravel()
-        order = np.argsort(cells, kind="stable")
-        self.posted, self.cells = (order // rows.shape[1]).astype(np.int32), order.astype(np.int32)  # a posting's row, and its place among all components
-        self.starts = np.searchsorted(cells[order], np.arange(self.first[-1] + 1))
-        self.dims = np.repeat(np.arange(rows.shape[1]), self.spans)
-        self.edges = (np.arange(self.first[-1]) - self.first[self.dims] + low[self.dims]) * LEVEL
-        self.filled = np.flatnonzero(np.diff(self.starts))
-
-    def best(self, query: np.ndarray, k: int, own: int) -> tuple[np.ndarray, np.ndarray]:
-        """(scores, ids) of the query's k best rows of this chunk but itself, ties to smaller ids."""
-        n = len(self.ids)
-        weights = query[self.dims]
-        near, far = weights * self.edges, weights * (self.edges + LEVEL - 1)
-        least = np.minimum(near, far)
-        base = np.minimum.reduceat(least, self.first[:-1])
-        gain = np.maximum(near, far) - base[self.dims]  # over the dimension's smallest contribution
-        order = self.filled[np.argsort(-gain[self.filled], kind="stable")]
-        # A level's width for every component, and what sums of doubles may be off by.
-        slack = float(int(np.abs(query).sum()) * (LEVEL - 1) + 1) + float(np.abs(query).sum()) * self.largest * 2.0**-44
-        lower, waiting = np.full(n, float(base.sum())), np.ones(n * len(query))  # doubles: their product with the gains left is one call
-        possible = np.arange(n)
-        done = np.diff(self.starts) == 0  # nothing stands in these
-        for part in np.array_split(order, STEPS):
-            if not len(part):
-                continue
-            lengths = self.starts[part + 1] - self.starts[part]
-            ends = np.cumsum(lengths)
-            at = np.repeat(self.starts[part] - ends + lengths, lengths) + np.arange(ends[-1])
-            waiting[self.cells[at]] = 0.0
-            done[part] = True
-            lower += np.bincount(self.posted[at], np.repeat((least[part] - base[self.dims[part]]).astype(float), lengths), n)
-            if n <= k + 1:
-                continue
-            # In each dimension that a row still waits for it gains no more than the largest impact left there.
-            rest = np.maximum.reduceat(np.where(done, 0, gain), self.first[:-1]).astype(float)
-            upper = lower + slack + waiting.reshape(n, -1) @ rest
-            line = np.partition(lower, n - k - 1)[n - k - 1]  # k + 1 rows reach it, one of them may be the query's own
-            possible = np.flatnonzero(upper >= line)
-            if len(possible) <= max(4 * k, n * LEFT):
-                break
-        ids, scores = self.ids[possible], self.rows[possible] @ query
-        ids, scores = ids[keep := ids != own], scores[keep]
-        top = np.lexsort((ids, -scores))[:k]
-        return scores[top], ids[top]
+        first = np.r_[0, np.cumsum(levels.max(0) - low + 1)]
+        cells = (levels - low + first[:-1]).T.ravel()  # by dimension, then row
+        self.posted = np.argsort(cells, kind="stable")  # a posting's place among all components
+        cells = cells[self.posted]
+        self.starts = np.flatnonzero(np.r_[True, np.diff(cells) != 0])
+        self.lengths = np.diff(np.r_[self.starts, len(cells)])
+        self.dims = self.posted[self.starts] // len(ids)
+        self.edges = ((cells[self.starts] - first[self.dims] + low[self.dims]) * LEVEL).astype(float)
+
+    def _left(self, done: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Middle and half width of what the segments that are not done hold, by dimension; 0 where there are none."""
+        first = np.flatnonzero(np.r_[True, np.diff(self.dims) != 0])
+        lo = np.minimum.reduceat(np.where(done, np.inf, self.edges), first)
+        hi = np.maximum.reduceat(np.where(done, -np.inf, self.edges + LEVEL - 1), first)
+        some = lo <= hi
+        lo, hi = np.where(some, lo, 0.0), np.where(some, hi, 0.0)
+        return (lo + hi) / 2, (hi - lo) / 2
+
+    def best(self, queries: np.ndarray, own: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(place, scores, ids) for each row of queries, in any order: its k best rows of this chunk but those of its own id, ties to smaller ids."""
+        n, dims = self.rows.shape
+        weights = queries.astype(float)
+        sizes = np.abs(weights)
+        # Half a level's width for every component, and what sums of doubles may be off by.
+        slack = sizes.sum(1) * ((LEVEL - 1) / 2 + self.largest * (dims + 8) * 2.0**-50) + 1
+        centres = self.edges + (LEVEL - 1) / 2
+        done = np.zeros(len(centres), bool)
+        middle, half = self._left(done)
+        order = np.argsort(-sizes.max(0)[self.dims] * np.abs(centres - middle[self.dims]), kind="stable")
+        ends = np.cumsum(self.lengths[order])
+        value, waiting = np.zeros(dims * n), np.ones(dims * n)
+        open_ = np.arange(len(queries))
+        read = 0
+        for share in SHARES:
+            upto = int(np.searchsorted(ends, share * ends[-1])) + 1
+            part, read = order[read:upto], max(read, upto)
+            lengths = self.lengths[part]
+            places = self.posted[np.arange(lengths.sum()) + np.repeat(self.starts[part] - np.cumsum(lengths) + lengths, lengths)]
+            value[places], waiting[places], done[part] = np.repeat(centres[part], lengths), 0.0, True
+            middle, half = self._left(done)
+            held = waiting.reshape(dims, n)
+            score = weights[open_] @ (value.reshape(dims, n) + middle[:, None] * held)
+            off = (sizes[open_] * half) @ held + slack[open_, None]
+            others = self.ids != own[open_, None]
+            if n > k:
+                line = np.partition(np.where(others, score - off, -np.inf), n - k, axis=1)[:, n - k]  # k rows reach it
+                others &= score + off >= line[:, None]
+            few = np.full(len(open_), share == 1) | (others.sum(1) <= max(4 * k, n * LEFT))
+            for i in np.flatnonzero(few):
+                possible = np.flatnonzero(others[i])
+                ids, scores = self.ids[possible], self.rows[possible] @ queries[open_[i]]
+                top = np.lexsort((ids, -scores))[:k]
+                yield int(open_[i]), scores[top], ids[top]
+            open_ = open_[~few]
+            if not len(open_):
+                return
 
 
 def _chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -134,13 +146,13 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame
             for ids, rows, dims, asked in zip(batch["ids"], batch["rows"], batch["dims"], batch["queries"], strict=True):
                 if last[0] != (ids, rows):
                     last = ((ids, rows), Chunk(np.frombuffer(ids, np.int64), np.frombuffer(rows, np.int64).reshape(-1, dims)))
-                found = []
-                for q in asked:
-                    if len(q["v"]) == dims:
-                        scores, near = last[1].best(np.asarray(q["v"], np.int64), k, q["vec_id"])
-                        found.append(pd.DataFrame({"query_id": q["vec_id"], "vec_id": near, "score": scores}))
-                if found:
-                    yield pd.concat(found)
+                fitting = [q for q in asked if len(q["v"]) == dims]
+                for i in range(0, len(fitting), TOGETHER):
+                    some = fitting[i : i + TOGETHER]
+                    own = np.array([q["vec_id"] for q in some], np.int64)
+                    found = list(last[1].best(np.stack([q["v"] for q in some]).astype(np.int64), own, k))
+                    names = np.repeat(own[[place for place, _, _ in found]], [len(near) for _, _, near in found])
+                    yield pd.DataFrame({"query_id": names, "vec_id": np.concatenate([near for _, _, near in found]), "score": np.concatenate([scores for _, scores, _ in found])})
 
     parts = []
     for first in range(0, n, PER_PASS):

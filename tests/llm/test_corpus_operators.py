@@ -3,6 +3,7 @@
 import random
 
 import duckdb
+import numpy as np
 import pytest
 
 from glyphlake.llm import lines, minhash, mixing, queries, topk, urls
@@ -249,6 +250,26 @@ def test_top_k_matches_brute_force(spark, monkeypatch):
     assert topk.exact_top_k(v.limit(0), v.limit(0)).count() == 0
 
 
+def test_top_k_holds_rows_of_the_own_id_apart(spark):
+    data = [(0, [100, 100])] * 40 + [(i, [50 - i % 7, i % 5]) for i in range(1, 200)]
+    v = spark.createDataFrame(data, "vec_id long, v array<long>")
+    scored = sorted((-100 * (x + y), i) for i, (x, y) in data if i)
+    got = topk.exact_top_k(v, v.where("vec_id = 0")).orderBy("rank").collect()
+    assert [(-r.score, r.vec_id) for r in got] == scored[:5]
+
+
+def test_a_chunk_answers_a_block_of_queries_at_once():
+    rng = np.random.default_rng(8)
+    for rows in (rng.integers(-150, 150, (900, 16)), rng.integers(-(1 << 28), 1 << 28, (300, 64)), np.zeros((50, 3), np.int64), rng.integers(-9, 9, (3, 4))):
+        ids = rng.permutation(len(rows)) // 2
+        chunk, pick = topk.Chunk(ids, rows), rng.integers(0, len(rows), 40)
+        got = {place: (list(scores), list(near)) for place, scores, near in chunk.best(rows[pick], ids[pick], 5)}
+        for place, p in enumerate(pick):
+            scored = sorted((-int(s), int(i)) for s, i in zip(rows @ rows[p], ids, strict=True) if i != ids[p])[:5]
+            assert got[place] == ([-s for s, _ in scored], [i for _, i in scored])
+        assert len(got) == 40
+
+
 def test_components_beyond_the_range_fail_loudly(spark):
     d = spark.createDataFrame([(1, [0.5, 1.0]), (2, [float(1 << 21), 0.0])], "vec_id long, embedding array<float>")
     with pytest.raises(Exception, match="beyond 1048576 in the vector of id 2"):
