@@ -8,12 +8,15 @@ confirmed on their full shingle sets.
 * Prefix: pairs that agree in ``matches`` of K coordinates share one of the first K - matches + 1
   under any common order of the pairs. The order puts frequent pairs last, so common phrases are
   hardly ever posted and posting lists stay short unless the documents really are near copies.
-* One head: every posting list's documents are first held against the one whose signature agrees most
-  with what the others have in each coordinate, the base of a group of near copies, and the components
-  of these links are worked out.
+* One head a document: of the heads of its posting lists, the documents there whose signatures agree most
+  with what the others have in each coordinate, every document is first held against one, and the
+  components of these links are worked out. Rounds of this go on while one adds many links; they only
+  spare work, and what they do not link is compared in full.
 * In full: lists whose documents then hang together are skipped. In the others the signatures of all
   pairs of different components are compared, a list at a time as arrays and long lists as pairs of
-  blocks; only pairs that agree in enough coordinates leave it. Those likely to be links are confirmed
+  blocks. Only pairs leave it that agree in enough coordinates and whose sets, counted by BUCKETS of
+  their shingles' hashes, do not differ by more than the similarity allows: sets differ in as many
+  shingles at least as their counts do, so no link is lost by that. Those likely to be links are confirmed
   first, the rest where their documents still lie apart. Nothing ends before all lists are done.
 * Texts of one shingle set are one class from the start and travel once.
 
@@ -35,6 +38,10 @@ from glyphlake.llm.common import connected_components, discard, setting, short_b
 
 #: Documents of a block of a long posting list; pairs whose signatures are compared at once; lists that go to Python in a batch.
 BLOCK, PAIRS, LISTS = 4096, 1 << 18, 100
+#: Buckets of a set's counts, two of four bits in a byte; pairs whose counts are compared at once.
+BUCKETS, COUNTED = 256, 1 << 14
+#: Rounds of heads go on while one adds at least this share of the links so far.
+WORTH = 0.1
 #: Up to so many document ids (8 bytes each) are broadcast to pick texts; more are joined by a shuffle.
 BROADCAST_IDS = 1 << 21
 #: Words are hashed in runs of about this many, to bound memory on very long texts.
@@ -94,28 +101,42 @@ def _signature(hashes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (least >> np.uint64(33)).astype(np.int32)
 
 
+def _counts(hashes: np.ndarray) -> np.ndarray:
+    """How many hashes fall in each bucket, 15 at most, two buckets in a byte."""
+    n = np.minimum(np.bincount((hashes >> np.uint64(56)).astype(np.int64), minlength=BUCKETS), 15).astype(np.uint8)
+    return (n[::2] | n[1::2] << 4).view(np.int8)
+
+
+def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """By how much the counts of rows differ in all: the sets differ in as many shingles at least."""
+    far = [np.abs((x >> bits & 15).astype(np.int8) - (y >> bits & 15).astype(np.int8)).sum(1, dtype=np.int64) for bits in (0, 4)]
+    return far[0] + far[1]
+
+
 def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int, coordinates: int) -> DataFrame:
-    """(doc_id, n_shingles, class_key, signature); the key is null and the signature empty without words."""
+    """(doc_id, n_shingles, class_key, signature, counts); without words the key is null, the signature and the counts are empty."""
 
     def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         a, b = _multipliers(coordinates)
         for batch in batches:
             for i in range(0, len(batch), 500):
                 part = batch.iloc[i : i + 500]
-                n, keys, sigs = [], [], []
+                n, keys, sigs, counts = [], [], [], []
                 for hashes in _hashed_sets(list(part["text"]), shingle):
                     n.append(len(hashes))
                     if len(hashes):
                         one, two = int(hashes.sum(dtype=np.uint64)), int(_mixed(hashes ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64))
                         keys.append(f"{len(hashes):x}-{one:x}-{two:x}")
                         sigs.append(_signature(hashes, a, b))
+                        counts.append(_counts(hashes))
                     else:
                         keys.append(None)
                         sigs.append(np.zeros(0, np.int32))
-                yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64").values, "n_shingles": n, "class_key": keys, "signature": sigs})
+                        counts.append(np.zeros(0, np.int8))
+                yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64").values, "n_shingles": n, "class_key": keys, "signature": sigs, "counts": counts})
 
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return picked.mapInPandas(kernel, "doc_id long, n_shingles long, class_key string, signature array<int>")
+    return picked.mapInPandas(kernel, "doc_id long, n_shingles long, class_key string, signature array<int>, counts array<byte>")
 
 
 def _postings(classes: DataFrame, coordinates: int, matches: int) -> DataFrame:
@@ -153,8 +174,23 @@ def _agreeing(pairs: DataFrame, classes: DataFrame, matches: int) -> DataFrame:
     return sized.where(agree >= matches).select("a", "b")
 
 
+def _head_pairs(postings: DataFrame, labels: DataFrame, percent: int, turn: int) -> DataFrame:
+    """(a, b): each class with the head of one of the posting lists in which it lies apart from the head, so at most as many as there are classes.
+
+    In the first round the heads are the classes of the most weight and each class takes the heaviest;
+    later each list and each class has an order of its own, so that it meets others.
+    """
+    now = postings.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    order = F.xxhash64("token", "rep", F.lit(turn)) if turn else -F.col("weight")
+    head = F.min(F.struct(order.alias("order"), F.xxhash64("rep"), "component", "rep", "n")).alias("head")
+    mixed = now.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), head).where("lo < hi").select("token", "head")
+    met = now.join(mixed, "token").where(f"component <> head.component and 100 * least(head.n, n) >= {percent} * greatest(head.n, n)")
+    one = met.groupBy("rep").agg(F.min(F.struct("head.order", F.xxhash64("head.rep"), "head.rep")).alias("head"))
+    return one.select(F.least("head.rep", "rep").alias("a"), F.greatest("head.rep", "rep").alias("b")).distinct()
+
+
 def _all_agreeing(postings: DataFrame, classes: DataFrame, labels: DataFrame, percent: int, matches: int) -> DataFrame:
-    """(a, b, agree) of all pairs of different components that share a posting list and agree in enough coordinates."""
+    """(a, b, agree) of all pairs of different components that share a posting list, agree in enough coordinates and can be similar by their counts."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -162,7 +198,8 @@ def _all_agreeing(postings: DataFrame, classes: DataFrame, labels: DataFrame, pe
             size = lists.value_lengths().to_numpy()
             rep, n, component, side, signature = lists.flatten().flatten()
             rep, n, component, side = (c.to_numpy() for c in (rep, n, component, side))
-            signature = signature.flatten().to_numpy().reshape(len(rep), -1)
+            both = signature.flatten().to_numpy().reshape(len(rep), -1)
+            signature, counts = both[:, : -BUCKETS // 2], both[:, -BUCKETS // 2 :].view(np.uint8)
             cross = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), size)
             after = np.repeat(np.cumsum(size), size) - np.arange(len(rep)) - 1  # rows that follow in the list
             upto = np.cumsum(after)
@@ -176,11 +213,16 @@ def _all_agreeing(postings: DataFrame, classes: DataFrame, labels: DataFrame, pe
                 x, y, lo = x[ok], y[ok], hi
                 agree = (signature[x] == signature[y]).sum(1, dtype=np.int32)
                 ok = agree >= matches
-                x, y = x[ok], y[ok]
+                x, y, agree = x[ok], y[ok], agree[ok]
+                far = [_apart(counts[x[i : i + COUNTED]], counts[y[i : i + COUNTED]]) for i in range(0, len(x), COUNTED)]
                 if len(x):
-                    yield pa.record_batch([pa.array(np.minimum(rep[x], rep[y])), pa.array(np.maximum(rep[x], rep[y])), pa.array(agree[ok])], names=["a", "b", "agree"])
+                    ok = np.concatenate(far) * (100 + percent) <= (n[x] + n[y]) * (100 - percent)
+                    x, y, agree = x[ok], y[ok], agree[ok]
+                if len(x):
+                    yield pa.record_batch([pa.array(np.minimum(rep[x], rep[y])), pa.array(np.maximum(rep[x], rep[y])), pa.array(agree)], names=["a", "b", "agree"])
 
-    known = _short(classes).join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    signed = classes.select("rep", F.concat(F.transform("signature", lambda v: v.bitwiseAND(F.lit(127)).cast("byte")), "counts").alias("signature"))
+    known = signed.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     mixed = postings.join(known.select("rep", "component"), "rep").groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("long")).where("lo < hi")
     blocks = mixed.select("token", F.ceil(F.col("long") / BLOCK).cast("int").alias("blocks"))
     dealt = postings.join(blocks, "token").join(known, "rep").withColumn("side", F.expr("cast(pmod(xxhash64(rep), blocks) as int)"))
@@ -245,7 +287,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         sigs = written(signatures(docs, id_col, text_col, shingle, coordinates), "signatures")
     # One row per distinct set that has an id; rep is its smallest doc_id.
     classes = written(
-        sigs.where("class_key is not null and doc_id is not null").groupBy("class_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.min("signature").alias("signature")),
+        sigs.where("class_key is not null and doc_id is not null").groupBy("class_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.min("signature").alias("signature"), F.min("counts").alias("counts")),
         "classes",
     )
     texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text"))
@@ -254,35 +296,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     labels = written(connected_components(written(_versions(sigs, classes), "versions"), "components"), "components")
 
-    def joined(labels: DataFrame, near: DataFrame, name: str) -> DataFrame:
-        """The components once those of the pairs that are links have come to them; what hung together before goes in as one link a document."""
+    def joined(labels: DataFrame, near: DataFrame, name: str) -> tuple[DataFrame, int]:
+        """The components once those of the pairs that are links have come to them, and how many are; what hung together before goes in as one link a document."""
         links = _confirmed(near, texts, shingle, percent, name)
+        new = links.count()
+        if not new:
+            discard(links)
+            return labels, 0
         after = written(connected_components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links), "components"), "components")
         discard(labels, links)
-        return after
+        return after, new
 
-    now = postings.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    head = F.min(F.struct(-F.col("weight"), F.xxhash64("rep"), "component", "rep", "n")).alias("head")
-    mixed = now.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), head).where("lo < hi").select("token", "head")
-    left = written(now.join(mixed, "token").where("rep <> head.rep"), "left")
-    met = left.where(f"component <> head.component and 100 * least(head.n, n) >= {percent} * greatest(head.n, n)")
-    pairs = met.select(F.least("head.rep", "rep").alias("a"), F.greatest("head.rep", "rep").alias("b")).distinct()
-    first = written(_agreeing(pairs, classes, matches), "near")
-    discard(postings)
-    labels = joined(labels, first, "links-0")
+    turn, every, new = 0, 0, 1
+    while new and new >= WORTH * every:
+        near = written(_agreeing(_head_pairs(postings, labels, percent, turn), classes, matches), "near")
+        labels, new = joined(labels, near, f"links-{turn}")
+        discard(near)
+        turn, every = turn + 1, every + new
 
     with setting(docs.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch", str(LISTS)):
-        near = written(_all_agreeing(left.select("token", "rep", "n"), classes, labels, percent, matches), "near")
-    discard(left)
-    near, every = written(near.join(first, ["a", "b"], "left_anti"), "near"), near
-    discard(first, every)
+        near = written(_all_agreeing(postings.select("token", "rep", "n"), classes, labels, percent, matches), "near")
+    discard(postings)
     likely = F.col("agree") * 100 >= percent * coordinates
-    labels = joined(labels, near.where(likely).select("a", "b"), "links-1")
+    labels, _ = joined(labels, near.where(likely).select("a", "b"), "links-likely")
     ends = [labels.select(F.col("node").alias(c), F.col("component").alias(f"c{c}")) for c in "ab"]
     apart = near.where(~likely).select("a", "b").join(ends[0], "a", "left").join(ends[1], "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
     rest = written(apart, "near")
     discard(near)
-    labels = joined(labels, rest, "links-2")
+    labels, _ = joined(labels, rest, "links-rest")
     discard(rest)
     labels = labels.withColumnRenamed("node", "rep")
 

@@ -304,6 +304,40 @@ def test_pipeline_stages(spark, tmp_path):
     assert sorted(r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == sorted(ids)
 
 
+def _signed(spark, texts, shingle=2):
+    """Classes and postings of texts with ids from 1, as near_duplicates makes them."""
+    d = spark.createDataFrame(list(enumerate(texts, 1)), "doc_id long, text string")
+    classes = minhash.signatures(d, "doc_id", "text", shingle, 64).withColumnRenamed("doc_id", "rep").localCheckpoint()
+    return classes, minhash._postings(classes, 64, 34).localCheckpoint()
+
+
+def test_pairs_that_cannot_be_links_do_not_leave_a_list(spark):
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(100)]
+    texts = []
+    for i in range(60):
+        words = list(base)
+        for k in rng.sample(range(100), 6):
+            words[k] = f"v{i}-{k}"
+        texts.append(" ".join(words))
+    texts += [texts[0] + " one", texts[1] + " two"]
+    sets = [set(zip(w, w[1:], strict=False)) for w in (t.split() for t in texts)]
+    links = {(i + 1, j + 1) for j in range(len(sets)) for i in range(j) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
+    classes, postings = _signed(spark, texts)
+    got = {(r.a, r.b) for r in minhash._all_agreeing(postings, classes, spark.createDataFrame([], "node long, component long"), 80, 34).collect()}
+    assert links <= got and len(links) == 2 and len(got) < 300  # of 1,891 pairs, nearly all of which agree in 34 coordinates
+
+
+def test_each_document_meets_one_head_a_round(spark):
+    rng = random.Random(6)
+    base = [f"w{i}" for i in range(100)]
+    texts = [" ".join(w if rng.random() > 0.04 else f"v{rng.randrange(4)}" for w in base) for _ in range(200)]
+    _, postings = _signed(spark, texts)
+    none = spark.createDataFrame([], "node long, component long")
+    for turn in (0, 1):
+        assert 150 <= minhash._head_pairs(postings, none, 80, turn).count() <= 200
+
+
 def test_near_duplicates_lose_no_sparse_link(spark):
     rng = random.Random(11)
     base = [f"w{rng.randrange(10**6)}" for _ in range(100)]
