@@ -177,29 +177,35 @@ def _agreeing(pairs: DataFrame, classes: DataFrame, matches: int) -> DataFrame:
 def _head_pairs(postings: DataFrame, labels: DataFrame, percent: int, turn: int) -> DataFrame:
     """(a, b): each class with the head of one of the posting lists in which it lies apart from the head, so at most as many as there are classes.
 
-    In the first round the heads are the classes of the most weight and each class takes the heaviest;
-    later each list and each class has an order of its own, so that it meets others.
+    In the first round the heads are the classes of the most weight, later those that come first in the
+    round's order of all classes. A class takes the head that it meets in most of its lists.
     """
     now = postings.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    order = F.xxhash64("token", "rep", F.lit(turn)) if turn else -F.col("weight")
+    order = F.xxhash64("rep", F.lit(turn)) if turn else -F.col("weight")
     head = F.min(F.struct(order.alias("order"), F.xxhash64("rep"), "component", "rep", "n")).alias("head")
     mixed = now.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), head).where("lo < hi").select("token", "head")
     met = now.join(mixed, "token").where(f"component <> head.component and 100 * least(head.n, n) >= {percent} * greatest(head.n, n)")
-    one = met.groupBy("rep").agg(F.min(F.struct("head.order", F.xxhash64("head.rep"), "head.rep")).alias("head"))
+    often = met.groupBy("rep", "head").agg(F.count(F.lit(1)).alias("lists"))
+    one = often.groupBy("rep").agg(F.min(F.struct(-F.col("lists"), "head.order", F.xxhash64("head.rep"), "head.rep")).alias("head"))
     return one.select(F.least("head.rep", "rep").alias("a"), F.greatest("head.rep", "rep").alias("b")).distinct()
 
 
 def _all_agreeing(postings: DataFrame, classes: DataFrame, labels: DataFrame, percent: int, matches: int) -> DataFrame:
-    """(a, b, agree) of all pairs of different components that share a posting list, agree in enough coordinates and can be similar by their counts."""
+    """(a, b, agree) of all pairs of different components that share a posting list, agree in enough coordinates and can be similar by their counts.
+
+    A pair leaves only the first list that both are posted in, so it comes once however many they share.
+    """
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(1)
+            lists = batch.column(2)
             size = lists.value_lengths().to_numpy()
-            rep, n, component, side, signature = lists.flatten().flatten()
+            rep, n, component, side, values, counts = lists.flatten().flatten()
             rep, n, component, side = (c.to_numpy() for c in (rep, n, component, side))
-            both = signature.flatten().to_numpy().reshape(len(rep), -1)
-            signature, counts = both[:, : -BUCKETS // 2], both[:, -BUCKETS // 2 :].view(np.uint8)
+            values, counts = (c.flatten().to_numpy().reshape(len(rep), -1) for c in (values, counts))
+            counts = counts.view(np.uint8)
+            signature = ((values ^ values >> 31) & 127).astype(np.int8)  # low bits are enough here: they agree wherever the values do
+            coordinate = np.repeat(batch.column(1).to_numpy(), size)
             cross = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), size)
             after = np.repeat(np.cumsum(size), size) - np.arange(len(rep)) - 1  # rows that follow in the list
             upto = np.cumsum(after)
@@ -218,18 +224,25 @@ def _all_agreeing(postings: DataFrame, classes: DataFrame, labels: DataFrame, pe
                 if len(x):
                     ok = np.concatenate(far) * (100 + percent) <= (n[x] + n[y]) * (100 - percent)
                     x, y, agree = x[ok], y[ok], agree[ok]
+                if len(x):
+                    ok = ((values[x] == values[y]) & (values[x] < 0)).argmax(1) == coordinate[x]
+                    x, y, agree = x[ok], y[ok], agree[ok]
                 if len(x):
                     yield pa.record_batch([pa.array(np.minimum(rep[x], rep[y])), pa.array(np.maximum(rep[x], rep[y])), pa.array(agree)], names=["a", "b", "agree"])
 
-    signed = classes.select("rep", F.concat(F.transform("signature", lambda v: v.bitwiseAND(F.lit(127)).cast("byte")), "counts").alias("signature"))
+    # Values that a class is posted under stand as their complements, which are negative.
+    posted = postings.groupBy("rep").agg(F.collect_set("token").alias("posted"))  # bounded by the coordinates
+    token = lambda v, i: F.shiftleft(i.cast("long"), 32) + v
+    values = F.transform("signature", lambda v, i: F.when(F.array_contains("posted", token(v, i)), F.bitwise_not(v)).otherwise(v))
+    signed = classes.join(posted, "rep").select("rep", values.alias("values"), "counts")
     known = signed.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     mixed = postings.join(known.select("rep", "component"), "rep").groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("long")).where("lo < hi")
     blocks = mixed.select("token", F.ceil(F.col("long") / BLOCK).cast("int").alias("blocks"))
     dealt = postings.join(blocks, "token").join(known, "rep").withColumn("side", F.expr("cast(pmod(xxhash64(rep), blocks) as int)"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    row = F.struct("rep", "n", "component", "side", "signature")
+    row = F.struct("rep", "n", "component", "side", "values", "counts")
     keyed = dealt.groupBy("token", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j")).agg(F.collect_list(row).alias("rows"))  # bounded by two blocks
-    return keyed.select(F.expr("i <> j").alias("across"), "rows").mapInArrow(kernel, "a long, b long, agree int").distinct()
+    return keyed.select(F.expr("i <> j").alias("across"), F.expr("cast(shiftright(token, 32) as int)").alias("coordinate"), "rows").mapInArrow(kernel, "a long, b long, agree int").distinct()
 
 
 def _confirmed(near: DataFrame, texts: DataFrame, shingle: int, percent: int, name: str) -> DataFrame:
