@@ -5,6 +5,7 @@ import random
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from glyphlake.llm import lines, minhash, mixing, queries, topk, urls
 from glyphlake.llm.common import connected_components
@@ -123,6 +124,25 @@ def test_edited_lines_are_found_at_all_lengths(spark):
     assert all(shares[case] >= least for case, least in RECALL.items()), shares
 
 
+def test_lines_whose_words_all_differ_by_a_letter_are_one_group(spark):
+    words = ["abcdefghijklm", "bdfhjlnprtvxz", "acegikmoqsuwy", "mnopqrstuvwxy", "zyxwvutsrqpon", "qwertyuiopasd", "lkjhgfdsapoiu"]
+    data = [(1, " ".join(words)), (2, " ".join(w[:-1] + "0" for w in words)), (3, " ".join(w[::-1] for w in words))]
+    assert [r._dropped for r in lines.dedup_lines(spark.createDataFrame(data, "doc_id long, text string")).orderBy("doc_id").collect()] == [0, 1, 0]
+
+
+def test_no_list_is_left_before_all_its_lines_are_compared(spark, monkeypatch):
+    random.seed(17)
+    monkeypatch.setattr(lines, "GROUP", 4, raising=False)
+    texts = [prose(["".join(random.choice("abcdefghij") for _ in range(8)) for _ in range(9)], 60) for _ in range(30)]
+    texts += [edited(t, "characters", 0.01) for t in texts[:3]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("doc_id", "xxhash64(text) as hash", "text")
+    keys = {r.text: r.hash for r in docs.collect()}
+    one_list = lines.classes(docs, 0).withColumn("tokens", F.array(F.lit(1).cast("long")))
+    got = {r.node: r.component for r in lines._links(one_list, docs, 80).collect()}
+    assert set(got) == {keys[t] for t in texts[:3] + texts[30:]}
+    assert all(got[keys[texts[i]]] == got[keys[texts[30 + i]]] for i in range(3)) and len(set(got.values())) == 3
+
+
 def test_short_exact_copies_go(spark):
     data = [(1, "ok\nRead more\n\n这一行没有空格"), (2, "\nread  MORE\nOK\nother"), (3, "这一行没有空格\n \nx")]
     got = {r.doc_id: r for r in lines.dedup_lines(spark.createDataFrame(data, "doc_id long, text string"), spared=0).collect()}
