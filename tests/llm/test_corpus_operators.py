@@ -143,6 +143,26 @@ def test_no_list_is_left_before_all_its_lines_are_compared(spark, monkeypatch):
     assert all(got[keys[texts[i]]] == got[keys[texts[30 + i]]] for i in range(3)) and len(set(got.values())) == 3
 
 
+def test_pairs_of_a_long_list_are_looked_at_in_portions(spark, monkeypatch):
+    random.seed(23)
+    monkeypatch.setattr(lines, "GROUP", 4, raising=False)
+    monkeypatch.setattr(lines, "PORTION", 60, raising=False)
+    similar, seen = lines._similar, []
+
+    def counted(pairs, *more):
+        seen.append(pairs.count())
+        return similar(pairs, *more)
+
+    monkeypatch.setattr(lines, "_similar", counted)
+    texts = [prose(["".join(random.choice("abcdefghij") for _ in range(8)) for _ in range(9)], 60) for _ in range(60)]
+    texts += [edited(t, "characters", 0.01) for t in texts[:3]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("doc_id", "xxhash64(text) as hash", "text")
+    keys = {r.text: r.hash for r in docs.collect()}
+    got = {r.node: r.component for r in lines._links(lines.classes(docs, 0).withColumn("tokens", F.array(F.lit(1).cast("long"))), docs, 80).collect()}
+    assert len(got) == 6 and all(got[keys[texts[i]]] == got[keys[texts[60 + i]]] for i in range(3)) and len(set(got.values())) == 3
+    assert sum(seen) > 1000 and max(seen) < 300  # all pairs of the list, but not together
+
+
 def test_short_exact_copies_go(spark):
     data = [(1, "ok\nRead more\n\n这一行没有空格"), (2, "\nread  MORE\nOK\nother"), (3, "这一行没有空格\n \nx")]
     got = {r.doc_id: r for r in lines.dedup_lines(spark.createDataFrame(data, "doc_id long, text string"), spared=0).collect()}
