@@ -344,6 +344,21 @@ def test_pipeline_stages(spark, tmp_path):
     assert sorted(r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == sorted(ids)
 
 
+def test_pipeline_keeps_only_the_stage_that_is_read(spark, tmp_path):
+    import os
+
+    import corpus_pipeline
+
+    data = [(i, f"some words of a text that has the number {i}", "en", "s", 0) for i in range(8)]
+    spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    where = spark.conf.get("spark.checkpoint.dir").removeprefix("file:")
+    before = set(os.listdir(where))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+    new = [f.split("-")[1] for f in set(os.listdir(where)) - before]
+    assert "source_mixing" in new and not {"toxicity", "line_dedup", "minhash_near_dedup"} & set(new)
+
+
 def _signed(spark, texts, shingle=2):
     """Classes and postings of texts with ids from 1, as near_duplicates makes them."""
     d = spark.createDataFrame(list(enumerate(texts, 1)), "doc_id long, text string")
